@@ -76,8 +76,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str | None = Non
         for batch in batches:
             for key, missing, text in zip(batch["k"], batch["m"], batch["text"], strict=True):
                 if out is None:
-                    fs, local = work.filesystem(name)
-                    out = fs.open_output_stream(local)
+                    out = work.open_new(name)
                     out.write(MAGIC)
                 ids = enc.encode(text) + end
                 keys.append(None if missing else int(key))
@@ -113,8 +112,7 @@ def read_token_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 
         for batch in batches:
             for path, base in zip(batch["path"], batch["base"], strict=True):
-                fs, local = work.filesystem(path)
-                with fs.open_input_stream(local) as stream:
+                with work.open_read(path) as stream:
                     start = int(base)
                     for keys, lengths, ids in frames(stream):
                         ends = np.cumsum(lengths)

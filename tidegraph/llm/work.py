@@ -70,3 +70,15 @@ def filesystem(uri: str):
         path = uri.removeprefix("file:")
         return fs.LocalFileSystem(), "/" + path.lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+def open_new(uri: str):
+    """A stream to a new file, with its folder."""
+    fs, path = filesystem(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    return fs.open_output_stream(path)
+
+
+def open_read(uri: str):
+    fs, path = filesystem(uri)
+    return fs.open_input_stream(path)
