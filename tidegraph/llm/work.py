@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 ARROW_ROWS = 1000
 
 
@@ -42,6 +44,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
     It also sets the Arrow batch size: rows here are whole texts, so batches are kept short to bound worker memory.
     """
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     uri = f"{shared_root(spark)}/tidegraph/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
