@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack
+from .simhash import simhash_groups
 from .token_output import token_output
 
 
@@ -22,9 +23,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op10_packing": op10_packing,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLES: dict[str, str] = {}

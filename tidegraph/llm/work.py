@@ -1,87 +1,17 @@
-"""Shared working folders, written tables and file access for the operators of this subpackage.
-
-Everything that outlives one stage goes to the folder named by ``spark.checkpoint.dir``, which the driver and all
-executors share, so a lost executor never takes an intermediate result with it.
-"""
+"""Working folders of the operators here: the library's, with short Arrow batches, as rows are whole texts."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..storage import drop_path, open_new, open_read, written
+from ..storage import work_folder as _work_folder
 
-from ..session import ship
+__all__ = ["ARROW_ROWS", "drop_path", "open_new", "open_read", "work_folder", "written"]
 
 ARROW_ROWS = 1000
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it is unset (tests, one machine) a local one is chosen."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, uri: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has ended; the folder is left to the cluster's own cleaning
-        pass
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one, removed when the driver ends.
-
-    It also sets the Arrow batch size: rows here are whole texts, so batches are kept short to bound worker memory.
-    """
-    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    uri = f"{shared_root(spark)}/tidegraph/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    atexit.register(_remove, spark, uri)
-    return uri
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet and read it again: cuts the lineage at a table that all executors see."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, uri: str) -> None:
-    _remove(spark, uri)
-
-
-def filesystem(uri: str):
-    """(pyarrow file system, path) of a URI, on the driver or on an executor."""
-    from pyarrow import fs
-
-    if "://" not in uri or uri.startswith("file:"):
-        path = uri.removeprefix("file:")
-        return fs.LocalFileSystem(), "/" + path.lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
-def open_new(uri: str):
-    """A stream to a new file, with its folder."""
-    fs, path = filesystem(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    return fs.open_output_stream(path)
-
-
-def open_read(uri: str):
-    fs, path = filesystem(uri)
-    return fs.open_input_stream(path)
+    return _work_folder(spark, name)
