@@ -17,7 +17,7 @@ import sys
 import unicodedata
 
 #: Kept pieces before the table starts anew: bounds a worker's memory.
-KEPT = 500_000
+KEPT = 800_000
 #: Code points whose classes are the same in all Unicode versions in use (Latin, common punctuation).
 PLAIN = [(0x0000, 0x001B), (0x0020, 0x024F), (0x2010, 0x2027), (0x2030, 0x205E)]
 #: White space among them.
@@ -38,11 +38,11 @@ def _splitter() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(pieces), re.compile(f"[^{_class(plain)}]")
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> list[str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on, in order."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+    hidden = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+    return [chr(hidden.get(b, b)) for b in range(256)]
 
 
 class _Pieces(dict):
@@ -50,11 +50,15 @@ class _Pieces(dict):
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.letters = model, _byte_letters()
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
+        self.space = self.letters[32]
 
     def __missing__(self, piece: str) -> bytes:
-        coded = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = array.array("I", [t.id for t in self.model.tokenize(coded)])
+        if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            coded = self.space + piece[1:]
+        else:
+            coded = "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+        ids = array.array("I", [t.id for t in self.tokenize(coded)])
         if sys.byteorder != "little":
             ids.byteswap()
         if len(self) >= KEPT:
