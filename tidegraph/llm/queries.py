@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack
 from .simhash import simhash_groups
+from .secrets import scan
+from .tiff import media_features
 from .token_output import token_output
 
 
@@ -27,10 +29,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op10_packing": op10_packing,
     "op4_simhash": op4_simhash,
+    "op6_secrets": op6_secrets,
+    "op5_tiff": op5_tiff,
 }
 
 ORACLES: dict[str, str] = {}

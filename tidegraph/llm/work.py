@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..session import ship
 from ..storage import drop_path, open_new, open_read, written
 from ..storage import work_folder as _work_folder
 
-__all__ = ["ARROW_ROWS", "drop_path", "open_new", "open_read", "work_folder", "written"]
+__all__ = ["ARROW_ROWS", "drop_path", "open_new", "open_read", "prepare", "work_folder", "written"]
 
 ARROW_ROWS = 1000
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
+def prepare(spark: SparkSession) -> None:
+    """Short Arrow batches bound a worker's memory; the package goes to the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    prepare(spark)
     return _work_folder(spark, name)
