@@ -10,6 +10,9 @@ from .packing import pack
 from .simhash import simhash_groups
 from .secrets import scan
 from .tiff import media_features
+from .html import extract_pages
+from .warc import ORACLE as WARC_ORACLE
+from .warc import archive_pages
 from .token_output import token_output
 
 
@@ -37,12 +40,24 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op10_packing": op10_packing,
     "op4_simhash": op4_simhash,
     "op6_secrets": op6_secrets,
     "op5_tiff": op5_tiff,
+    "op2_html": op2_html,
+    "op3_warc": op3_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": WARC_ORACLE,
+}
