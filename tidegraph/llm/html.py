@@ -36,7 +36,7 @@ CONTAINERS = set("article body div main section td".split())
 DROP_TAGS = set("aside button canvas dialog footer form head iframe input menu nav noscript object script select style svg template textarea title".split())
 DROP_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 DROP_WORDS = set(
-    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright dialog discussion disqus donate footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion reactions related recommended replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget".split()
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog discussion disqus donate footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion reactions related recommended replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget".split()
 )
 GOOD_WORDS = set("article blog body content entry main post story text".split())
 #: Share of the page's best score that a container needs to have a vote.

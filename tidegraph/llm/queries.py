@@ -13,6 +13,7 @@ from .tiff import media_features
 from .html import extract_pages
 from .warc import ORACLE as WARC_ORACLE
 from .warc import archive_pages
+from .decontam import leaks
 from .token_output import token_output
 
 
@@ -48,6 +49,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op10_packing": op10_packing,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tiff": op5_tiff,
     "op2_html": op2_html,
     "op3_warc": op3_warc,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLES: dict[str, str] = {
