@@ -14,6 +14,7 @@ from .html import extract_pages
 from .warc import ORACLE as WARC_ORACLE
 from .warc import archive_pages
 from .decontam import leaks
+from .toxicity import score
 from .token_output import token_output
 
 
@@ -53,6 +54,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op10_packing": op10_packing,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html": op2_html,
     "op3_warc": op3_warc,
     "op9_decontamination": op9_decontamination,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLES: dict[str, str] = {
