@@ -15,6 +15,7 @@ from .warc import ORACLE as WARC_ORACLE
 from .warc import archive_pages
 from .decontam import leaks
 from .toxicity import score
+from .language import identify
 from .token_output import token_output
 
 
@@ -58,6 +59,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op10_packing": op10_packing,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op9_decontamination": op9_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op7_language": op7_language,
 }
 
 ORACLES: dict[str, str] = {

@@ -22,6 +22,7 @@ import hashlib
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,8 +198,6 @@ def redacted(text: str) -> str:
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with secrets in text replaced; all rows and columns stay, n_chars (if there is one) counts the new text."""
-    import pandas as pd
-
     work.prepare(spark)
 
     @F.pandas_udf("string")

@@ -1,7 +1,7 @@
 """Toxicity: boosted trees over dense features, calibrated by isotonic regression.
 
-Labels are learned from rows of the training fold only, from at most SAMPLE of them (those with the least hash of their
-id: a documented bound on what reaches the driver). Two steps:
+Labels are learned from rows of the training fold only, from about SAMPLE of them (those with a low hash of their id:
+a documented bound on what reaches the driver). Two steps:
 
 1. A lexicon: words and word beginnings (4 to 8 letters, as many languages inflect) that occur in toxic texts far more
    often than in others, by a likelihood-ratio test that chance among so many entries doesn't pass. Copies of a text
@@ -14,7 +14,7 @@ Neither labels nor lang, source or doc_id are inputs of a score. A score is the
 share of the uncalibrated one so that equal calibrated values keep the order of their margins.
 
 Defined results: a null text is empty and is scored like any other; a null doc_id is not held out; repeated doc_ids are
-kept (and, where labelled, each row is a training row); without training labels every score is 0; an empty table
+kept (of labelled ones the least text is the training row); without training labels every score is 0; an empty table
 gives no rows; other columns are ignored by score and kept by without_toxic.
 """
 
@@ -170,8 +170,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     folder = work.work_folder(spark, "toxicity")
     key = F.col("doc_id").cast("long")
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select(key.alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # the documented bound; small enough to broadcast
+    chosen = work.bounded_sample(known, SAMPLE, "doc_id")  # the documented bound; small enough to broadcast
     rows = docs.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # an id may have very many rows
     rows = work.written(rows, f"{folder}/sample")
     lexicon = _lexicon(rows)
     weights = _Weights(lexicon)
@@ -181,7 +182,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
             x = np.array([features(t, weights) for t in batch["text"]])
             yield pd.DataFrame(x, columns=FEATURES).assign(doc_id=batch["doc_id"].to_numpy(), toxic=batch["toxic"].to_numpy())
 
-    found = rows.mapInPandas(measure, ", ".join(f"{f} double" for f in FEATURES) + ", doc_id long, toxic int").toPandas().sort_values(["doc_id", *FEATURES]).head(2 * SAMPLE)
+    found = rows.mapInPandas(measure, ", ".join(f"{f} double" for f in FEATURES) + ", doc_id long, toxic int").toPandas().sort_values("doc_id")
     x, y = found[FEATURES].to_numpy(), found["toxic"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Model(lexicon, None, None)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 from ..storage import drop_path, open_new, open_read, written
 from ..storage import work_folder as _work_folder
 
-__all__ = ["ARROW_ROWS", "drop_path", "open_new", "open_read", "prepare", "work_folder", "written"]
+__all__ = ["ARROW_ROWS", "bounded_sample", "drop_path", "open_new", "open_read", "prepare", "work_folder", "written"]
 
 ARROW_ROWS = 1000
 
@@ -22,3 +23,11 @@ def prepare(spark: SparkSession) -> None:
 def work_folder(spark: SparkSession, name: str) -> str:
     prepare(spark)
     return _work_folder(spark, name)
+
+
+def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About as many rows of df (all, if it has no more): those whose hash of some columns is low; the same every time."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
