@@ -73,3 +73,11 @@ def open_new(uri: str):
 def open_read(uri: str):
     fs, path = filesystem(uri)
     return fs.open_input_stream(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a reliable checkpoint in the shared folder; keeps its partitioning."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint(eager=True)
