@@ -574,8 +574,7 @@ def binary_roundtrip(spark, sf_dir):
     return sources.read_binary_edges(spark, folder).select(F.col("v0").alias("src"), F.col("v1").alias("dst"))
 
 
-@query(_graph_sql(G45) + "
-, l AS (SELECT src || ' -- ' || dst AS line FROM e WHERE src < dst) SELECT line FROM l UNION ALL SELECT 'graph last_graph {' UNION ALL SELECT '}'")
+@query(_graph_sql(G45) + ", l AS (SELECT src || ' -- ' || dst AS line FROM e WHERE src < dst) SELECT line FROM l UNION ALL SELECT 'graph last_graph {' UNION ALL SELECT '}'")
 def dot_lines(spark, sf_dir):
     return sinks.dot_lines(sources.part_graph(spark, sf_dir, G45)).select("line")
 
@@ -598,7 +597,7 @@ def quick_counts(spark, sf_dir):
 # Scalar functions
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS n, l_partkey // l_suppkey AS quotient, l_partkey % l_suppkey AS remainder, CAST(l_extendedprice / l_linenumber AS DOUBLE) AS ratio, l_extendedprice AS x FROM lineitem WHERE l_linenumber > 0")
+@query("SELECT l_orderkey AS k, l_linenumber AS n, l_partkey // nullif(l_suppkey, 0) AS quotient, l_partkey % nullif(l_suppkey, 0) AS remainder, CAST(l_extendedprice / l_linenumber AS DOUBLE) AS ratio, l_extendedprice AS x FROM lineitem WHERE l_linenumber > 0")
 def fn_division(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber > 0")
     q, r = scalars.divide_with_remainder("l_partkey", "l_suppkey")
