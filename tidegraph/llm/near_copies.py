@@ -3,8 +3,12 @@
 A 64-bit fingerprint with 3 bits to differ finds copies that are nearly whole; of pairs whose 5-word shingle sets have a
 similarity of 0.8 to 0.9 it misses most (the README has figures). So next to the fingerprints' links, texts that agree
 in a band of their min-wise signature are candidates, and a candidate links if its signature agrees in SIMILAR or more
-of HASHES places. Band groups of any size cost one comparison a member: each member is compared with the group's least;
-those that differ from it form a group of their own in the next round, until a round links nothing more.
+of HASHES places.
+
+Groups of any size cost one comparison a member and round: a member meets the least of one of its band groups, the one
+it shares most bands with. Who links leaves all groups, as the one it linked to stands for it; who doesn't leaves those
+groups for new ones, together with all others that differ from the same text. Wide bands go first, where nearly all
+meetings link. A width is done when a round links fewer than one in DONE of those that met.
 
 Exact copies collapse to one node first. Of each component of links one document stays: that with the least doc_id
 (null last), ties broken by the row's place.
@@ -26,27 +30,24 @@ from . import work
 from .simhash import fingerprint, hamming_links, shingle_hashes
 
 SHINGLE = 5
-HASHES = 128
+HASHES = 192
 SIMILAR = 0.78
-#: Values in a band, and the bands of that width, over the whole signature.
-BANDS = [(8, HASHES // 8), (4, HASHES // 4)]
+#: Places of the signature in a band, by turns.
+WIDTHS = [16, 8]
+DONE = 500
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """Min-wise signature of a set of shingle hashes, 4 bytes a place."""
+    """Min-wise signature of a set of shingle hashes: the low 2 bytes of each place's least value."""
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     unique = np.unique(hashes)
     for at in range(0, len(unique), 4096):
         mixed = (unique[at : at + 4096, None] * _FACTORS + _SHIFTS) >> np.uint64(32)
         np.minimum(out, mixed.min(axis=0).astype(np.uint32), out=out)
-    return out.astype("<u4").tobytes()
-
-
-def similarity(a: bytes, b: bytes) -> float:
-    return float((np.frombuffer(a, "<u4") == np.frombuffer(b, "<u4")).mean())
+    return (out & np.uint32(0xFFFF)).astype("<u2").tobytes()
 
 
 def _sketch(batches):
@@ -55,44 +56,55 @@ def _sketch(batches):
         yield batch[["file", "row", "doc_id", "no_id", "digest"]].assign(fp=[fingerprint(h) for h in hashes], sig=[signature(h) for h in hashes])
 
 
-def _bands(batches):
-    import xxhash
+def _bands(width: int):
+    def run(batches):
+        import xxhash
 
-    for batch in batches:
-        rows = []
-        for n, sig in zip(batch["n"].tolist(), batch["sig"], strict=True):
-            kind = 0
-            for width, count in BANDS:
-                for k in range(count):
-                    rows.append((n, kind, xxhash.xxh64_intdigest(sig[4 * width * k : 4 * width * (k + 1)]) - (1 << 63)))
-                    kind += 1
-        yield pd.DataFrame(rows, columns=["n", "band", "key"])
+        for batch in batches:
+            rows = []
+            for n, sig in zip(batch["n"].tolist(), batch["sig"], strict=True):
+                for k in range(HASHES // width):
+                    rows.append((n, xxhash.xxh64_intdigest(sig[2 * width * k : 2 * width * (k + 1)], k) - (1 << 63)))
+            yield pd.DataFrame(rows, columns=["n", "key"])
+
+    return run
 
 
 def _verify(batches):
     for batch in batches:
         if len(batch):
-            a, b = (np.frombuffer(b"".join(batch[c]), "<u4").reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
+            a, b = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
             yield batch[["a", "b"]].assign(same=(a == b).mean(axis=1) >= SIMILAR)
 
 
 def _band_links(nodes: DataFrame, folder: str) -> DataFrame:
-    """Verified links (a, b) between nodes (n, sig) that agree in a band."""
-    sigs = nodes.select("n", "sig")
-    groups = sigs.mapInPandas(_bands, "n long, band int, key long")
-    links, k = None, 0
-    while True:
-        least = groups.groupBy("band", "key").agg(F.min("n").alias("a"), F.count("*").alias("size")).where("size > 1").select("band", "key", "a")
-        member = groups.join(least, ["band", "key"]).where("n <> a").select("band", "key", "a", F.col("n").alias("b"))
-        member = work.written(member, f"{folder}/bands{k}")
-        pairs = member.select("a", "b").distinct().join(sigs.select(F.col("n").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("n").alias("b"), F.col("sig").alias("sig_b")), "b")
-        judged = work.written(pairs.mapInPandas(_verify, "a long, b long, same boolean"), f"{folder}/judged{k}")
-        same = judged.where("same").select("a", "b")
-        links = same if links is None else links.unionByName(same)
-        if same.isEmpty():
-            return links
-        groups = member.join(judged.where("not same"), ["a", "b"]).select(F.col("b").alias("n"), "band", "key")
-        k += 1
+    """Verified links (a, b) between nodes (n, sig): b has met a in a band group."""
+    spark = nodes.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
+    gone = spark.createDataFrame([], "n long")
+    for width in WIDTHS:
+        sigs = nodes.select("n", "sig").join(gone, "n", "left_anti")
+        groups = sigs.mapInPandas(_bands(width), "n long, key long")
+        k = 0
+        while True:
+            at = f"{folder}/bands{width}_{k}"
+            least = groups.groupBy("key").agg(F.min("n").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
+            groups = work.written(groups.join(least, "key"), f"{at}/groups")
+            met = groups.where("n <> a").groupBy("n", "a").agg(F.count("*").alias("shared")).groupBy("n").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
+            met = met.select((-F.col("best.a")).alias("a"), F.col("n").alias("b"))
+            pairs = met.join(sigs.select(F.col("n").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("n").alias("b"), F.col("sig").alias("sig_b")), "b")
+            judged = work.written(pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(_verify, "a long, b long, same boolean"), f"{at}/judged")
+            all_met, linked = judged.agg(F.count("*"), F.coalesce(F.sum(F.col("same").cast("long")), F.lit(0))).first()
+            same = judged.where("same")
+            links = links.unionByName(same.select("a", "b"))
+            gone = gone.unionByName(same.select(F.col("b").alias("n")))
+            if linked * DONE <= all_met:
+                break
+            verdict = judged.select(F.col("b").alias("n"), F.col("a").alias("met"), "same")
+            groups = groups.join(verdict, "n", "left").where("not coalesce(same, false)")
+            groups = groups.select("n", F.when(F.col("a") == F.col("met"), F.xxhash64("key", "a")).otherwise(F.col("key")).alias("key"))
+            k += 1
+    return links
 
 
 def _placed(docs: DataFrame, folder: str) -> tuple[DataFrame, list]:

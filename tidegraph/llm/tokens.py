@@ -17,7 +17,7 @@ import sys
 import unicodedata
 
 #: Kept pieces before the table starts anew: bounds a worker's memory.
-KEPT = 800_000
+KEPT = 600_000
 #: Code points whose classes are the same in all Unicode versions in use (Latin, common punctuation).
 PLAIN = [(0x0000, 0x001B), (0x0020, 0x024F), (0x2010, 0x2027), (0x2030, 0x205E)]
 #: White space among them.

@@ -36,6 +36,8 @@ from .trees import Boosted, Isotonic, boost, isotonic
 SAMPLE = 20_000
 LEXICON = 400
 THRESHOLD = 0.3
+#: Words whose weight a worker keeps: bounds its memory.
+KEPT = 200_000
 FOLDS, HELD_OUT = 4, 2
 #: A lexicon entry's share of toxic texts over its share of others, and its likelihood ratio, at least.
 RATIO, EVIDENCE = 8.0, 22.0
@@ -47,7 +49,7 @@ INSULTS = set("idiot idiots moron morons stupid scum trash loser losers pathetic
 SECOND_PERSON = set("you your yours yourself u ur thou du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo vosotros os su".split())
 #: Letters that stand for others in disguised words.
 DISGUISES = str.maketrans("013457@$!", "oieastasi")
-DISGUISED = re.compile(r"(?<![\w@$!*])(?=[\w@$!*]*[^\W\d_])(?=[\w@$!*]*[0134578@$!*])[\w@$!*]{3,24}(?![\w@$*])")
+DISGUISED = re.compile(r"(?<![\w@$!*])(?=[\w@$!*]*[^\W\d_])(?=[\w@$!*]*[0134578@$!*])[\w@$!*]{2,23}\w(?![\w@$*])")
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?!\w)")
 MARKS = re.compile(r"[!?]{2,}")
@@ -67,7 +69,7 @@ class _Weights(dict):
     def __missing__(self, word: str) -> float:
         get = self.lexicon.get
         weight = max(get(word, 0.0), *(get(b, 0.0) for b in beginnings(word)), 0.0)
-        if len(self) > 500_000:
+        if len(self) > KEPT:
             self.clear()
         self[word] = weight
         return weight

@@ -90,8 +90,9 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := reader.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        block = reader.read(int(fields["content-length"]))
-        if len(block) < int(fields["content-length"]):
+        size = fields.get("content-length", "")
+        block = reader.read(int(size)) if size.isdigit() else b""
+        if not size.isdigit() or len(block) < int(size):
             raise ValueError("the archive ends inside a record")
         yield fields, block
 
