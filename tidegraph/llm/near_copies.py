@@ -6,9 +6,9 @@ in a band of their min-wise signature are candidates, and a candidate links if i
 of HASHES places.
 
 Groups of any size cost one comparison a member and round: a member meets the least of one of its band groups, the one
-it shares most bands with. Who links leaves all groups, as the one it linked to stands for it; who doesn't leaves those
-groups for new ones, together with all others that differ from the same text. Wide bands go first, where nearly all
-meetings link. A width is done when a round links fewer than one in DONE of those that met.
+it shares most bands with. Who links leaves all groups, as the one it linked to, of lower doc_id, stays for it; who
+doesn't leaves those groups for new ones, together with all others that differ from the same text. Wide bands go first,
+where nearly all meetings link. A width is done when PATIENCE rounds in a row link fewer than one in DONE of those that met.
 
 Exact copies collapse to one node first. Of each component of links one document stays: that with the least doc_id
 (null last), ties broken by the row's place.
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +30,10 @@ from .simhash import fingerprint, hamming_links, shingle_hashes
 
 SHINGLE = 5
 HASHES = 192
-SIMILAR = 0.78
+SIMILAR = 0.76
 #: Places of the signature in a band, by turns.
 WIDTHS = [16, 8]
-DONE = 500
+DONE, PATIENCE = 500, 2
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -85,8 +84,8 @@ def _band_links(nodes: DataFrame, folder: str) -> DataFrame:
     for width in WIDTHS:
         sigs = nodes.select("n", "sig").join(gone, "n", "left_anti")
         groups = sigs.mapInPandas(_bands(width), "n long, key long")
-        k = 0
-        while True:
+        k, idle = 0, 0
+        while idle < PATIENCE:
             at = f"{folder}/bands{width}_{k}"
             least = groups.groupBy("key").agg(F.min("n").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
             groups = work.written(groups.join(least, "key"), f"{at}/groups")
@@ -98,7 +97,8 @@ def _band_links(nodes: DataFrame, folder: str) -> DataFrame:
             same = judged.where("same")
             links = links.unionByName(same.select("a", "b"))
             gone = gone.unionByName(same.select(F.col("b").alias("n")))
-            if linked * DONE <= all_met:
+            idle = idle + 1 if linked * DONE <= all_met else 0
+            if not all_met:
                 break
             verdict = judged.select(F.col("b").alias("n"), F.col("a").alias("met"), "same")
             groups = groups.join(verdict, "n", "left").where("not coalesce(same, false)")
@@ -109,14 +109,11 @@ def _band_links(nodes: DataFrame, folder: str) -> DataFrame:
 
 def _placed(docs: DataFrame, folder: str) -> tuple[DataFrame, list]:
     """docs and two columns that tell its rows apart: file and row of a table on disk, else of a written copy."""
-    try:
-        place = [F.xxhash64("_metadata.file_path").alias("__tg_file"), F.col("_metadata.row_index").alias("__tg_row")]
-        if "_metadata" in docs.columns:
-            raise ValueError
-        return docs.select("*", *place), ["__tg_file", "__tg_row"]
-    except (AnalysisException, ValueError):
-        numbered = docs.select("*", F.lit(0).cast("long").alias("__tg_file"), F.monotonically_increasing_id().alias("__tg_row"))
-        return work.written(numbered, f"{folder}/numbered"), ["__tg_file", "__tg_row"]
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.metadataOutput().isEmpty() and "_metadata" not in docs.columns:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias("__tg_file"), F.col("_metadata.row_index").alias("__tg_row")), ["__tg_file", "__tg_row"]
+    numbered = docs.select("*", F.lit(0).cast("long").alias("__tg_file"), F.monotonically_increasing_id().alias("__tg_row"))
+    return work.written(numbered, f"{folder}/numbered"), ["__tg_file", "__tg_row"]
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -128,7 +125,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     small = rows.select(F.col(place[0]).alias("file"), F.col(place[1]).alias("row"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
     sketches = work.written(small.mapInPandas(_sketch, "file long, row long, doc_id long, no_id boolean, digest string, fp long, sig binary"), f"{folder}/sketches")
     first = F.min(F.struct("no_id", "doc_id", "file", "row")).alias("first")
-    nodes = sketches.groupBy("digest").agg(first, F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig")).withColumn("n", F.monotonically_increasing_id())
+    nodes = sketches.groupBy("digest").agg(first, F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig"))
+    nodes = nodes.repartitionByRange("first").sortWithinPartitions("first").withColumn("n", F.monotonically_increasing_id())  # n follows first
     nodes = work.written(nodes.select("n", "first", "fp", "sig"), f"{folder}/nodes")
     fps = work.written(nodes.groupBy("fp").agg(F.min("n").alias("n")), f"{folder}/fps")
     near = hamming_links(fps.select("fp"), folder)
