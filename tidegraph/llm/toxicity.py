@@ -38,6 +38,8 @@ LEXICON = 400
 THRESHOLD = 0.3
 #: Words whose weight a worker keeps: bounds its memory.
 KEPT = 200_000
+#: Entries counted in a worker before their counts go out: bounds its memory beside one text.
+COUNTED = 100_000
 FOLDS, HELD_OUT = 4, 2
 #: A lexicon entry's share of toxic texts over its share of others, and its likelihood ratio, at least.
 RATIO, EVIDENCE = 8.0, 22.0
@@ -138,14 +140,20 @@ def _lexicon(sample: DataFrame) -> dict[str, float]:
 
     def count(batches):
         both = {0: Counter(), 1: Counter()}
+
+        def flush():
+            for toxic, counter in both.items():
+                if counter:
+                    yield pd.DataFrame({"entry": list(counter), "toxic": toxic, "n": list(counter.values())})
+                    counter.clear()
+
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 seen = {w.lower() for w in WORD.findall(text)}
                 both[int(toxic)].update(seen.union(*map(beginnings, seen)))
-        for toxic, counter in both.items():
-            items = list(counter.items())
-            for at in range(0, len(items), 20_000):
-                yield pd.DataFrame({"entry": [w for w, _ in items[at : at + 20_000]], "toxic": toxic, "n": [c for _, c in items[at : at + 20_000]]})
+                if sum(map(len, both.values())) > COUNTED:
+                    yield from flush()
+        yield from flush()
 
     @F.pandas_udf("long")
     def least_shingle(text: pd.Series) -> pd.Series:
