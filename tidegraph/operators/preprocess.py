@@ -86,8 +86,7 @@ def with_endpoint_degree(edges: DataFrame, end: str = "dst") -> DataFrame:
 def clique_connections(components: DataFrame) -> DataFrame:
     """Edges that connect all components pairwise through their least vertices (id, component).
 
-    Pairs are met through an equi-join on a constant only after the representatives are counted by the caller: their
-    number is the number of components, and the result is meant to hold every pair of them.
+    The result is every pair of components, so it suits graphs of few; star_connections needs one edge for each.
     """
     reps = components.groupBy("component").agg(F.min("id").alias("rep"))
     a, b = (reps.select(F.col("rep").alias(c)) for c in ("src", "dst"))
