@@ -54,34 +54,37 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     padded = np.zeros((blocks, BLOCK + _PAD), np.uint64)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
-    flat[:n] = ids
-    padded[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    whole = n // BLOCK
+    padded[:whole, :BLOCK] = ids[: whole * BLOCK].reshape(whole, BLOCK)
+    padded[whole:, : n - whole * BLOCK] = ids[whole * BLOCK :]
     best = _selectors(_bit_lengths(padded[:, :BLOCK]))
-    length = np.full(blocks, BLOCK, np.int64)
-    length[-1] = n - (blocks - 1) * BLOCK
-    at, used = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
-    steps = []
-    alive = np.arange(blocks)
-    while len(alive):
-        s = best[alive, at[alive]]
-        steps.append((alive, at[alive], used[alive], s))
-        used[alive] += 1 + (s == ESCAPE)
-        at[alive] += COUNTS[s]
-        alive = alive[at[alive] < length[alive]]
+    flat, chosen = padded.reshape(-1), best.reshape(-1)
+    lane, at, slot = np.arange(blocks), np.arange(blocks) * BLOCK, np.zeros(blocks, np.int64)
+    end = np.minimum(at + BLOCK, n)
+    used, steps = np.zeros(blocks, np.int64), []
+    while len(lane):  # one word for each block that isn't done
+        sel = chosen[at]
+        steps.append((lane, at, slot, sel))
+        slot = slot + 1 + (sel == ESCAPE)
+        at = at + COUNTS[sel]
+        left = at < end
+        if not left.all():
+            used[lane[~left]] = slot[~left]
+            lane, at, slot, end = lane[left], at[left], slot[left], end[left]
     first = np.zeros(blocks + 1, np.int64)
     np.cumsum(used, out=first[1:])
     words = np.zeros(int(first[-1]), np.uint64)
-    block, place, slot, sel = (np.concatenate(x) for x in zip(*steps, strict=True))
-    slot = slot + first[block]
+    lane, at, slot, sel = (np.concatenate(x) for x in zip(*steps, strict=True))
+    slot += first[lane]
+    at += lane * _PAD  # places in the padded blocks
     for s in np.unique(sel):
         of = np.flatnonzero(sel == s)
-        word = np.full(len(of), np.uint64(int(s) << 60), np.uint64)
+        word, here = np.full(len(of), np.uint64(int(s) << 60), np.uint64), at[of]
         if s == ESCAPE:
-            words[slot[of] + 1] = padded[block[of], place[of]]
+            words[slot[of] + 1] = flat[here]
         elif s != ZEROS:
             for k in range(int(COUNTS[s])):
-                word |= padded[block[of], place[of] + k] << np.uint64(k * int(WIDTHS[s]))
+                word |= flat[here + k] << np.uint64(k * int(WIDTHS[s]))
         words[slot[of]] = word
     return words, first[:-1].astype(np.uint32)
 

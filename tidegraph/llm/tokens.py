@@ -89,7 +89,7 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of one whole text as bytes, 4 for each id."""
-        if not self.splits or self.odd.search(text) or any(s in text for s in self.special):
+        if not self.splits or not text.isascii() and self.odd.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         return b"".join(map(self.kept.__getitem__, self.pieces.findall(text)))
 
