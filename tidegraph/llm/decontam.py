@@ -31,7 +31,7 @@ WORD = re.compile(r"\w+")
 SEED = 3
 RARE_SHARE = 0.001
 LEAST_SEEDS = 16
-SCORE = 0.5
+SCORE = 0.42
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK = 5000
 #: Alignments computed side by side.
@@ -151,8 +151,8 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
 class Matcher:
     """Finds the pairs of a block of items in texts."""
 
-    def __init__(self, items: Items):
-        self.items = items
+    def __init__(self, items: Items, score: float = SCORE):
+        self.items, self.score = items, score
 
     def find(self, texts) -> list[tuple[int, int, float, int, int]]:
         """(row of the text, item, score, seeds, word where the passage ends) for a batch of texts."""
@@ -163,7 +163,7 @@ class Matcher:
             score, end = align([self.items.words[j[1]] for j in jobs], [j[2] for j in jobs])
             for (row, k, _, start, hits), s, e in zip(jobs, score, end, strict=True):
                 share = float(s) / (MATCH * len(self.items.words[k]))
-                if share >= SCORE:
+                if share >= self.score:
                     best[row, k] = max(best.get((row, k), (0.0, 0, 0)), (share, hits, int(start + e)))
             jobs.clear()
 
@@ -217,25 +217,25 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
 PAIRS = "k long, m boolean, item_id long, no_item boolean, score double, seeds int, ends_at_word long"
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """One row for each document and test item that it holds a copy of: doc_id, item_id, score, seeds, ends_at_word."""
     work.prepare(spark)
     key = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text"))
     out = None
     for items in blocks(docs, benchmark):
-        found = rows.mapInPandas(_finder(items), PAIRS)
+        found = rows.mapInPandas(_finder(items, score), PAIRS)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], PAIRS)
     return out.select(F.when(~F.col("m"), F.col("k")).alias("doc_id"), F.when(~F.col("no_item"), F.col("item_id")).alias("item_id"), F.round("score", 6).alias("score"), "seeds", "ends_at_word")
 
 
-def _finder(items: Items):
+def _finder(items: Items, score: float):
     names = [x.split()[0] for x in PAIRS.split(", ")]
 
     def find(batches):
-        matcher = Matcher(items)
+        matcher = Matcher(items, score)
         for batch in batches:
             k, m = batch["k"].tolist(), batch["m"].tolist()
             found = [(k[r], m[r], items.keys[i] or 0, items.keys[i] is None, s, n, e) for r, i, s, n, e in matcher.find(batch["text"])]
@@ -244,20 +244,20 @@ def _finder(items: Items):
     return find
 
 
-def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """docs without the rows that hold a copy of a test item; the decision is each row's own."""
     work.prepare(spark)
     out = docs
     for items in blocks(docs, benchmark):
-        out = out.where(~_holds(items)(F.coalesce("text", F.lit(""))))
+        out = out.where(~_holds(items, score)(F.coalesce("text", F.lit(""))))
     return out
 
 
-def _holds(items: Items):
+def _holds(items: Items, score: float):
     @F.pandas_udf("boolean")
     def holds(text: pd.Series) -> pd.Series:
         out = np.zeros(len(text), bool)
-        out[[r for r, *_ in Matcher(items).find(text)]] = True
+        out[[r for r, *_ in Matcher(items, score).find(text)]] = True
         return pd.Series(out)
 
     return holds
