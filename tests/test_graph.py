@@ -114,6 +114,7 @@ def test_triangles(spark):
         if all(p in edges for p in itertools.combinations(tri, 2)):
             want[min(tri, key=lambda v: (-degree[v], v))] += 1
     assert {r.id: r.num_triangles for r in algorithms.triangle_counts(graph).collect()} == want
+    assert {r.id: r.num_triangles for r in algorithms.triangle_counts_by_tokens(graph).collect()} == want
     work = {r.id: (r.num_active, r.sum_active) for r in algorithms.triangle_work(graph.edges).collect()}
     down = {(a, b) for a, b in edges if degree[b] >= 2 and (-degree[a], a) < (-degree[b], b)}
     out = {v: sum(a == v for a, _ in down) for v in degree}

@@ -337,6 +337,11 @@ def triangles_per_vertex(spark, sf_dir):
     return algorithms.triangle_counts(_g(spark, sf_dir))
 
 
+@query(_graph_sql(G45) + TRIANGLES + " SELECT v.id, coalesce(n, 0) AS num_triangles FROM v LEFT JOIN (SELECT i, count(*) AS n FROM t GROUP BY i) x ON x.i = v.id")
+def triangles_by_tokens(spark, sf_dir):
+    return algorithms.triangle_counts_by_tokens(_g(spark, sf_dir, G45))
+
+
 @query(_graph_sql() + DOWN + " SELECT i AS src, j AS dst FROM o")
 def edge_direction(spark, sf_dir):
     return algorithms.directed_by_rank(_g(spark, sf_dir).edges).select("src", "dst")

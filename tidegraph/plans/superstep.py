@@ -120,3 +120,39 @@ def run(graph: Graph, program: Program, max_steps: int | None = None, strategy:
         if by_dst is not None:
             by_dst.release()
     return Run(state.select("id", *state_columns), step, log)
+
+
+@dataclass
+class Relay:
+    """A message-driven program: every message acts on its own, nothing is gathered first.
+
+    start: fields of the updates that all vertices send first, over the vertices' columns. send_if: which edges an update
+    takes, over its fields, "sender", "dst" and the edge's columns. forward: fields of the update that a message makes at
+    its destination, over the message's fields; keep: which messages make one. What they don't keep is the outcome.
+    """
+
+    name: str
+    start: dict[str, Column]
+    send_if: Column
+    forward: dict[str, Column]
+    keep: Column
+    max_steps: int
+
+
+def relay(graph: Graph, program: Relay) -> DataFrame:
+    """Run a relay; returns the messages (id, fields) that ended at a vertex instead of being forwarded."""
+    by_src = graph.co_located("src")
+    updates = graph.vertices.select(F.col("id").alias("src"), *[c.alias(k) for k, c in program.start.items()])
+    ended: DataFrame | None = None
+    try:
+        for _ in range(program.max_steps):
+            sent = updates.join(by_src.edges, "src").withColumn("sender", F.col("src")).where(program.send_if).select(F.col("dst").alias("id"), *program.start)
+            sent = checkpointed(sent)
+            final = sent.where(~program.keep)
+            ended = final if ended is None else ended.unionByName(final)
+            updates = sent.where(program.keep).select(F.col("id").alias("src"), *[c.alias(k) for k, c in program.forward.items()])
+            if updates.isEmpty():
+                break
+    finally:
+        by_src.release()
+    return ended if ended is not None else updates.select(F.col("src").alias("id"), *program.start)
