@@ -37,6 +37,8 @@ from .tokens import default_tokenizer, encoder
 LENGTH = 1024
 END_ID = 2
 TAIL = 2000
+#: Word pieces that a worker keeps while it tokenizes here; they are dropped with the task.
+KEPT = 300_000
 #: Sequences opened empty are numbered from here; those opened by a piece have its number, which is lower.
 EMPTY_FROM = 1 << 62
 PIECES = "u long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -55,7 +57,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
     def make(batches):
         import pandas as pd
 
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, KEPT), np.array([end_id], "<u4").tobytes()
         u = TaskContext.get().partitionId() << 36
         for batch in batches:
             rows = []
@@ -66,6 +68,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
                     u += 1
             out = pd.DataFrame(rows, columns=["u", "doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
+        encoder.cache_clear()  # the worker goes on to other stages
 
     key = F.col("doc_id").cast("long")
     return docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(make, PIECES)

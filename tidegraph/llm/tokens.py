@@ -48,8 +48,9 @@ def _byte_letters() -> list[str]:
 class _Pieces(dict):
     """Piece to its ids as bytes; a missing one is encoded by the library's model."""
 
-    def __init__(self, model):
+    def __init__(self, model, limit: int):
         super().__init__()
+        self.limit = limit
         self.tokenize, self.letters = model.tokenize, _byte_letters()
         self.space = self.letters[32]
 
@@ -61,7 +62,7 @@ class _Pieces(dict):
         ids = array.array("I", [t.id for t in self.tokenize(coded)])
         if sys.byteorder != "little":
             ids.byteswap()
-        if len(self) >= KEPT:
+        if len(self) >= self.limit:
             self.clear()
         self[piece] = out = ids.tobytes()
         return out
@@ -70,7 +71,7 @@ class _Pieces(dict):
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,7 +82,7 @@ class PieceEncoder:
         kind = spec.get("pre_tokenizer") or {}
         self.splits = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and not spec.get("normalizer")
         self.pieces, self.odd = _splitter()
-        self.kept = _Pieces(self.model.model)
+        self.kept = _Pieces(self.model.model, kept)
 
     def whole(self, text: str) -> bytes:
         """The library's own encoding of the whole text."""
@@ -95,9 +96,9 @@ class PieceEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, kept: int = KEPT) -> PieceEncoder:
     """One encoder for each worker process."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, kept)
 
 
 def default_tokenizer() -> str:
