@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.stars import star_components
 from . import work
 from .simhash import fingerprint, hamming_links, shingle_hashes
+from .tokens import encoder
 
 SHINGLE = 5
 HASHES = 192
@@ -50,6 +51,7 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def _sketch(batches):
+    encoder.cache_clear()  # workers are reused: drop what a tokenizing stage kept
     for batch in batches:
         hashes = [shingle_hashes(t, SHINGLE) for t in batch["text"]]
         yield batch[["file", "row", "doc_id", "no_id", "digest"]].assign(fp=[fingerprint(h) for h in hashes], sig=[signature(h) for h in hashes])

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import work
 from .simhash import shingle_hashes
+from .tokens import encoder
 from .trees import Boosted, Isotonic, boost, isotonic
 
 SAMPLE = 20_000
@@ -139,6 +140,7 @@ def _lexicon(sample: DataFrame) -> dict[str, float]:
     """Entry to weight (log of the ratio of shares) from sample (text, toxic)."""
 
     def count(batches):
+        encoder.cache_clear()  # workers are reused: drop what a tokenizing stage kept
         both = {0: Counter(), 1: Counter()}
 
         def flush():
