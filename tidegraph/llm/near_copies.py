@@ -1,9 +1,9 @@
-"""Near-copy groups of whole texts: SimHash links, and shared min-wise bands verified by estimated similarity.
+"""Near-copy groups of whole texts: SimHash links, and shared min-wise bands verified by exact similarity.
 
 A 64-bit fingerprint with 3 bits to differ finds copies that are nearly whole; of pairs whose 5-word shingle sets have a
 similarity of 0.8 to 0.9 it misses most (the README has figures). So next to the fingerprints' links, texts that agree
-in a band of their min-wise signature are candidates, and a candidate links if its signature agrees in SIMILAR or more
-of HASHES places.
+in a band of their min-wise signature are candidates. A candidate whose signature agrees in LIKELY or more of HASHES
+places is compared by the shingle sets themselves, and links if they have SIMILAR or more in common.
 
 Groups of any size cost one comparison a member and round: a member meets the least of one of its band groups, the one
 it shares most bands with. Who links leaves all groups, as the one it linked to, of lower doc_id, stays for it; who
@@ -31,7 +31,12 @@ from .tokens import encoder
 
 SHINGLE = 5
 HASHES = 192
-SIMILAR = 0.76
+#: A pair links if its shingle sets have at least this similarity, as a fraction.
+SIMILAR = (4, 5)
+#: Share of equal places that a candidate needs to be worth comparing: 5 deviations below what similarity 0.8 gives.
+LIKELY = 0.655
+#: Share of equal places at which a text leaves its band groups in a round.
+ALIKE = 0.76
 #: Places of the signature in a band, by turns.
 WIDTHS = [16, 8]
 DONE, PATIENCE = 500, 2
@@ -75,11 +80,40 @@ def _verify(batches):
     for batch in batches:
         if len(batch):
             a, b = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            yield batch[["a", "b"]].assign(same=(a == b).mean(axis=1) >= SIMILAR)
+            agree = (a == b).mean(axis=1)
+            yield batch[["a", "b"]].assign(same=agree >= ALIKE, likely=agree >= LIKELY)
 
 
-def _band_links(nodes: DataFrame, folder: str) -> DataFrame:
-    """Verified links (a, b) between nodes (n, sig): b has met a in a band group."""
+def _sets(batches):
+    for batch in batches:
+        yield batch[["n"]].assign(shingles=[np.unique(shingle_hashes(t, SHINGLE)).tobytes() for t in batch["text"]])
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingle hashes are near copies; two empty sets are."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - both)
+
+
+def _judge(batches):
+    for batch in batches:
+        sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["set_a"], batch["set_b"], strict=True))
+        yield batch[["a", "b"]].assign(same=[similar(x, y) for x, y in sets])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """The pairs (a, b) of nodes (n, first) whose shingle sets are similar, by the sets themselves."""
+    pairs = work.written(pairs.distinct(), f"{folder}/likely")
+    ends = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(ends, "n").select("n", F.col("first.file").alias("file"), F.col("first.row").alias("row"))
+    sets = work.written(texts.join(wanted, ["file", "row"]).select("n", "text").mapInPandas(_sets, "n long, shingles binary"), f"{folder}/sets")
+    both = pairs.join(sets.select(F.col("n").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("n").alias("b"), F.col("shingles").alias("set_b")), "b")
+    judged = both.select("a", "b", "set_a", "set_b").mapInPandas(_judge, "a long, b long, same boolean")
+    return work.written(judged.where("same").select("a", "b"), f"{folder}/verified")
+
+
+def _met_pairs(nodes: DataFrame, folder: str) -> DataFrame:
+    """Likely pairs (a, b) of nodes (n, sig): b has met a in a band group."""
     spark = nodes.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     gone = spark.createDataFrame([], "n long")
@@ -94,10 +128,10 @@ def _band_links(nodes: DataFrame, folder: str) -> DataFrame:
             met = groups.where("n <> a").groupBy("n", "a").agg(F.count("*").alias("shared")).groupBy("n").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
             met = met.select((-F.col("best.a")).alias("a"), F.col("n").alias("b"))
             pairs = met.join(sigs.select(F.col("n").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("n").alias("b"), F.col("sig").alias("sig_b")), "b")
-            judged = work.written(pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(_verify, "a long, b long, same boolean"), f"{at}/judged")
+            judged = work.written(pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(_verify, "a long, b long, same boolean, likely boolean"), f"{at}/judged")
             all_met, linked = judged.agg(F.count("*"), F.coalesce(F.sum(F.col("same").cast("long")), F.lit(0))).first()
             same = judged.where("same")
-            links = links.unionByName(same.select("a", "b"))
+            links = links.unionByName(judged.where("likely").select("a", "b"))
             gone = gone.unionByName(same.select(F.col("b").alias("n")))
             idle = idle + 1 if linked * DONE <= all_met else 0
             if not all_met:
@@ -135,7 +169,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     of_fp = fps.select(F.col("fp").alias("a"), F.col("n").alias("na"))
     links = near.join(of_fp, "a").join(of_fp.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     equal = nodes.select("fp", F.col("n").alias("b")).join(fps.select("fp", F.col("n").alias("a")), "fp").where("a <> b").select("a", "b")
-    links = links.unionByName(equal).unionByName(_band_links(nodes, folder))
+    links = work.written(links.unionByName(equal).unionByName(_verified(_met_pairs(nodes, folder), nodes, small, f"{folder}/met")), f"{folder}/links")
     grouped = star_components(links, folder).withColumnRenamed("id", "n")
     kept = nodes.select("n", "first").join(grouped, "n", "left").groupBy(F.coalesce("component", "n").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.file").alias("file"), F.col("first.row").alias("row"))
