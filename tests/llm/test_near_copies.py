@@ -43,3 +43,14 @@ def test_similarity_of_sets():
     a = np.arange(9, dtype=np.uint64)
     assert near_copies.similar(a[:8], a[:10]) and near_copies.similar(a[:4], np.arange(5, dtype=np.uint64))
     assert not near_copies.similar(a[:7], a) and near_copies.similar(a[:0], a[:0]) and not near_copies.similar(a[:0], a)
+
+
+def test_copies_among_many_with_a_shared_passage(spark, monkeypatch):
+    """Texts of one passage, all unlike each other, don't hide the two that are copies; nor do blocks."""
+    rng = random.Random(9)
+    passage = _words(rng, 164)
+    texts = [" ".join(passage + _words(rng, n)) for n in [80] * 200 + [18, 18]]
+    assert _similarity(texts[200], texts[201]) >= 0.8 and max(_similarity(texts[k], x) for k in range(200) for x in texts[k + 1 :]) < 0.7
+    assert _kept(spark, texts) == set(range(201))
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    assert _kept(spark, texts) == set(range(201))

@@ -9,6 +9,8 @@ Groups of any size cost one comparison a member and round: a member meets the le
 it shares most bands with. Who links leaves all groups, as the one it linked to, of lower doc_id, stays for it; who
 doesn't leaves those groups for new ones, together with all others that differ from the same text. Wide bands go first,
 where nearly all meetings link. A width is done when PATIENCE rounds in a row link fewer than one in DONE of those that met.
+These rounds only save comparisons: afterwards all members of a narrow band group that links don't connect yet are
+compared, each with each, large groups in blocks of BLOCK members that meet block by block in tasks of their own.
 
 Exact copies collapse to one node first. Of each component of links one document stays: that with the least doc_id
 (null last), ties broken by the row's place.
@@ -40,6 +42,8 @@ ALIKE = 0.76
 #: Places of the signature in a band, by turns.
 WIDTHS = [16, 8]
 DONE, PATIENCE = 500, 2
+#: Members of a band group that are compared with each other in one row.
+BLOCK = 128
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -143,6 +147,33 @@ def _met_pairs(nodes: DataFrame, folder: str) -> DataFrame:
     return links
 
 
+def _blocks(batches):
+    for batch in batches:
+        found = []
+        for n, component, part, sigs, apart in zip(*(batch[c] for c in batch.columns), strict=True):
+            sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, HASHES)
+            for k in range(1, len(n)):
+                other = (component[:k] != component[k]) & ((part[:k] != part[k]) | (not apart))
+                at = np.flatnonzero(other)
+                at = at[(sig[at] == sig[k]).mean(axis=1) >= LIKELY]
+                found += [(min(n[k], x), max(n[k], x)) for x in n[at]]
+        yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _unmet_pairs(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """Likely pairs (a, b) of nodes (n, sig) that share a narrow band (so any band) and that links don't connect."""
+    known = star_components(links, f"{folder}/known").withColumnRenamed("id", "n")
+    labelled = work.written(nodes.select("n", "sig").join(known, "n", "left").select("n", "sig", F.coalesce("component", "n").alias("component")), f"{folder}/labelled")
+    groups = labelled.select("n", "sig").mapInPandas(_bands(WIDTHS[-1]), "n long, key long").join(labelled.select("n", "component"), "n")
+    groups = work.written(groups, f"{folder}/groups")
+    sizes = groups.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+    parts = F.ceil(F.col("size") / BLOCK)
+    mixed = groups.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("n"), "parts"))
+    met = mixed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(labelled.select("n", "sig"), "n")
+    rows = met.groupBy("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two")).agg(F.collect_list(F.struct("n", "component", "part", "sig")).alias("members"))
+    return rows.select("members.n", "members.component", "members.part", "members.sig", (F.col("one") < F.col("two")).alias("apart")).mapInPandas(_blocks, "a long, b long")
+
+
 def _placed(docs: DataFrame, folder: str) -> tuple[DataFrame, list]:
     """docs and two columns that tell its rows apart: file and row of a table on disk, else of a written copy."""
     plan = docs._jdf.queryExecution().analyzed()
@@ -170,6 +201,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = near.join(of_fp, "a").join(of_fp.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     equal = nodes.select("fp", F.col("n").alias("b")).join(fps.select("fp", F.col("n").alias("a")), "fp").where("a <> b").select("a", "b")
     links = work.written(links.unionByName(equal).unionByName(_verified(_met_pairs(nodes, folder), nodes, small, f"{folder}/met")), f"{folder}/links")
+    alone = nodes.join(links.select(F.col("b").alias("n")), "n", "left_anti")
+    links = links.unionByName(_verified(_unmet_pairs(alone, links, f"{folder}/unmet"), nodes, small, f"{folder}/unmet"))
     grouped = star_components(links, folder).withColumnRenamed("id", "n")
     kept = nodes.select("n", "first").join(grouped, "n", "left").groupBy(F.coalesce("component", "n").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.file").alias("file"), F.col("first.row").alias("row"))
