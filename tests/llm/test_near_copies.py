@@ -54,3 +54,16 @@ def test_copies_among_many_with_a_shared_passage(spark, monkeypatch):
     assert _kept(spark, texts) == set(range(201))
     monkeypatch.setattr(near_copies, "BLOCK", 16)
     assert _kept(spark, texts) == set(range(201))
+
+
+def test_linked_texts_still_link_others(spark):
+    """Copies c1 and c2 of o are unlike each other; o meets c1 first and must link c2 too."""
+    rng = random.Random(10)
+    first, second, whole = [], [], []
+    for _ in range(20):
+        o = _words(rng, 204)
+        first.append(" ".join(o[:-16] + _words(rng, 16)))
+        second.append(" ".join(_words(rng, 16) + o[16:]))
+        whole.append(" ".join(o))
+        assert _similarity(first[-1], whole[-1]) >= 0.8 and _similarity(second[-1], whole[-1]) >= 0.8 and _similarity(first[-1], second[-1]) < 0.75
+    assert _kept(spark, first + second + whole) == set(range(20))

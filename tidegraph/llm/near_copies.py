@@ -10,7 +10,7 @@ it shares most bands with. Who links leaves all groups, as the one it linked to,
 doesn't leaves those groups for new ones, together with all others that differ from the same text. Wide bands go first,
 where nearly all meetings link. A width is done when PATIENCE rounds in a row link fewer than one in DONE of those that met.
 These rounds only save comparisons: afterwards all members of a narrow band group that links don't connect yet are
-compared, each with each, large groups in blocks of BLOCK members that meet block by block in tasks of their own.
+compared, those that have linked included, each with each, large groups in blocks of BLOCK members that meet block by block in tasks of their own.
 
 Exact copies collapse to one node first. Of each component of links one document stays: that with the least doc_id
 (null last), ties broken by the row's place.
@@ -201,8 +201,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = near.join(of_fp, "a").join(of_fp.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     equal = nodes.select("fp", F.col("n").alias("b")).join(fps.select("fp", F.col("n").alias("a")), "fp").where("a <> b").select("a", "b")
     links = work.written(links.unionByName(equal).unionByName(_verified(_met_pairs(nodes, folder), nodes, small, f"{folder}/met")), f"{folder}/links")
-    alone = nodes.join(links.select(F.col("b").alias("n")), "n", "left_anti")
-    links = links.unionByName(_verified(_unmet_pairs(alone, links, f"{folder}/unmet"), nodes, small, f"{folder}/unmet"))
+    links = links.unionByName(_verified(_unmet_pairs(nodes, links, f"{folder}/unmet"), nodes, small, f"{folder}/unmet"))
     grouped = star_components(links, folder).withColumnRenamed("id", "n")
     kept = nodes.select("n", "first").join(grouped, "n", "left").groupBy(F.coalesce("component", "n").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.file").alias("file"), F.col("first.row").alias("row"))
