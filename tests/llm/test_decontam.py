@@ -58,6 +58,18 @@ def test_copies_are_found_and_nothing_else(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _ in docs if d not in {x for x, _ in want} )
 
 
+def test_any_stretch_of_a_common_item_is_found(spark):
+    """An item that most documents hold whole, and documents with only its first, middle or last words."""
+    rng = random.Random(5)
+    item = _words(rng, 54)
+    parts = [item[:36], item[9:45], item[18:], item[28:]]
+    docs = [(d, " ".join(_words(rng, 20) + item + _words(rng, 20))) for d in range(60)]
+    docs += [(60 + d, " ".join(_words(rng, 30) + parts[d % 4] + _words(rng, 30))) for d in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id for r in decontam.leaks(spark, frame, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {d for d, t in docs if _score(" ".join(item), t) >= decontam.SCORE} and len(got) == 80
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, " ".join(_words(rng, 12))) for i in range(9)]

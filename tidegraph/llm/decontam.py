@@ -1,14 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Each test item's word trigrams are its seeds. One pass counts in how many documents each seed occurs.
-2. An item keeps its rare seeds: those in at most RARE_SHARE of the documents, and in any case its LEAST_SEEDS rarest, so
-   an item that very many documents hold is still found.
-3. A second pass looks the seeds up in every document. Hits of an item that lie near one alignment diagonal open a
+1. Each test item's word trigrams are its seeds: all of them, as the seeds of an item that very many documents hold are
+   common everywhere, and a copy of any stretch of it has only the seeds of that stretch.
+2. One pass looks the seeds up in every document. Hits of an item that lie near one alignment diagonal open a
    window, and the window is aligned to the item word by word (match 2, mismatch and gap -1, local). The score is the
    best alignment's share of the item's own score; SCORE or more reports the pair.
 
 The items are the query set: they are taken in blocks of at most BLOCK items, so what goes to the tasks is bounded;
-every block meets all documents. Nothing is shuffled but seed counts.
+every block meets all documents. Nothing is shuffled.
 
 Defined results: null texts hold nothing; items of fewer than 3 words have no seed and give no rows; a null doc_id or
 item_id comes back as null; repeated rows give repeated pairs; an empty table gives no rows; other columns are ignored.
@@ -29,8 +28,6 @@ from . import work
 
 WORD = re.compile(r"\w+")
 SEED = 3
-RARE_SHARE = 0.001
-LEAST_SEEDS = 16
 SCORE = 0.42
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK = 5000
@@ -56,8 +53,9 @@ class Items:
         at = np.searchsorted(self.seeds, np.concatenate(codes)) if codes else np.zeros(0, np.int64)
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
-        self.item, self.place, self.seed = item, place, at
-        self.use(np.ones(len(at), bool))
+        order = np.argsort(at, kind="stable")
+        self.of_seed = at[order], item[order], place[order]
+        self.first = np.searchsorted(self.of_seed[0], np.arange(len(self.seeds) + 1))
 
     def codes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, codes) of the trigrams of which all words are known."""
@@ -68,21 +66,6 @@ class Items:
         at = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
         return at, (a[at] * n + b[at]) * n + c[at]
 
-    def use(self, kept: np.ndarray) -> None:
-        """Keep some (item, place, seed) rows for lookups, sorted by seed."""
-        order = np.flatnonzero(kept)[np.argsort(self.seed[kept], kind="stable")]
-        self.of_seed = self.seed[order], self.item[order], self.place[order]
-        self.first = np.searchsorted(self.of_seed[0], np.arange(len(self.seeds) + 1))
-
-    def keep_rare(self, counts: np.ndarray, documents: int) -> None:
-        """counts: documents that hold each seed."""
-        rarity = counts[self.seed]
-        order = np.lexsort((self.place, rarity, self.item))
-        rank = np.empty(len(order), np.int64)
-        starts = np.searchsorted(self.item[order], np.arange(len(self.keys)))
-        rank[order] = np.arange(len(order)) - np.repeat(starts, np.bincount(self.item, minlength=len(self.keys)))
-        self.use((rarity <= RARE_SHARE * documents) | (rank < LEAST_SEEDS))
-
     def ids_of(self, text: str | None) -> np.ndarray:
         words = words_of(text)
         get = self.vocabulary.get
@@ -178,30 +161,8 @@ class Matcher:
         return [(row, k, *found) for (row, k), found in sorted(best.items())]
 
 
-def _counted(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """Documents that hold each seed of a block, and documents in all: one pass, summed before it leaves a task."""
-
-    def count(batches):
-        totals, seen = np.zeros(len(items.seeds), np.int64), 0
-        for batch in batches:
-            for text in batch["text"]:
-                seen += 1
-                totals[np.unique(items.seeds_in(items.ids_of(text))[1])] += 1
-        some = np.flatnonzero(totals)
-        yield pd.DataFrame({"seed": np.append(some, -1), "n": np.append(totals[some], seen)})
-
-    rows = docs.select("text").mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-    out, seen = np.zeros(len(items.seeds), np.int64), 0
-    for seed, n in rows.itertuples(index=False, name=None):
-        if seed < 0:
-            seen = int(n)
-        else:
-            out[seed] = n
-    return out, seen
-
-
-def blocks(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
-    """The items in blocks of about BLOCK, each with its rare seeds marked by counts over all documents."""
+def blocks(benchmark: DataFrame) -> list[Items]:
+    """The items in blocks of about BLOCK."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     parts = math.ceil(rows.count() / BLOCK)
     out = []
@@ -209,7 +170,6 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
         items = Items([(r["item_id"], r["text"]) for r in block])
         if items.keys:
-            items.keep_rare(*_counted(docs, items))
             out.append(items)
     return out
 
@@ -223,7 +183,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, score: flo
     key = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text"))
     out = None
-    for items in blocks(docs, benchmark):
+    for items in blocks(benchmark):
         found = rows.mapInPandas(_finder(items, score), PAIRS)
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -248,7 +208,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sc
     """docs without the rows that hold a copy of a test item; the decision is each row's own."""
     work.prepare(spark)
     out = docs
-    for items in blocks(docs, benchmark):
+    for items in blocks(benchmark):
         out = out.where(~_holds(items, score)(F.coalesce("text", F.lit(""))))
     return out
 
