@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -36,11 +37,11 @@ def test_odd_rows(spark, odd_docs, odd_rows):
 
 
 def test_small_sequences_and_rounds(spark):
-    """Hot sizes, many pieces a sequence, several rounds, and a tail of the smallest."""
+    """Hot sizes, many pieces a sequence, and several rounds."""
     rng = np.random.default_rng(0)
     texts = [(i, " ".join(["word"] * int(n))) for i, n in enumerate([*rng.integers(1, 90, 400), *[20] * 300, *[1] * 200])]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
-    rows = packing.pack(spark, docs, length=64, tail=50).collect()
+    rows = packing.pack(spark, docs, length=64).collect()
     n = _check(rows, texts, 64)
     assert n <= 1.02 * sum(r.length for r in rows) / 64 + 1
 
@@ -48,7 +49,7 @@ def test_small_sequences_and_rounds(spark):
 @pytest.mark.parametrize("sizes", [[5] * 700, [513] * 30 + [511] * 30, [300] * 40 + [200] * 40 + [10] * 300, [1] * 1500, [1023] * 10 + [1] * 10])
 def test_place_comes_near_the_bound(spark, sizes, tmp_path):
     items = spark.createDataFrame(list(enumerate(sizes)), "id long, size long").repartition(4)
-    seqs = {r.id: r.seq for r in packing.place(items, f"file://{tmp_path}/p", 1024, tail=20).collect()}
+    seqs = {r.id: r.seq for r in packing.place(items, f"file://{tmp_path}/p", 1024).collect()}
     fill = {}
     for i, s in enumerate(sizes):
         fill[seqs[i]] = fill.get(seqs[i], 0) + s
@@ -69,3 +70,34 @@ def test_carry_pairs_ranks():
 
 def test_empty_table(spark, no_docs):
     assert packing.pack(spark, no_docs).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_sweeps_place_everything(spark, monkeypatch):
+    """Whatever doesn't open a sequence of its own gets its place in a sweep; the number of sequences is near its bound."""
+    sweeps, sweep = [], packing._sweep
+
+    def counted(*args):
+        sweeps.append(out := sweep(*args))
+        return out
+
+    monkeypatch.setattr(packing, "_sweep", counted)
+    rows = packing.pack(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert len(sweeps) > 1
+    placed = sum(x.where("seq is not null").count() for x in sweeps)
+    assert placed == sum(r.length <= 512 for r in rows) > 0
+    assert len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // 1024) + 2
+
+
+def test_first_round_has_gaps(spark, monkeypatch, tmp_path):
+    """Without any large piece, empty sequences are there before the first sweep, so that it places pieces."""
+    sweeps, sweep = [], packing._sweep
+
+    def counted(*args):
+        sweeps.append(sweep(*args))
+        return sweeps[-1]
+
+    monkeypatch.setattr(packing, "_sweep", counted)
+    items = spark.createDataFrame([(i, 5) for i in range(3000)], "id long, size long").repartition(4)
+    assert packing.place(items, f"file://{tmp_path}/p").count() == 3000
+    assert all(not x.where("seq is not null").isEmpty() for x in sweeps)

@@ -3,18 +3,19 @@
 Each document becomes ids and an end id. Documents longer than a sequence are cut: the remainder is the first piece,
 all others fill a sequence of their own. The remainders are packed:
 
-1. Pieces over half a sequence can't share one, so each opens a sequence and leaves a gap.
+1. Pieces over half a sequence can't share one, so each opens a sequence and leaves a gap. Before every round as many
+   empty sequences are opened as the pieces exceed all gaps together by: whatever the packing, no fewer will do.
 2. A round puts the pieces and the gaps into one order by size, descending, dealt over range partitions. Going down
    this order, a piece takes the nearest gap above it that no piece before it has taken: its best fit; between pieces
    that want one gap, the rank in the order decides. Each partition resolves its own range with a stack; what is left
    of it is some pieces that look for gaps further up and some gaps free for pieces further down. A carry over the
-   partitions' counts (two numbers each) pairs these by rank, and one equi-join hands the gaps over.
-3. Gaps shrink by what they took, and the round is repeated. While all open pieces are less than half of a gap, the gap
-   stands in the order as several slots, so that small pieces don't need a round each.
+   partitions' counts (two numbers each) pairs these by ranges of ranks, and two joins hand the gaps over.
+3. Gaps shrink by what they took, and the round is repeated until every piece has its place. While all open pieces are
+   less than half of a gap, the gap stands in the order as several slots, so that small pieces don't need a round each.
 4. When a round places nothing, as many empty sequences are opened as the rest fills at least.
-5. The last TAIL pieces are packed best-fit decreasing in one go; TAIL is a constant, so this does not grow.
 
 No step holds more than one range partition or constant data in a task, and every round's state is a written table.
+The driver sees a few sums and two numbers a partition; the method is the same at every size.
 
 Defined results: a null text is one end id; null and repeated doc_ids are kept (rows are told apart by a key of their
 own); an empty table gives no rows; other columns are ignored.
@@ -22,7 +23,6 @@ own); an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import math
 import zlib
 
@@ -36,7 +36,6 @@ from .tokens import default_tokenizer, encoder
 
 LENGTH = 1024
 END_ID = 2
-TAIL = 2000
 #: Sequences opened empty are numbered from here; those opened by a piece have its number, which is lower.
 EMPTY_FROM = 1 << 62
 PIECES = "u long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -119,9 +118,10 @@ def carry(counts: dict[int, tuple[int, int]]) -> dict[int, list[tuple[int, int,
     return taken
 
 
-def _sweep(items: DataFrame, gaps: DataFrame, folder: str, largest: int) -> DataFrame:
+def _sweep(items: DataFrame, gaps: DataFrame, folder: str, largest: int, most_slots: int) -> DataFrame:
     """One round. items (id, size), gaps (seq, gap); returns items with seq, null where none was found."""
-    slots = F.greatest(F.lit(1), F.floor(F.col("gap") / F.lit(largest))).cast("int")
+    spark = items.sparkSession
+    slots = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / F.lit(largest)), F.lit(most_slots))).cast("int")
     open_ = gaps.select("seq", "gap", slots.alias("n")).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n"))))
     open_ = open_.select(F.lit(0).alias("kind"), F.floor(F.col("gap") / F.col("n")).cast("long").alias("size"), F.col("seq").alias("id"))
     rows = items.select(F.lit(1).alias("kind"), "size", "id").unionByName(open_)
@@ -129,85 +129,56 @@ def _sweep(items: DataFrame, gaps: DataFrame, folder: str, largest: int) -> Data
     swept = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_local_sweep, "kind int, id long, size long, seq long, part int, rank long")
     swept = work.written(swept, f"{folder}/swept")
     counts = {r["part"]: (r["gaps"], r["pieces"]) for r in swept.where("kind < 2").groupBy("part").agg(F.sum(F.expr("int(kind = 0)")).alias("gaps"), F.sum(F.expr("int(kind = 1)")).alias("pieces")).collect()}
-    taken = carry(counts)
-
-    def find(batches):
-        for batch in batches:
-            gp, gr = np.full(len(batch), -1), np.full(len(batch), -1)
-            part, rank = batch["part"].to_numpy(), batch["rank"].to_numpy()
-            for p in np.unique(part):
-                for at, n, gap_part, top in taken.get(int(p), ()):
-                    hit = (part == p) & (rank >= at) & (rank < at + n)
-                    gp[hit], gr[hit] = gap_part, top - (rank[hit] - at)
-            yield batch[["id", "size"]].assign(gp=gp, gr=gr)
-
-    pairs = swept.where("kind = 2").select("id", "size", "seq")
-    looking = swept.where("kind = 1").select("id", "size", "part", "rank").mapInPandas(find, "id long, size long, gp int, gr long")
-    free = swept.where("kind = 0").select(F.col("part").alias("gp"), F.col("rank").alias("gr"), "seq")
-    handed = looking.where("gp >= 0").join(free, ["gp", "gr"]).select("id", "size", "seq")
-    rest = looking.where("gp < 0").select("id", "size", F.lit(None).cast("long").alias("seq"))
-    return work.written(pairs.unionByName(handed).unionByName(rest), f"{folder}/result")
-
-
-def _best_fit_decreasing(items: list[tuple[int, int]], gaps: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """(piece, sequence) for (size, id) items and (gap, seq) gaps; opens sequences named by their first piece."""
-    gaps = sorted(gaps)
-    out = []
-    for size, key in sorted(items, key=lambda x: (-x[0], x[1])):
-        k = bisect.bisect_left(gaps, (size, -1))
-        gap, seq = gaps.pop(k) if k < len(gaps) else (length, key)
-        out.append((key, seq))
-        if gap > size:
-            bisect.insort(gaps, (gap - size, seq))
-    return out
+    runs = [(p, at, at + n, gp, top + at) for p, found in carry(counts).items() for at, n, gp, top in found]
+    # a run ends a partition's pieces or a partition's gaps, so there are two a range partition at most
+    taken = F.broadcast(spark.createDataFrame(runs, "part int, low long, high long, gp int, turn long"))
+    looking = swept.where("kind = 1").select("id", "size", "part", "rank").alias("p")
+    looking = looking.join(taken.alias("t"), F.expr("p.part = t.part and p.rank >= t.low and p.rank < t.high"), "left").select("id", "size", "gp", (F.col("turn") - F.col("rank")).alias("gr"))
+    free = swept.where("kind = 0").select(F.col("part").alias("gp"), F.col("rank").alias("gr"), F.col("seq").alias("given"))
+    looking = looking.join(free, ["gp", "gr"], "left").select("id", "size", F.col("given").alias("seq"))
+    return work.written(swept.where("kind = 2").select("id", "size", "seq").unionByName(looking), f"{folder}/result")
 
 
-def place(items: DataFrame, folder: str, length: int = LENGTH, tail: int = TAIL) -> DataFrame:
+def place(items: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
     """Sequence of each piece shorter than a sequence. items: id, size; ids differ and lie below EMPTY_FROM."""
     spark = items.sparkSession
     large = items.where(F.col("size") > length // 2)
-    done = [large.select("id", F.col("id").alias("seq"))]
     gaps = large.select(F.col("id").alias("seq"), (F.lit(length) - F.col("size")).alias("gap"))
-    left, empty, k = items.where(F.col("size") <= length // 2), 0, 0
+    left, done, empty, k, stuck = items.where(F.col("size") <= length // 2), [], 0, 0, False
     while True:
-        # nothing is collected but these four figures
+        # nothing is collected but these figures
         n, most, least, total = left.agg(F.count("*"), F.max("size"), F.min("size"), F.sum("size")).first()
         if not n:
             break
-        at = f"{folder}/round{k}"
         gaps = gaps.where(F.col("gap") >= least)
-        if n <= tail:
-            few = Window.partitionBy("gap").orderBy("seq")  # no more than n gaps of a size can be used
-            kept = gaps.withColumn("r", F.row_number().over(few)).where(F.col("r") <= n).select("gap", "seq").toPandas()
-            rows = left.select("size", "id").toPandas()
-            last = _best_fit_decreasing(list(rows.itertuples(index=False, name=None)), list(kept.itertuples(index=False, name=None)), length)
-            done.append(spark.createDataFrame(last, "id long, seq long"))
-            break
-        found = _sweep(left, gaps, at, most)
+        holes, room = gaps.agg(F.count("*"), F.coalesce(F.sum("gap"), F.lit(0))).first()
+        new = math.ceil(total / length) if stuck else max(0, math.ceil((total - room) / length))
+        if new:
+            gaps = gaps.unionByName(spark.range(empty, empty + new).select((F.col("id") + EMPTY_FROM).alias("seq"), F.lit(length).cast("long").alias("gap")))
+            empty, holes = empty + new, holes + new
+        at = f"{folder}/round{k}"
+        # twice as many slots as pieces are enough, and one a gap
+        found = _sweep(left, gaps, at, most, math.ceil(2 * n / holes))
         placed = found.where("seq is not null")
-        done.append(placed.select("id", "seq"))
+        done.append(f"{at}/result")
         used = placed.groupBy("seq").agg(F.sum("size").alias("used"))
         gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
-        left = found.where("seq is null").select("id", "size")
-        rest = left.agg(F.count("*"), F.sum("size")).first()
-        if rest[0] == n:
-            new = math.ceil(total / length)
-            gaps = gaps.unionByName(spark.range(empty, empty + new).select((F.col("id") + EMPTY_FROM).alias("seq"), F.lit(length).cast("long").alias("gap")))
-            empty += new
         gaps = work.written(gaps.where(F.col("gap") > 0), f"{at}/gaps")
+        left = found.where("seq is null").select("id", "size")
+        stuck = placed.isEmpty()
         k += 1
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
+    out = large.select("id", F.col("id").alias("seq"))
+    if done:
+        out = out.unionByName(spark.read.schema("id long, size long, seq long").parquet(*done).where("seq is not null").select("id", "seq"))
     return out
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, tail: int = TAIL) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Pieces of docs (doc_id, text) with their sequence and their offset in it."""
     folder = work.work_folder(spark, "packing")
     pieces = work.written(pieces_of(docs, tokenizer, end_id, length), f"{folder}/pieces")
     items = pieces.where(F.col("length") < length).select(F.col("u").alias("id"), F.col("length").alias("size"))
-    seqs = place(items, folder, length, tail).select(F.col("id").alias("u"), F.col("seq").alias("sequence_id"))
+    seqs = place(items, folder, length).select(F.col("id").alias("u"), F.col("seq").alias("sequence_id"))
     full = pieces.where(F.col("length") == length).withColumn("sequence_id", F.col("u"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id"]
     shared = pieces.where(F.col("length") < length).join(seqs, "u")
