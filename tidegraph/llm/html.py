@@ -9,14 +9,19 @@
 Blocks of the container are kept whole and in order, except boilerplate subtrees (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts). Character references are decoded, white space in a block becomes one space.
 
+A page is read in time that grows with its length, whatever its markup: where an open quote leaves a tag without end, this
+and all later tags of the page end at the next ``>``. Of an article's own header only the headings are text.
+
 Defined results: null or empty html gives an empty text; a null or odd url belongs to the host "" and is returned as it
-is; null and repeated page_ids keep their rows; an empty table gives no rows; other columns are ignored.
+is; null and repeated page_ids keep their rows; an empty table gives no rows; other columns are ignored; very long and deeply nested pages are read whole; equal votes
+go to the longer, then the greater path, and equal scores to the first container of a page.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +29,8 @@ from pyspark.sql import functions as F
 
 from . import work
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>|<\?[^>]*>", re.S)
+START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?])")
+STOP = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Element kinds of the language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,11 +49,16 @@ GOOD_WORDS = set("article blog body content entry main post story text".split())
 VOTE_SHARE = 0.5
 
 
-@dataclass
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+
+
+@dataclass(slots=True)
 class Element:
+    #: The nearest block above, and the number of this element's path.
     parent: int
     tag: str
-    path: str
+    step: str
+    path: int
     dropped: bool
     hint: float
 
@@ -57,6 +68,23 @@ class Parsed:
     elements: list[Element] = field(default_factory=list)
     #: (element, text, share of it that is link text)
     blocks: list[tuple[int, str, float]] = field(default_factory=list)
+    #: (number of a path, further step) to the number of the longer path
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def path_of(self, e: int) -> str:
+        """The steps from the outermost block to an element, written out."""
+        steps = []
+        while e > 0:
+            steps.append(self.elements[e].step)
+            e = self.elements[e].parent
+        return "".join(f">{x}" for x in reversed(steps))
+
+    def number_of(self, path: str) -> int | None:
+        """The number of a path, if the page has it."""
+        at: int | None = 0
+        for step in path.split(">")[1:]:
+            at = self.paths.get((at, step)) if at is not None else None
+        return at
 
 
 _kinds: dict[tuple[str, str], tuple[str, bool, float]] = {}
@@ -73,23 +101,50 @@ def _kind(tag: str, raw: str) -> tuple[str, bool, float]:
     words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join([*classes, attrs.get("id", "")])).lower()))
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     dropped = tag in DROP_TAGS or hidden or attrs.get("role", "").lower() in DROP_ROLES
-    if tag not in ("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"):
+    if tag not in HEADINGS and tag not in ("html", "body", "main", "article"):
         dropped = dropped or bool(words & DROP_WORDS)
     elif tag == "article":
         dropped = dropped or bool(words & {"ad", "ads", "advert", "comment", "comments", "promo", "related", "reply", "sponsored"})
     hint = {"article": 2.0, "main": 1.6, "section": 1.1, "body": 0.6}.get(tag, 1.0) * (1.5 if words & GOOD_WORDS else 1.0)
-    step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c.lower()) for c in classes})])
+    step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c.lower().replace(">", "")) for c in classes})])
     if len(_kinds) > 50_000:
         _kinds.clear()
-    _kinds[(tag, raw)] = out = (step, dropped, hint)
+    out = (step, dropped, hint)
+    if len(raw) < 500:
+        _kinds[(tag, raw)] = out
     return out
 
 
+class _Tags:
+    """Finds where tags end; a quote opens a value only after an equals sign."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes = html, True
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends a tag whose name ends at a place; -1 if there is none."""
+        i = at
+        while self.quotes and (m := STOP.search(self.html, i)):
+            if m[0] == ">":
+                return m.start()
+            i, before = m.end(), m.start() - 1
+            while before >= at and self.html[before].isspace():
+                before -= 1
+            if before >= at and self.html[before] == "=":
+                i = self.html.find(m[0], i) + 1
+                if not i:
+                    break
+        self.quotes = False
+        return self.html.find(">", at)
+
+
 def parse(html: str) -> Parsed:
     """Elements and text blocks of a page; missing end tags are supplied the usual way."""
-    page = Parsed([Element(-1, "", "", False, 0.0)])
-    elements, stack, parts = page.elements, [0], []
-    links, linked, chars = 0, 0, 0
+    page = Parsed([Element(-1, "", "", 0, False, 0.0)])
+    elements, parts, tags = page.elements, [], _Tags(html)
+    stack, blocks = [0], [0]
+    opened: Counter[str] = Counter()
+    chars, linked = 0, 0
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -97,35 +152,42 @@ def parse(html: str) -> Parsed:
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                owner = next((e for e in reversed(stack) if elements[e].tag in BLOCK), 0)
-                page.blocks.append((owner, text, linked / max(1, chars)))
+                page.blocks.append((blocks[-1], text, linked / max(1, chars)))
             parts = []
         linked = chars = 0
 
     def close(to: int) -> None:
-        nonlocal links
-        for e in stack[to:]:
-            links -= elements[e].tag == "a"
+        for e in reversed(stack[to:]):
+            opened[elements[e].tag] -= 1
+            if blocks[-1] == e:
+                blocks.pop()
         del stack[to:]
 
+    def above(kinds) -> int:
+        """Place on the stack of the last open element of some kinds, 0 if there is none."""
+        if not any(opened[k] for k in kinds):
+            return 0
+        return next(i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].tag in kinds)
+
     while at < end:
-        m = TOKEN.search(html, at)
+        m = START.search(html, at)
         upto = m.start() if m else end
         if upto > at and not elements[stack[-1]].dropped:
-            text = html[at:upto]
-            parts.append(text)
-            n = len(text)
-            chars += n
-            linked += n if links else 0
+            parts.append(html[at:upto])
+            chars += upto - at
+            linked += upto - at if opened["a"] else 0
         if not m:
             break
-        at = m.end()
         if not m[2]:
+            at = html.find("-->", m.start() + 2) + 3 if m[3] else html.find(">", m.end()) + 1
+            at = at if at > m.start() + 2 else end
             continue
-        tag = m[2].lower()
+        stop = tags.end(m.end())
+        if stop < 0:
+            break
+        at, raw, tag = stop + 1, html[m.end() : stop], m[2].lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].tag == tag), 0)
-            if k:
+            if k := above({tag}):
                 if tag in BLOCK or elements[stack[k]].dropped:
                     flush()
                 close(k)
@@ -136,11 +198,9 @@ def parse(html: str) -> Parsed:
         block = tag in BLOCK
         if block:
             flush()
-            if tag != "html":
-                k = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].tag in BLOCK), 0)
-                if k and elements[stack[k]].tag == "p":
-                    close(k)
-            if tag in CLOSES:
+            if tag != "html" and elements[blocks[-1]].tag == "p":
+                close(above({"p"}))
+            if tag in CLOSES and above(CLOSES[tag]):
                 for i in range(len(stack) - 1, 0, -1):
                     other = elements[stack[i]].tag
                     if other in CLOSES[tag]:
@@ -149,22 +209,29 @@ def parse(html: str) -> Parsed:
                             break
                     elif other in ("ul", "ol", "dl", "table", "select", "menu"):
                         break
-        step, dropped, hint = _kind(tag, m[3])
+        step, dropped, hint = _kind(tag, raw)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = stop.end() if stop else end
             continue
-        if tag in VOID or m[3].endswith("/") and not block:
+        if tag in VOID or raw.endswith("/") and not block:
             continue
-        parent = elements[stack[-1]]
-        inside = dropped or parent.dropped
-        if dropped and not parent.dropped:
+        top = elements[stack[-1]]
+        inside = dropped or top.dropped
+        if tag == "header":
+            inside = True
+        if tag in HEADINGS and top.dropped and top.tag == "header" and not dropped:
+            # an article's own header holds its heading, which is text, and bylines and buttons, which are not
+            inside = not (opened["article"] or opened["main"]) or any(elements[e].dropped and elements[e].tag != "header" for e in stack)
+        if inside != top.dropped:
             flush()
-        if tag == "header" and not inside:  # an article's own header holds its heading, and little else that is text
-            inside = not any(elements[e].tag in ("article", "main") for e in stack)
-        elements.append(Element(stack[-1], tag, f"{parent.path}>{step}" if block else parent.path, inside, hint))
+        parent = blocks[-1]
+        path = page.paths.setdefault((elements[parent].path, step), len(page.paths) + 1) if block else elements[parent].path
+        elements.append(Element(parent, tag, step, path, inside, hint))
         stack.append(len(elements) - 1)
-        links += tag == "a"
+        opened[tag] += 1
+        if block:
+            blocks.append(len(elements) - 1)
     flush()
     return page
 
@@ -178,8 +245,7 @@ def scores(page: Parsed) -> dict[int, float]:
             element = page.elements[e]
             if element.tag in CONTAINERS and not element.dropped:
                 out[e] = out.get(e, 0.0) + weight * element.hint
-            if element.tag in BLOCK:
-                weight /= 2
+            weight /= 2
             e = element.parent
     return out
 
@@ -189,18 +255,19 @@ def votes(html: str) -> list[tuple[str, float]]:
     page = parse(html)
     found = scores(page)
     best = max(found.values(), default=0.0)
-    out: dict[str, float] = {}
+    out: dict[int, tuple[float, int]] = {}
     for e, score in found.items():
         if score >= VOTE_SHARE * best:
-            path = page.elements[e].path
-            out[path] = max(out.get(path, 0.0), score / best)
-    return sorted(out.items())
+            number = page.elements[e].path
+            out[number] = max(out.get(number, (0.0, e)), (score / best, e))
+    return sorted((page.path_of(e), share) for share, e in out.values())
 
 
 def extract(html: str, path: str | None) -> tuple[str, str]:
     """(text, path used) of a page, at the given path or else at its own best container."""
     page = parse(html)
-    roots = {i for i, e in enumerate(page.elements) if path and e.tag in CONTAINERS and e.path == path and not e.dropped}
+    number = page.number_of(path) if path else None
+    roots = {i for i, e in enumerate(page.elements) if number and e.path == number and e.tag in CONTAINERS and not e.dropped}
     if not roots:
         found = scores(page)
         if not found:
@@ -209,7 +276,7 @@ def extract(html: str, path: str | None) -> tuple[str, str]:
     inside = [False] * len(page.elements)
     for i, e in enumerate(page.elements):
         inside[i] = i in roots or e.parent >= 0 and inside[e.parent]
-    return "\n".join(t for e, t, _ in page.blocks if inside[e]), page.elements[min(roots)].path
+    return "\n".join(t for e, t, _ in page.blocks if inside[e]), page.path_of(min(roots))
 
 
 def _host():

@@ -111,13 +111,17 @@ def _softmax(logs):
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def fuse(found: DataFrame, languages: list[str]) -> DataFrame:
-    """found (declared, suffix, host, ll, ...) with posterior: probabilities in the order of the languages."""
+def fuse(found: DataFrame, languages: list[str], folder: str) -> DataFrame:
+    """found (declared, suffix, host, ll, ...) with posterior: probabilities in the order of the languages.
+
+    The sums by host are written first: Spark then knows their size and broadcasts a small table without moving the
+    texts' rows; for a large one it sorts both sides and splits the rows of a hot host.
+    """
     n = len(languages)
     p = found.withColumn("p", _softmax(F.col("ll")))
     sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)]
     array = lambda name: F.array(*[F.round(F.col(f"s{i}"), 6) for i in range(n)]).alias(name)
-    hosts = p.groupBy("host", "suffix").agg(*sums)
+    hosts = work.written(p.groupBy("host", "suffix").agg(*sums), f"{folder}/hosts")
     suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]).select("suffix", array("suffix_sum"))
     declared = p.groupBy("declared").agg(*sums).select("declared", array("declared_sum"))
     whole = [float(x) for x in (declared.select(*[F.sum(F.col("declared_sum")[i]) for i in range(n)]).first() or [0.0] * n)]
@@ -157,6 +161,6 @@ def identify(spark: SparkSession, docs: DataFrame, pages: DataFrame) -> DataFram
     found = work.written(evidence(rows, model), f"{folder}/evidence")
     names = F.array(*[F.lit(x) for x in model.languages])
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    fused = fuse(found, model.languages)
+    fused = fuse(found, model.languages, folder)
     certain = F.array_max("ll") > F.array_min("ll") if len(model.languages) > 1 else F.lit(True)
     return fused.select(*ids, best(F.col("posterior")).alias("lang"), F.round(F.array_max("posterior"), 6).alias("probability"), F.when(certain, best(F.col("ll"))).alias("text_lang"), "declared")
