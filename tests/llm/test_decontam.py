@@ -70,16 +70,57 @@ def test_any_stretch_of_a_common_item_is_found(spark):
     assert got == {d for d, t in docs if _score(" ".join(item), t) >= decontam.SCORE} and len(got) == 80
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_ways_to_join_give_the_same(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, " ".join(_words(rng, 12))) for i in range(9)]
     docs = spark.createDataFrame([(i, "a b " + items[i % 9][1] + " c") for i in range(30)], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     once = sorted(decontam.leaks(spark, docs, bench).collect())
-    monkeypatch.setattr(decontam, "BLOCK", 2)
+    monkeypatch.setattr(decontam, "FEW_WINDOWS", 0)
+    monkeypatch.setattr(decontam, "FILTER_BITS", 1 << 16)
+    monkeypatch.setattr(decontam, "CELLS", 100)
     assert sorted(decontam.leaks(spark, docs, bench).collect()) == once and len(once) == 30
 
 
+def test_repeated_lines_and_long_texts(spark):
+    """A text that repeats a line of seeds over and over opens many short windows, none of which grows with the text."""
+    rng = random.Random(6)
+    item = _words(rng, 40)
+    line = item[:4] + _words(rng, 2) + item[10:14]
+    docs = [(1, " ".join(line * 4000)), (2, " ".join(_words(rng, 30_000) + item + _words(rng, 30_000))), (3, " ".join(item * 500))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in decontam.leaks(spark, frame, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(rows) == {2, 3} and rows[2].score == rows[3].score == 1.0 and rows[2].ends_at_word == 30_039
+
+
+def test_hashes(spark):
+    """Chunks don't change a text's words, and the filter's hash is the one that Spark has."""
+    rng = random.Random(7)
+    text = "İstanbul ß " + " ".join(_words(rng, 3000)) + "x" * 500
+    whole = decontam.word_hashes(text)
+    assert len(whole) == len(decontam.words_of(text))
+    try:
+        decontam.CHUNK = 100
+        assert (decontam.word_hashes(text) == whole).all()
+    finally:
+        decontam.CHUNK = 1 << 20
+    x = np.array([0, 1, -1, 1 << 62, -(1 << 63), 123456789], np.int64)
+    want = [r.h for r in spark.createDataFrame([(int(v),) for v in x], "x long").selectExpr("xxhash64(x) AS h").collect()]
+    assert decontam.xxh64_longs(x).tolist() == want
+
+
+def test_many_items_take_as_few_scans(spark, monkeypatch):
+    """Items are not taken in turns: the documents are looked at once, and cut once."""
+    calls = []
+    looker = decontam._looker
+    monkeypatch.setattr(decontam, "_looker", lambda *a: calls.append(1) or looker(*a))
+    rng = random.Random(8)
+    items = [(i, " ".join(_words(rng, 8))) for i in range(20_000)]
+    docs = spark.createDataFrame([(i, "a b " + items[i * 71][1] + " c") for i in range(200)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark, docs, spark.createDataFrame(items, "item_id long, text string").repartition(4)).collect()}
+    assert got >= {(i, i * 71) for i in range(200)} and len(calls) == 1
+
+
 def test_empty_tables(spark, no_docs, odd_docs, odd_rows):
     none = spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")

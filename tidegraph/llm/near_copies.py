@@ -174,19 +174,10 @@ def _unmet_pairs(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     return rows.select("members.n", "members.component", "members.part", "members.sig", (F.col("one") < F.col("two")).alias("apart")).mapInPandas(_blocks, "a long, b long")
 
 
-def _placed(docs: DataFrame, folder: str) -> tuple[DataFrame, list]:
-    """docs and two columns that tell its rows apart: file and row of a table on disk, else of a written copy."""
-    plan = docs._jdf.queryExecution().analyzed()
-    if not plan.metadataOutput().isEmpty() and "_metadata" not in docs.columns:
-        return docs.select("*", F.xxhash64("_metadata.file_path").alias("__tg_file"), F.col("_metadata.row_index").alias("__tg_row")), ["__tg_file", "__tg_row"]
-    numbered = docs.select("*", F.lit(0).cast("long").alias("__tg_file"), F.monotonically_increasing_id().alias("__tg_row"))
-    return work.written(numbered, f"{folder}/numbered"), ["__tg_file", "__tg_row"]
-
-
 def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal or similar texts."""
     folder = work.work_folder(spark, "near")
-    rows, place = _placed(docs, folder)
+    rows, place = work.placed(docs, folder)
     text = F.coalesce("text", F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     small = rows.select(F.col(place[0]).alias("file"), F.col(place[1]).alias("row"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))

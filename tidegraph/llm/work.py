@@ -9,7 +9,7 @@ from ..session import ship
 from ..storage import drop_path, open_new, open_read, written
 from ..storage import work_folder as _work_folder
 
-__all__ = ["ARROW_ROWS", "bounded_sample", "drop_path", "open_new", "open_read", "prepare", "work_folder", "written"]
+__all__ = ["ARROW_ROWS", "bounded_sample", "drop_path", "open_new", "open_read", "placed", "prepare", "work_folder", "written"]
 
 ARROW_ROWS = 1000
 
@@ -31,3 +31,12 @@ def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
+
+
+def placed(docs: DataFrame, folder: str) -> tuple[DataFrame, list[str]]:
+    """docs and two columns that tell its rows apart: file and row of a table on disk, else of a written copy."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.metadataOutput().isEmpty() and "_metadata" not in docs.columns:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias("__tg_file"), F.col("_metadata.row_index").alias("__tg_row")), ["__tg_file", "__tg_row"]
+    numbered = docs.select("*", F.lit(0).cast("long").alias("__tg_file"), F.monotonically_increasing_id().alias("__tg_row"))
+    return written(numbered, f"{folder}/numbered"), ["__tg_file", "__tg_row"]
