@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from tidegraph.llm import near_copies
 from tidegraph.llm.simhash import fingerprint, shingle_hashes
@@ -67,3 +69,56 @@ def test_linked_texts_still_link_others(spark):
         whole.append(" ".join(o))
         assert _similarity(first[-1], whole[-1]) >= 0.8 and _similarity(second[-1], whole[-1]) >= 0.8 and _similarity(first[-1], second[-1]) < 0.75
     assert _kept(spark, first + second + whole) == set(range(20))
+
+
+def _brute(texts):
+    """The least row of each component of all pairs of similarity 0.8 or more."""
+    sets = [set(shingle_hashes(t, 5).tolist()) for t in texts]
+    holders, label = {}, list(range(len(texts)))
+    for k, x in enumerate(sets):
+        for h in x or {None}:
+            holders.setdefault(h, []).append(k)
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for k, x in enumerate(sets):
+        shared = {}
+        for h in x or {None}:
+            for other in holders[h]:
+                if other < k:
+                    shared[other] = shared.get(other, 0) + 1
+        for other, n in shared.items():
+            if not x and not sets[other] or x and n * 5 >= 4 * (len(x) + len(sets[other]) - n):
+                a, b = sorted((root(k), root(other)))
+                label[b] = a
+    return {k for k in range(len(texts)) if root(k) == k}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_against_brute_force_over_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    want = {rows[k][0] for k in _brute([t for _, t in rows])}
+    assert {r.doc_id for r in near_copies.without_near_copies(spark, docs).collect()} == want and len(want) < len(rows)
+
+
+def test_a_large_group_with_members_of_all_distances(spark, monkeypatch):
+    """Copies with few and with many edits, which links connect in chains or not at all, in blocks and without."""
+    rng = random.Random(11)
+    base = _words(rng, 150)
+    texts = []
+    for k in range(250):
+        words = list(base)
+        for at in rng.sample(range(150), k % 9):
+            words[at] = _words(rng, 1)[0]
+        texts.append(" ".join(words))
+    texts += ["", "", "a b", "a b", "a c"]
+    want = _brute(texts)
+    assert 5 < len(want) < 240
+    assert _kept(spark, texts) == want
+    monkeypatch.setattr(near_copies, "BLOCK", 32)
+    monkeypatch.setattr(near_copies, "ROUNDS", 1)
+    assert _kept(spark, texts) == want

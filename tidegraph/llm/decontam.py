@@ -160,7 +160,7 @@ def _bits(seed):
 def _filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
     """The seeds' Bloom filter, as 64-bit words, and the number of its bits (a power of 2, at most FILTER_BITS)."""
     bits = 1 << 16
-    while bits < min(FILTER_BITS, 16 * seeds.count()):
+    while bits < min(FILTER_BITS, 64 * seeds.count()):
         bits *= 2
     bit = F.explode(F.array(*[x.bitwiseAND(F.lit(bits - 1)) for x in _bits(F.col("seed"))]))
     words = seeds.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toPandas()
@@ -269,7 +269,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, score: flo
     rows = rows.select(F.col(place[0]).alias("file"), F.col(place[1]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pairs, items = matches(spark, rows.select("file", "row", "text"), benchmark, folder, score)
     pairs = work.written(pairs.join(items, "u"), f"{folder}/pairs")
-    named = pairs.join(rows.select("file", "row", "doc_id"), ["file", "row"])
+    named = work.small(pairs).join(rows.select("file", "row", "doc_id"), ["file", "row"])
     return named.select("doc_id", "item_id", F.round("score", 6).alias("score"), F.col("hits").alias("seeds"), F.col("end").alias("ends_at_word"))
 
 
@@ -280,4 +280,4 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sc
     small = rows.select(F.col(place[0]).alias("file"), F.col(place[1]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     pairs, _ = matches(spark, small, benchmark, folder, score)
     gone = work.written(pairs.select(F.col("file").alias(place[0]), F.col("row").alias(place[1])).distinct(), f"{folder}/gone")
-    return rows.join(gone, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(work.small(gone), place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,22 +1,26 @@
-"""Near-copy groups of whole texts: SimHash links, and shared min-wise bands verified by exact similarity.
+"""Near-copy groups of whole texts: pairs whose 5-word shingle sets have a similarity of 0.8 or more.
 
-A 64-bit fingerprint with 3 bits to differ finds copies that are nearly whole; of pairs whose 5-word shingle sets have a
-similarity of 0.8 to 0.9 it misses most (the README has figures). So next to the fingerprints' links, texts that agree
-in a band of their min-wise signature are candidates. A candidate whose signature agrees in LIKELY or more of HASHES
-places is compared by the shingle sets themselves, and links if they have SIMILAR or more in common.
+A 64-bit SimHash with 3 bits to differ finds copies that are nearly whole; of pairs of similarity 0.8 to 0.9 it misses
+most (the README has figures). So texts are candidates if their fingerprints link, or if they agree in one of BANDS
+bands of their min-wise signature, which a pair of similarity 0.8 fails with a chance of 0.006 %. Candidates whose
+signatures agree in LIKELY of all places are compared by the shingle sets themselves; only these decide.
 
-Groups of any size cost one comparison a member and round: a member meets the least of one of its band groups, the one
-it shares most bands with. Who links leaves all groups, as the one it linked to, of lower doc_id, stays for it; who
-doesn't leaves those groups for new ones, together with all others that differ from the same text. Wide bands go first,
-where nearly all meetings link. A width is done when PATIENCE rounds in a row link fewer than one in DONE of those that met.
-These rounds only save comparisons: afterwards all members of a narrow band group that links don't connect yet are
-compared, those that have linked included, each with each, large groups in blocks of BLOCK members that meet block by block in tasks of their own.
+Texts that share a band form a group. Groups are compared in two steps, so that no pairs are written out:
 
-Exact copies collapse to one node first. Of each component of links one document stays: that with the least doc_id
-(null last), ties broken by the row's place.
+1. ROUNDS rounds link members to hubs: every group has a member drawn as its hub, and a member that isn't connected to
+   it yet is compared with one hub, that of the most of its groups. Then all links are connected (stars), and groups of
+   one component are done. This step saves work and decides nothing.
+2. In what groups remain, all members that aren't connected yet are compared, each pair in the first band it shares
+   only. A task gets two blocks of a group at a time, bounded by members and by bytes, compares signatures as arrays,
+   and returns a link only if it connects what its blocks' other links don't: fewer links than members.
+
+So every pair that shares a band is compared or already connected, and nothing depends on how many links were found.
+Exact copies collapse to one node first. Of each component one document stays: that with the least doc_id (null last),
+ties broken by the row's place.
 
 Defined results: null and empty texts are equal texts, of which one stays; texts of fewer than 5 words are one shingle;
-null and repeated doc_ids are handled by row; an empty table gives no rows; all columns of docs are returned.
+null and repeated doc_ids are handled by row; an empty table gives no rows; very long texts have long shingle sets, and
+blocks of fewer members; all columns of docs are returned.
 """
 
 from __future__ import annotations
@@ -29,7 +33,6 @@ from pyspark.sql import functions as F
 from ..operators.stars import star_components
 from . import work
 from .simhash import fingerprint, hamming_links, shingle_hashes
-from .tokens import encoder
 
 SHINGLE = 5
 HASHES = 192
@@ -37,13 +40,12 @@ HASHES = 192
 SIMILAR = (4, 5)
 #: Share of equal places that a candidate needs to be worth comparing: 5 deviations below what similarity 0.8 gives.
 LIKELY = 0.655
-#: Share of equal places at which a text leaves its band groups in a round.
-ALIKE = 0.76
-#: Places of the signature in a band, by turns.
-WIDTHS = [16, 8]
-DONE, PATIENCE = 500, 2
-#: Members of a band group that are compared with each other in one row.
-BLOCK = 128
+#: Places of the signature in a band.
+WIDTH = 6
+BANDS = HASHES // WIDTH
+ROUNDS = 3
+#: Members, and bytes of their shingle sets, in a block; a single larger set is a block of its own.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -60,37 +62,23 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def _sketch(batches):
-    encoder.cache_clear()  # workers are reused: drop what a tokenizing stage kept
     for batch in batches:
         hashes = [shingle_hashes(t, SHINGLE) for t in batch["text"]]
         yield batch[["file", "row", "doc_id", "no_id", "digest"]].assign(fp=[fingerprint(h) for h in hashes], sig=[signature(h) for h in hashes])
 
 
-def _bands(width: int):
-    def run(batches):
-        import xxhash
-
-        for batch in batches:
-            rows = []
-            for n, sig in zip(batch["n"].tolist(), batch["sig"], strict=True):
-                for k in range(HASHES // width):
-                    rows.append((n, xxhash.xxh64_intdigest(sig[2 * width * k : 2 * width * (k + 1)], k) - (1 << 63)))
-            yield pd.DataFrame(rows, columns=["n", "key"])
-
-    return run
+def _bands(batches):
+    import xxhash
 
-
-def _verify(batches):
     for batch in batches:
-        if len(batch):
-            a, b = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            agree = (a == b).mean(axis=1)
-            yield batch[["a", "b"]].assign(same=agree >= ALIKE, likely=agree >= LIKELY)
+        sigs = np.frombuffer(b"".join(batch["sig"]), "<u2").reshape(-1, BANDS, WIDTH)
+        keys = [xxhash.xxh64_intdigest(sig[k].tobytes(), k) - (1 << 63) for sig in sigs for k in range(BANDS)]
+        yield pd.DataFrame({"n": np.repeat(batch["n"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(batch)), "key": np.array(keys, np.int64)})
 
 
 def _sets(batches):
     for batch in batches:
-        yield batch[["n"]].assign(shingles=[np.unique(shingle_hashes(t, SHINGLE)).tobytes() for t in batch["text"]])
+        yield batch[["n", "sig"]].assign(shingles=[np.unique(shingle_hashes(t, SHINGLE)).tobytes() for t in batch["text"]])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -101,77 +89,113 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _judge(batches):
     for batch in batches:
-        sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["set_a"], batch["set_b"], strict=True))
-        yield batch[["a", "b"]].assign(same=[similar(x, y) for x, y in sets])
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """The pairs (a, b) of nodes (n, first) whose shingle sets are similar, by the sets themselves."""
-    pairs = work.written(pairs.distinct(), f"{folder}/likely")
-    ends = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(ends, "n").select("n", F.col("first.file").alias("file"), F.col("first.row").alias("row"))
-    sets = work.written(texts.join(wanted, ["file", "row"]).select("n", "text").mapInPandas(_sets, "n long, shingles binary"), f"{folder}/sets")
-    both = pairs.join(sets.select(F.col("n").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("n").alias("b"), F.col("shingles").alias("set_b")), "b")
-    judged = both.select("a", "b", "set_a", "set_b").mapInPandas(_judge, "a long, b long, same boolean")
-    return work.written(judged.where("same").select("a", "b"), f"{folder}/verified")
-
-
-def _met_pairs(nodes: DataFrame, folder: str) -> DataFrame:
-    """Likely pairs (a, b) of nodes (n, sig): b has met a in a band group."""
-    spark = nodes.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    gone = spark.createDataFrame([], "n long")
-    for width in WIDTHS:
-        sigs = nodes.select("n", "sig").join(gone, "n", "left_anti")
-        groups = sigs.mapInPandas(_bands(width), "n long, key long")
-        k, idle = 0, 0
-        while idle < PATIENCE:
-            at = f"{folder}/bands{width}_{k}"
-            least = groups.groupBy("key").agg(F.min("n").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
-            groups = work.written(groups.join(least, "key"), f"{at}/groups")
-            met = groups.where("n <> a").groupBy("n", "a").agg(F.count("*").alias("shared")).groupBy("n").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
-            met = met.select((-F.col("best.a")).alias("a"), F.col("n").alias("b"))
-            pairs = met.join(sigs.select(F.col("n").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("n").alias("b"), F.col("sig").alias("sig_b")), "b")
-            judged = work.written(pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(_verify, "a long, b long, same boolean, likely boolean"), f"{at}/judged")
-            all_met, linked = judged.agg(F.count("*"), F.coalesce(F.sum(F.col("same").cast("long")), F.lit(0))).first()
-            same = judged.where("same")
-            links = links.unionByName(judged.where("likely").select("a", "b"))
-            gone = gone.unionByName(same.select(F.col("b").alias("n")))
-            idle = idle + 1 if linked * DONE <= all_met else 0
-            if not all_met:
-                break
-            verdict = judged.select(F.col("b").alias("n"), F.col("a").alias("met"), "same")
-            groups = groups.join(verdict, "n", "left").where("not coalesce(same, false)")
-            groups = groups.select("n", F.when(F.col("a") == F.col("met"), F.xxhash64("key", "a")).otherwise(F.col("key")).alias("key"))
-            k += 1
-    return links
+        if len(batch):
+            a, b = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
+            same = (a == b).mean(axis=1) >= LIKELY
+            for k in np.flatnonzero(same):
+                same[k] = similar(*(np.frombuffer(batch[c].iloc[k], np.uint64) for c in ("set_a", "set_b")))
+            yield batch[["a", "b"]][same]
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are near copies. sets: n, sig, shingles."""
+    of = lambda end: sets.select(F.col("n").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("shingles").alias(f"set_{end}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInPandas(_judge, "a long, b long")
+
+
+def _met(groups: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): a is the hub of groups (key, n, component) that b is in without being connected to it."""
+    order = F.col("n") if not turn else F.xxhash64("n", F.lit(turn))
+    hubs = groups.groupBy("key").agg(F.min(F.struct(order.alias("order"), "n", "component")).alias("hub"))
+    apart = groups.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
+    shared = apart.groupBy("n", F.col("hub.n").alias("a")).agg(F.count("*").alias("shared"))
+    best = shared.groupBy("n").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
+    return best.select((-F.col("best.a")).alias("a"), F.col("n").alias("b"))
 
 
 def _blocks(batches):
+    """Members in the order of (key, one, two): the links of each block pair that connect what others of it don't."""
+    at, held = None, []
+    columns = ["n", "component", "part", "sig", "shingles"]
+
+    def links():
+        return pd.DataFrame(_compared(at[3], at[1] != at[2], held), columns=["a", "b"]).astype("int64")
+
     for batch in batches:
-        found = []
-        for n, component, part, sigs, apart in zip(*(batch[c] for c in batch.columns), strict=True):
-            sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, HASHES)
-            for k in range(1, len(n)):
-                other = (component[:k] != component[k]) & ((part[:k] != part[k]) | (not apart))
-                at = np.flatnonzero(other)
-                at = at[(sig[at] == sig[k]).mean(axis=1) >= LIKELY]
-                found += [(min(n[k], x), max(n[k], x)) for x in n[at]]
-        yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-
-def _unmet_pairs(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """Likely pairs (a, b) of nodes (n, sig) that share a narrow band (so any band) and that links don't connect."""
-    known = star_components(links, f"{folder}/known").withColumnRenamed("id", "n")
-    labelled = work.written(nodes.select("n", "sig").join(known, "n", "left").select("n", "sig", F.coalesce("component", "n").alias("component")), f"{folder}/labelled")
-    groups = labelled.select("n", "sig").mapInPandas(_bands(WIDTHS[-1]), "n long, key long").join(labelled.select("n", "component"), "n")
-    groups = work.written(groups, f"{folder}/groups")
-    sizes = groups.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-    parts = F.ceil(F.col("size") / BLOCK)
-    mixed = groups.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("n"), "parts"))
-    met = mixed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(labelled.select("n", "sig"), "n")
-    rows = met.groupBy("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two")).agg(F.collect_list(F.struct("n", "component", "part", "sig")).alias("members"))
-    return rows.select("members.n", "members.component", "members.part", "members.sig", (F.col("one") < F.col("two")).alias("apart")).mapInPandas(_blocks, "a long, b long")
+        for key, one, two, band, *member in zip(*(batch[c] for c in ("key", "one", "two", "band", *columns)), strict=True):
+            if (key, one, two, band) != at:
+                if held:
+                    yield links()
+                at, held = (key, one, two, band), []
+            held.append(member)
+    if held:
+        yield links()
+
+
+def _compared(band: int, two_blocks: bool, members: list) -> list[tuple[int, int]]:
+    n, label, part = (np.array([m[k] for m in members]) for k in range(3))
+    sig = np.frombuffer(b"".join(m[3] for m in members), "<u2").reshape(-1, HASHES)
+    sets = [np.frombuffer(m[4], np.uint64) for m in members]
+    found = []
+    for k in range(1, len(n)):
+        other = np.flatnonzero((label[:k] != label[k]) & ((part[:k] != part[k]) | (not two_blocks)))
+        if not len(other):
+            continue
+        equal = sig[other] == sig[k]
+        likely = equal.mean(axis=1) >= LIKELY
+        first = equal[likely][:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH).all(axis=2).argmax(axis=1)
+        for j in other[likely][first == band]:
+            if label[j] != label[k] and similar(sets[j], sets[k]):
+                found.append((min(n[j], n[k]), max(n[j], n[k])))
+                label[label == label[j]] = label[k]
+    return found
+
+
+def _rest(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the members of groups (key, band, n, component) that aren't connected yet."""
+    rows = groups.join(sets, "n")
+    bytes_ = F.sum(F.length("shingles").cast("long"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, bytes_ / BLOCK_BYTES)).cast("int").alias("parts"))
+    dealt = groups.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "band", "n", "component", "part").join(sets, "n")
+    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n").mapInPandas(_blocks, "a long, b long")
+
+
+def _labelled(groups: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """groups (key, band, n, ...) with n's component by the links; only those of more than one component."""
+    known = star_components(links, folder).withColumnRenamed("id", "n")
+    named = groups.select("key", "band", "n").join(known, "n", "left").withColumn("component", F.coalesce("component", "n"))
+    named = work.written(named.select("key", "band", "n", "component"), f"{folder}/labelled")
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return work.written(named.join(mixed, "key"), f"{folder}/mixed")
+
+
+def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) that connect all near copies among nodes (n, first, fp, sig). texts: file, row, text."""
+    fps = work.written(nodes.groupBy("fp").agg(F.min("n").alias("n")), f"{folder}/fps")
+    of_fp = fps.select(F.col("fp").alias("a"), F.col("n").alias("na"))
+    near = hamming_links(fps.select("fp"), folder).join(of_fp, "a").join(of_fp.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    equal = nodes.select("fp", F.col("n").alias("b")).join(fps.select("fp", F.col("n").alias("a")), "fp").where("a <> b").select("a", "b")
+    prints = work.written(near.unionByName(equal), f"{folder}/prints")
+    groups = work.written(nodes.select("n", "sig").mapInPandas(_bands, "n long, band int, key long"), f"{folder}/bands")
+    several = groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    groups = work.written(groups.join(several, "key"), f"{folder}/groups")
+    wanted = groups.select("n").union(prints.select("a")).union(prints.select("b")).distinct().join(nodes, "n")
+    wanted = work.written(wanted.select("n", "sig", F.col("first.file").alias("file"), F.col("first.row").alias("row")), f"{folder}/wanted")
+    sets = texts.join(work.small(wanted.select("n", "file", "row")), ["file", "row"]).select("n", "text").join(wanted.select("n", "sig"), "n")
+    sets = work.written(sets.select("n", "sig", "text").mapInPandas(_sets, "n long, sig binary, shingles binary"), f"{folder}/sets")
+    groups = groups.withColumn("component", F.col("n"))
+    paths = []
+    for turn in range(ROUNDS):
+        met = _met(groups, turn)
+        pairs = work.written(met.unionByName(prints).distinct() if not turn else met, f"{folder}/pairs{turn}")
+        paths.append(f"{folder}/links{turn}")
+        work.written(_linked(pairs, sets), paths[-1])
+        links = spark.read.schema("a long, b long").parquet(*paths)
+        groups = _labelled(groups, links, f"{folder}/turn{turn}")
+    work.written(_rest(groups, sets), f"{folder}/rest")
+    return spark.read.schema("a long, b long").parquet(*paths, f"{folder}/rest")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -180,21 +204,15 @@ def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows, place = work.placed(docs, folder)
     text = F.coalesce("text", F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    small = rows.select(F.col(place[0]).alias("file"), F.col(place[1]).alias("row"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
-    sketches = work.written(small.mapInPandas(_sketch, "file long, row long, doc_id long, no_id boolean, digest string, fp long, sig binary"), f"{folder}/sketches")
+    texts = rows.select(F.col(place[0]).alias("file"), F.col(place[1]).alias("row"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
+    sketches = work.written(texts.mapInPandas(_sketch, "file long, row long, doc_id long, no_id boolean, digest string, fp long, sig binary"), f"{folder}/sketches")
     first = F.min(F.struct("no_id", "doc_id", "file", "row")).alias("first")
     nodes = sketches.groupBy("digest").agg(first, F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig"))
     nodes = nodes.repartitionByRange("first").sortWithinPartitions("first").withColumn("n", F.monotonically_increasing_id())  # n follows first
     nodes = work.written(nodes.select("n", "first", "fp", "sig"), f"{folder}/nodes")
-    fps = work.written(nodes.groupBy("fp").agg(F.min("n").alias("n")), f"{folder}/fps")
-    near = hamming_links(fps.select("fp"), folder)
-    of_fp = fps.select(F.col("fp").alias("a"), F.col("n").alias("na"))
-    links = near.join(of_fp, "a").join(of_fp.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    equal = nodes.select("fp", F.col("n").alias("b")).join(fps.select("fp", F.col("n").alias("a")), "fp").where("a <> b").select("a", "b")
-    links = work.written(links.unionByName(equal).unionByName(_verified(_met_pairs(nodes, folder), nodes, small, f"{folder}/met")), f"{folder}/links")
-    links = links.unionByName(_verified(_unmet_pairs(nodes, links, f"{folder}/unmet"), nodes, small, f"{folder}/unmet"))
-    grouped = star_components(links, folder).withColumnRenamed("id", "n")
+    links = near_links(spark, nodes, texts.select("file", "row", "text"), folder)
+    grouped = star_components(links, f"{folder}/all").withColumnRenamed("id", "n")
     kept = nodes.select("n", "first").join(grouped, "n", "left").groupBy(F.coalesce("component", "n").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.file").alias("file"), F.col("first.row").alias("row"))
     gone = work.written(sketches.select("file", "row").join(kept, ["file", "row"], "left_anti").select(F.col("file").alias(place[0]), F.col("row").alias(place[1])), f"{folder}/gone")
-    return rows.join(gone, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(work.small(gone), place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,15 +9,28 @@ from ..session import ship
 from ..storage import drop_path, open_new, open_read, written
 from ..storage import work_folder as _work_folder
 
-__all__ = ["ARROW_ROWS", "bounded_sample", "drop_path", "open_new", "open_read", "placed", "prepare", "work_folder", "written"]
+__all__ = ["bounded_sample", "drop_path", "open_new", "open_read", "placed", "prepare", "small", "work_folder", "written"]
 
-ARROW_ROWS = 1000
+#: Spark's defaults and what they become here: rows, and bytes, that an Arrow batch to a Python worker may hold.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+#: Rows up to which small() broadcasts a table; callers have a few numbers in each.
+SMALL = 250_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Short Arrow batches bound a worker's memory; the package goes to the workers."""
+    """Short Arrow batches bound a worker's memory, by rows and by bytes; the package goes to the workers.
+
+    A session that sets its own bounds keeps them.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for key, (default, ours) in ARROW.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it has up to SMALL rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
