@@ -76,7 +76,7 @@ def fit(docs: DataFrame) -> TextModel:
             some = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "bucket": some, "n": c[some]})
 
-    rows = sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInPandas(work.tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS))
     for k, lang in enumerate(languages):
@@ -102,7 +102,7 @@ def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
                 out.append(model.likelihood(extract(text, None)[0] if page else text).tolist())
             yield batch[["k", "m", "is_page", "declared", "suffix", "host"]].assign(ll=out)
 
-    return rows.mapInPandas(run, "k long, m boolean, is_page boolean, declared string, suffix string, host string, ll array<double>")
+    return rows.mapInPandas(work.tidy(run), "k long, m boolean, is_page boolean, declared string, suffix string, host string, ll array<double>")
 
 
 def _softmax(logs):

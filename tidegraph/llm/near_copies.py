@@ -100,7 +100,7 @@ def _judge(batches):
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose texts are near copies. sets: n, sig, shingles."""
     of = lambda end: sets.select(F.col("n").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("shingles").alias(f"set_{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInPandas(_judge, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInPandas(work.tidy(_judge), "a long, b long")
 
 
 def _met(groups: DataFrame, turn: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _rest(groups: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = groups.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "band", "n", "component", "part").join(sets, "n")
-    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n").mapInPandas(_blocks, "a long, b long")
+    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n").mapInPandas(work.tidy(_blocks), "a long, b long")
 
 
 def _labelled(groups: DataFrame, links: DataFrame, folder: str) -> DataFrame:
@@ -178,13 +178,13 @@ def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, folder:
     near = hamming_links(fps.select("fp"), folder).join(of_fp, "a").join(of_fp.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     equal = nodes.select("fp", F.col("n").alias("b")).join(fps.select("fp", F.col("n").alias("a")), "fp").where("a <> b").select("a", "b")
     prints = work.written(near.unionByName(equal), f"{folder}/prints")
-    groups = work.written(nodes.select("n", "sig").mapInPandas(_bands, "n long, band int, key long"), f"{folder}/bands")
+    groups = work.written(nodes.select("n", "sig").mapInPandas(work.tidy(_bands), "n long, band int, key long"), f"{folder}/bands")
     several = groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     groups = work.written(groups.join(several, "key"), f"{folder}/groups")
     wanted = groups.select("n").union(prints.select("a")).union(prints.select("b")).distinct().join(nodes, "n")
     wanted = work.written(wanted.select("n", "sig", F.col("first.file").alias("file"), F.col("first.row").alias("row")), f"{folder}/wanted")
     sets = texts.join(work.small(wanted.select("n", "file", "row")), ["file", "row"]).select("n", "text").join(wanted.select("n", "sig"), "n")
-    sets = work.written(sets.select("n", "sig", "text").mapInPandas(_sets, "n long, sig binary, shingles binary"), f"{folder}/sets")
+    sets = work.written(sets.select("n", "sig", "text").mapInPandas(work.tidy(_sets), "n long, sig binary, shingles binary"), f"{folder}/sets")
     groups = groups.withColumn("component", F.col("n"))
     paths = []
     for turn in range(ROUNDS):
@@ -205,7 +205,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     doc_id = F.col("doc_id").cast("long")
     texts = rows.select(F.col(place[0]).alias("file"), F.col(place[1]).alias("row"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
-    sketches = work.written(texts.mapInPandas(_sketch, "file long, row long, doc_id long, no_id boolean, digest string, fp long, sig binary"), f"{folder}/sketches")
+    sketches = work.written(texts.mapInPandas(work.tidy(_sketch), "file long, row long, doc_id long, no_id boolean, digest string, fp long, sig binary"), f"{folder}/sketches")
     first = F.min(F.struct("no_id", "doc_id", "file", "row")).alias("first")
     nodes = sketches.groupBy("digest").agg(first, F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig"))
     nodes = nodes.repartitionByRange("first").sortWithinPartitions("first").withColumn("n", F.monotonically_increasing_id())  # n follows first

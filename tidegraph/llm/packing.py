@@ -67,7 +67,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
             yield out.astype({"doc_id": "Int64"})
 
     key = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(make, PIECES)
+    return docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(work.tidy(make), PIECES)
 
 
 def _local_sweep(batches):
@@ -126,7 +126,7 @@ def _sweep(items: DataFrame, gaps: DataFrame, folder: str, largest: int, most_sl
     open_ = open_.select(F.lit(0).alias("kind"), F.floor(F.col("gap") / F.col("n")).cast("long").alias("size"), F.col("seq").alias("id"))
     rows = items.select(F.lit(1).alias("kind"), "size", "id").unionByName(open_)
     order = [F.col("size").desc(), F.col("kind").asc(), F.col("id").asc()]
-    swept = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_local_sweep, "kind int, id long, size long, seq long, part int, rank long")
+    swept = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(work.tidy(_local_sweep), "kind int, id long, size long, seq long, part int, rank long")
     swept = work.written(swept, f"{folder}/swept")
     counts = {r["part"]: (r["gaps"], r["pieces"]) for r in swept.where("kind < 2").groupBy("part").agg(F.sum(F.expr("int(kind = 0)")).alias("gaps"), F.sum(F.expr("int(kind = 1)")).alias("pieces")).collect()}
     runs = [(p, at, at + n, gp, top + at) for p, found in carry(counts).items() for at, n, gp, top in found]

@@ -177,7 +177,7 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     work.prepare(spark)
     key = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInPandas(_scan, "k long, m boolean, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    out = rows.mapInPandas(work.tidy(_scan), "k long, m boolean, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     return out.select(F.when(~F.col("m"), F.col("k")).alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 

@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     key = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "k long, m boolean, fp long").select(F.when(~F.col("m"), F.col("k")).alias("doc_id"), "fp")
+    return rows.mapInPandas(work.tidy(run), "k long, m boolean, fp long").select(F.when(~F.col("m"), F.col("k")).alias("doc_id"), "fp")
 
 
 def _segments(fps: DataFrame) -> DataFrame:

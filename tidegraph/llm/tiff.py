@@ -328,7 +328,7 @@ def _read(batches):
 def read_pages(spark: SparkSession, media: DataFrame) -> DataFrame:
     """One row for each page of media (key, media)."""
     work.prepare(spark)
-    return media.select(F.col("key").cast("long").alias("key"), F.col("media").cast("binary").alias("media")).where("media is not null").mapInPandas(_read, PAGE_ROWS)
+    return media.select(F.col("key").cast("long").alias("key"), F.col("media").cast("binary").alias("media")).where("media is not null").mapInPandas(work.tidy(_read), PAGE_ROWS)
 
 
 ROW_BYTES = 192
@@ -378,11 +378,11 @@ def text_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
     work.prepare(spark)
     key = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(_store, "k long, m boolean, media binary")
+    return rows.mapInPandas(work.tidy(_store), "k long, m boolean, media binary")
 
 
 def media_features(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Store each text as a TIFF file, read it back, and give digests and features of what was read."""
-    out = text_media(spark, docs).mapInPandas(_digest, COLUMNS)
+    out = text_media(spark, docs).mapInPandas(work.tidy(_digest), COLUMNS)
     names = [x.split()[0] for x in COLUMNS.split(", ")][2:]
     return out.select(F.when(~F.col("m"), F.col("k")).alias("doc_id"), *names)

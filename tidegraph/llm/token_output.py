@@ -96,7 +96,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str | None = Non
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     ordered = ordered.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("m"), "text")
-    return ordered.mapInPandas(write, MANIFEST)
+    return ordered.mapInPandas(work.tidy(write), MANIFEST)
 
 
 def read_token_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -126,7 +126,7 @@ def read_token_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
     shards = max(1, manifest.count())
-    return placed.repartition(shards).mapInPandas(read, schema)
+    return placed.repartition(shards).mapInPandas(work.tidy(read), schema)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, folder: str | None = None, tokenizer: str | None = None) -> DataFrame:

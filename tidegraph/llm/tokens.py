@@ -16,8 +16,8 @@ import re
 import sys
 import unicodedata
 
-#: Kept pieces before the table starts anew: bounds a worker's memory.
-KEPT = 600_000
+#: Kept pieces before the table starts anew, and characters of a piece that is kept: with some 200 bytes a piece, 60 MB.
+KEPT, KEPT_CHARS = 300_000, 64
 #: Code points whose classes are the same in all Unicode versions in use (Latin, common punctuation).
 PLAIN = [(0x0000, 0x001B), (0x0020, 0x024F), (0x2010, 0x2027), (0x2030, 0x205E)]
 #: White space among them.
@@ -62,9 +62,11 @@ class _Pieces(dict):
         ids = array.array("I", [t.id for t in self.tokenize(coded)])
         if sys.byteorder != "little":
             ids.byteswap()
-        if len(self) >= self.limit:
-            self.clear()
-        self[piece] = out = ids.tobytes()
+        out = ids.tobytes()
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[piece] = out
         return out
 
 

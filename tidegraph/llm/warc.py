@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT) -> Dat
             stream.close()
             yield pd.DataFrame({"path": [name]})
 
-    return rows.mapInPandas(write, "path string")
+    return rows.mapInPandas(work.tidy(write), "path string")
 
 
 SEGMENT_ROWS = "origin string, number int, total long, whole boolean, kind string, page_id string, refers_to string, digest string, block binary, n long, sha string"
@@ -217,10 +217,10 @@ def _reassemble(batches):
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and error of the pages in a manifest's archives."""
     files = max(1, manifest.count())
-    rows = work.written(manifest.repartition(files).mapInPandas(_segments_of, SEGMENT_ROWS), f"{folder}/segments")
+    rows = work.written(manifest.repartition(files).mapInPandas(work.tidy(_segments_of), SEGMENT_ROWS), f"{folder}/segments")
     whole = rows.where("whole and kind = 'response'").select("page_id", "n", "sha", F.lit(None).cast("string").alias("error"))
     cut = rows.where("not whole").groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max("total").alias("total"), F.collect_list(F.struct("number", "block")).alias("parts"))
-    joined = cut.select("page_id", F.coalesce("total", F.lit(-1)).alias("total"), "parts").mapInPandas(_reassemble, "page_id string, n long, sha string, error string")
+    joined = cut.select("page_id", F.coalesce("total", F.lit(-1)).alias("total"), "parts").mapInPandas(work.tidy(_reassemble), "page_id string, n long, sha string, error string")
     responses = whole.unionByName(joined)
     first = responses.where("sha is not null").groupBy("page_id", "sha").agg(F.max("n").alias("n"))
     revisits = rows.where("kind = 'revisit'").select("page_id", F.col("refers_to").alias("to"), F.col("digest").alias("named"))

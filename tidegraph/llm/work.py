@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..session import ship
 from ..storage import drop_path, open_new, open_read, written
 from ..storage import work_folder as _work_folder
 
-__all__ = ["bounded_sample", "drop_path", "open_new", "open_read", "placed", "prepare", "small", "work_folder", "written"]
+__all__ = ["bounded_sample", "drop_path", "open_new", "open_read", "placed", "prepare", "small", "tidy", "work_folder", "written"]
 
 #: Spark's defaults and what they become here: rows, and bytes, that an Arrow batch to a Python worker may hold.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
@@ -28,6 +31,28 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
+def tidy(f):
+    """f for mapInPandas; when a task is done, memory that its worker has freed goes back to the system.
+
+    Workers are reused by later stages, and several of them share an executor's memory.
+    """
+
+    @functools.wraps(f)
+    def run(batches):
+        yield from f(batches)
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table of a few numbers a row, marked for broadcast if it has up to SMALL rows."""
     return F.broadcast(df) if df.count() <= SMALL else df
