@@ -17,6 +17,51 @@ def test_trees_and_calibration():
     assert (np.diff(rising(np.linspace(0, 6, 50))) >= 0).all()
 
 
+def test_one_split_against_brute_force():
+    """A tree of depth 1 takes the cut of the greatest gain, and its leaves are Newton steps."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, (80, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(size=80) > 3).astype(float)
+    model = trees.boost(x, y, trees=1, depth=1, rate=0.2, ridge=1.0, least=1.0)
+    p = y.mean()
+    best = None
+    for f in range(3):
+        for cut in sorted(set(x[:, f]))[:-1]:
+            parts = [x[:, f] <= cut, x[:, f] > cut]
+            if min(q.sum() * p * (1 - p) for q in parts) < 1:
+                continue
+            gain = sum(((p - y)[q].sum()) ** 2 / (q.sum() * p * (1 - p) + 1) for q in parts)
+            if best is None or gain > best[0] + 1e-9:
+                best = (gain, f, cut, [-0.2 * (p - y)[q].sum() / (q.sum() * p * (1 - p) + 1) for q in parts])
+    assert (model.feature[0, 0], model.cut[0, 0]) == best[1:3]
+    assert np.allclose(model.leaf[0], best[3])
+    assert np.allclose(model.margin(x), np.log(p / (1 - p)) + np.where(x[:, best[1]] <= best[2], *best[3]))
+
+
+def test_features_against_brute_force():
+    lexicon = {"idiot": 2.0, "grav*": 1.5, "gravo*": 3.0, "trash": 1.0}
+    rng = random.Random(4)
+    for _ in range(50):
+        words = rng.choices(["you", "Your", "idiot", "gravona", "gravy", "trash", "plain", "WORD", "the", "fine"], k=rng.randint(1, 40))
+        text = " ".join(words)
+        f = dict(zip(toxicity.FEATURES, toxicity.features(text, toxicity._Weights(lexicon)), strict=True))
+        low = [w.lower() for w in words]
+        weight = [max([lexicon.get(w, 0.0)] + [lexicon.get(w[:k] + "*", 0.0) for k in (4, 5, 6, 7, 8) if len(w) > k]) for w in low]
+        hits, you = [i for i, w in enumerate(weight) if w], [i for i, w in enumerate(low) if w in ("you", "your")]
+        gaps = [min(abs(i - j) for j in you) for i in hits] if you else []
+        want = {"hits": len(hits), "weight": sum(weight), "strongest": max(weight), "distinct": len({low[i] for i in hits}), "aimed": sum(g <= 5 for g in gaps), "nearest": 1 / (1 + min(gaps)) if gaps else 0.0, "insults": sum(low[i] in ("idiot", "trash") for i in hits)}
+        assert all(abs(f[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_conflicting_labels_and_repeated_rows(spark):
+    """An id that is labelled both ways counts as toxic, whatever the rows' order."""
+    docs, labels = _corpus(300)
+    frame = spark.createDataFrame(docs + docs[:40], "doc_id long, text string")
+    both = labels + [(i, 0, 0) for i, _, t in labels if t]
+    a, b = (sorted((r.doc_id, r.score) for r in toxicity.score(spark, frame.repartition(n), spark.createDataFrame(x, "doc_id long, quality int, toxic int").repartition(n)).collect()) for n, x in ((2, labels), (5, both)))
+    assert a == b
+
+
 def _corpus(n, seed=1):
     rng = random.Random(seed)
     base = ["".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]

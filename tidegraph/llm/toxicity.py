@@ -5,16 +5,18 @@ a documented bound on what reaches the driver). Two steps:
 
 1. A lexicon: words and word beginnings (4 to 8 letters, as many languages inflect) that occur in toxic texts far more
    often than in others, by a likelihood-ratio test that chance among so many entries doesn't pass. Copies of a text
-   would make all its words look telling, so of texts that share their least shingle hash one is counted. Counts are
-   summed in Spark. A fixed list of common insults joins it.
+   would make all its words look telling, so of texts that share their least shingle hash one is counted; in a text a
+   beginning counts once for each different word that has it, up to MOST, so that rare inflections speak for their stem.
+   Counts are summed in Spark. A fixed list of common insults joins it.
 2. Features of each whole text: lexicon densities, proximity of second-person words, capitals, punctuation and
-   obfuscation rates. Trees are grown on three quarters of the sample; the last quarter calibrates their margins.
+   obfuscation rates. Everything is fitted across folds: a training text is measured with the lexicon of the other folds,
+   and its margin comes from trees of the other folds, which calibrates the trees of all.
 
 Neither labels nor lang, source or doc_id are inputs of a score. A score is the calibrated probability, with a small
 share of the uncalibrated one so that equal calibrated values keep the order of their margins.
 
 Defined results: a null text is empty and is scored like any other; a null doc_id is not held out; repeated doc_ids are
-kept (of labelled ones the least text is the training row); without training labels every score is 0; an empty table
+kept (of labelled ones the least text is the training row); of conflicting labels of an id the toxic one counts; without training labels every score is 0; an empty table
 gives no rows; other columns are ignored by score and kept by without_toxic.
 """
 
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 
 from . import work
 from .simhash import shingle_hashes
-from .tokens import encoder
 from .trees import Boosted, Isotonic, boost, isotonic
 
 SAMPLE = 20_000
@@ -42,6 +43,8 @@ KEPT = 200_000
 #: Entries counted in a worker before their counts go out: bounds its memory beside one text.
 COUNTED = 100_000
 FOLDS, HELD_OUT = 4, 2
+#: Parts of the training rows that are fitted across, and the most that one text adds to a lexicon entry's count.
+PARTS, MOST = 4, 3
 #: A lexicon entry's share of toxic texts over its share of others, and its likelihood ratio, at least.
 RATIO, EVIDENCE = 8.0, 22.0
 ORDER_SHARE = 0.02
@@ -136,39 +139,50 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _lexicon(sample: DataFrame) -> dict[str, float]:
-    """Entry to weight (log of the ratio of shares) from sample (text, toxic)."""
+def _count(batches):
+    """Counts of the lexicon entries of (text, toxic, part)."""
+    counts: dict[tuple[int, int], Counter] = {}
 
-    def count(batches):
-        encoder.cache_clear()  # workers are reused: drop what a tokenizing stage kept
-        both = {0: Counter(), 1: Counter()}
+    def flush():
+        for (toxic, part), counter in counts.items():
+            yield pd.DataFrame({"entry": list(counter), "toxic": toxic, "part": part, "n": list(counter.values())})
+        counts.clear()
 
-        def flush():
-            for toxic, counter in both.items():
-                if counter:
-                    yield pd.DataFrame({"entry": list(counter), "toxic": toxic, "n": list(counter.values())})
-                    counter.clear()
+    for batch in batches:
+        for text, toxic, part in zip(batch["text"], batch["toxic"].tolist(), batch["part"].tolist(), strict=True):
+            words = {w.lower() for w in WORD.findall(text)}
+            stems = Counter(b for w in words for b in beginnings(w))
+            counter = counts.setdefault((toxic, part), Counter())
+            counter.update(words)
+            counter.update({b: min(n, MOST) for b, n in stems.items()})
+            if sum(map(len, counts.values())) > COUNTED:
+                yield from flush()
+    yield from flush()
 
-        for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                seen = {w.lower() for w in WORD.findall(text)}
-                both[int(toxic)].update(seen.union(*map(beginnings, seen)))
-                if sum(map(len, both.values())) > COUNTED:
-                    yield from flush()
-        yield from flush()
+
+def _lexicons(sample: DataFrame, folder: str) -> list[dict[str, float]]:
+    """Entry to weight (log of the ratio of shares) from sample (text, toxic, part): without each part, then of all."""
 
     @F.pandas_udf("long")
     def least_shingle(text: pd.Series) -> pd.Series:
         return text.map(lambda t: int(min(shingle_hashes(t, 5).view(np.int64), default=0)))
 
-    sample = sample.select("toxic", "text", least_shingle("text").alias("same")).dropDuplicates(["toxic", "same"]).select("text", "toxic")
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    least = max(3, round(0.005 * bad))
-    n1, n0 = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
-    shares = sample.mapInPandas(count, "entry string, toxic int, n long").groupBy("entry").agg(n1.alias("n1"), n0.alias("n0")).where(F.col("n1") >= least)
+    one = F.min(F.struct("text", "part")).alias("one")
+    sample = sample.select("toxic", "text", "part", least_shingle("text").alias("same")).groupBy("toxic", "same").agg(one).select("toxic", "one.*")
+    sample = work.written(sample, f"{folder}/different")
+    totals = {(r["toxic"], r["part"]): r["count"] for r in sample.groupBy("toxic", "part").count().collect()}
+    of = lambda toxic, part: F.sum(F.when((F.col("toxic") == toxic) & (F.col("part") == part), F.col("n")).otherwise(0)).alias(f"n{toxic}_{part}")
+    counted = sample.mapInPandas(work.tidy(_count), "entry string, toxic int, part int, n long").groupBy("entry").agg(*[of(t, k) for t in (0, 1) for k in range(PARTS)])
+    counted = work.written(counted.where(sum(F.col(f"n1_{k}") for k in range(PARTS)) >= 3), f"{folder}/entries")
+    return [_lexicon(counted, totals, [k for k in range(PARTS) if k != left_out]) for left_out in range(PARTS + 1)]
+
+
+def _lexicon(counted: DataFrame, totals: dict[tuple[int, int], int], parts: list[int]) -> dict[str, float]:
+    """The lexicon by the counts of some parts."""
+    bad, good = (sum(totals.get((toxic, k), 0) for k in parts) for toxic in (1, 0))
+    least, whole = max(3, round(0.005 * bad)), bad + good
+    shares = counted.select("entry", *[sum(F.col(f"n{t}_{k}") for k in parts).alias(f"n{t}") for t in (0, 1)]).where(F.col("n1") >= least)
     ratio = (F.col("n1") + 0.5) / (bad + 1) / ((F.col("n0") + 0.5) / (good + 1))
-    whole = bad + good
     likely = lambda n, of: F.col(n) * F.log(F.greatest(F.col(n), F.lit(1e-9)) * whole / (of * (F.col("n1") + F.col("n0"))))
     evidence = 2 * (likely("n1", max(bad, 1)) + likely("n0", max(good, 1)))
     top = shares.withColumn("ratio", ratio).withColumn("evidence", evidence).where((F.col("ratio") >= RATIO) & (F.col("evidence") >= EVIDENCE)).orderBy(F.desc("evidence"), "entry").limit(LEXICON)
@@ -181,29 +195,35 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """The model from docs (doc_id, text) and labels (doc_id, toxic) of the training fold."""
     folder = work.work_folder(spark, "toxicity")
     key = F.col("doc_id").cast("long")
-    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select(key.alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select(key.alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = work.bounded_sample(known, SAMPLE, "doc_id")  # the documented bound; small enough to broadcast
     rows = docs.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # an id may have very many rows
-    rows = work.written(rows, f"{folder}/sample")
-    lexicon = _lexicon(rows)
-    weights = _Weights(lexicon)
+    rows = work.written(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int")), f"{folder}/sample")
+    lexicons = _lexicons(rows, folder)
 
     def measure(batches):
+        weights = [_Weights(x) for x in lexicons]
         for batch in batches:
-            x = np.array([features(t, weights) for t in batch["text"]])
-            yield pd.DataFrame(x, columns=FEATURES).assign(doc_id=batch["doc_id"].to_numpy(), toxic=batch["toxic"].to_numpy())
+            x = np.array([features(t, weights[k]) for t, k in zip(batch["text"], batch["part"], strict=True)])
+            yield pd.DataFrame(x.reshape(-1, len(FEATURES)), columns=FEATURES).assign(doc_id=batch["doc_id"].to_numpy(), toxic=batch["toxic"].to_numpy(), part=batch["part"].to_numpy())
 
-    found = rows.mapInPandas(measure, ", ".join(f"{f} double" for f in FEATURES) + ", doc_id long, toxic int").toPandas().sort_values("doc_id")
-    x, y = found[FEATURES].to_numpy(), found["toxic"].to_numpy().astype(float)
+    found = rows.mapInPandas(work.tidy(measure), ", ".join(f"{f} double" for f in FEATURES) + ", doc_id long, toxic int, part int").toPandas().sort_values("doc_id")
+    x, y, part = found[FEATURES].to_numpy(), found["toxic"].to_numpy().astype(float), found["part"].to_numpy()
     if not len(y) or y.min() == y.max():
-        return Model(lexicon, None, None)
-    last = (found["doc_id"].to_numpy() * 2654435761 >> 7) % 4 == 3
-    if min(y[last].sum(), (1 - y[last]).sum()) < 5 or y[~last].min() == y[~last].max():
-        last = np.zeros(len(y), bool)  # too few to set any apart: calibrate on the trained rows
-    trees = boost(x[~last], y[~last])
-    check = last if last.any() else ~last
-    return Model(lexicon, trees, isotonic(trees.margin(x[check]), y[check]))
+        return Model(lexicons[-1], None, None)
+    return Model(lexicons[-1], *fit(x, y, part))
+
+
+def fit(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> tuple[Boosted, Isotonic]:
+    """Trees of all rows, calibrated by the margins that trees of the other parts give each row."""
+    margin = np.zeros(len(y))
+    for k in range(PARTS):
+        own = part == k
+        if own.any() and not own.all():
+            margin[own] = boost(x[~own], y[~own]).margin(x[own])
+    trees = boost(x, y)
+    return trees, isotonic(margin if len(np.unique(part)) > 1 else trees.margin(x), y)
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -215,7 +235,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield batch[["k", "m"]].assign(score=model.score(batch["text"]))
 
     key = F.col("doc_id").cast("long")
-    rows = docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "k long, m boolean, score double")
+    rows = docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(work.tidy(run), "k long, m boolean, score double")
     doc_id = F.when(~F.col("m"), F.col("k"))
     return rows.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
