@@ -2,10 +2,16 @@
 
 The reader follows the chain of image directories in either byte order, decodes strips or tiles (none, PackBits, LZW,
 deflate), undoes horizontal and floating-point predictors, and gives one row for each page. A broken file gives one row
-with its error and no pixels; pages before a broken one are kept.
+with its error and no pixels; pages before a broken one are kept. A page of over PAGE_BYTES counts as broken.
+
+media_features stores each text as pages of at most PAGE_ROWS_OF_TEXT rows, so that no page grows with its text, and
+chooses each page's codec and layout by its content: PackBits where bytes repeat, LZW for small pages, deflate for
+others, or none where that saves nothing; tiles for pages of at least TILE rows, else strips. What it stores it reads
+back with the reader above.
 
 Defined results: null media give no rows; an empty table gives no rows; other columns are ignored. In media_features a
-null text is empty, and rows with null or repeated doc_ids are kept.
+null text is empty, rows with null or repeated doc_ids are kept, equal texts have equal values, and very long texts have
+very many pages.
 """
 
 from __future__ import annotations
@@ -167,6 +173,16 @@ def _unpredict(rows: np.ndarray, predictor: int) -> np.ndarray:
     raise ValueError(f"predictor {predictor} is not known for these samples")
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a page is stored: codec, predictor, rows of a strip, and the side of its tiles (0 for strips)."""
+
+    compression: int = DEFLATE
+    predictor: int = 2
+    rows_per_strip: int = 256
+    tile: int = 0
+
+
 @dataclass
 class Page:
     width: int
@@ -238,30 +254,36 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
     return Page(width, height, samples, bits, compression, text, out)
 
 
+#: What a file that lies about itself can raise while it is taken apart.
+BROKEN = (struct.error, zlib.error, IndexError, KeyError, TypeError, AttributeError, OverflowError, UnicodeError, ZeroDivisionError, MemoryError)
+
+
 def pages(data: bytes) -> Iterator[Page]:
-    """The pages of a file, in the order of its directories."""
-    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    if not order or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a TIFF file")
-    (at,) = struct.unpack_from(order + "I", data, 4)
-    seen: set[int] = set()
-    while at:
-        if at in seen:
-            raise ValueError("the directories form a ring")
-        seen.add(at)
-        try:
+    """The pages of a file, in the order of its directories; ValueError where it is broken."""
+    try:
+        order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
+        if not order or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
+            raise ValueError("not a TIFF file")
+        (at,) = struct.unpack_from(order + "I", data, 4)
+        seen: set[int] = set()
+        while at:
+            if at in seen:
+                raise ValueError("the directories form a ring")
+            seen.add(at)
             tags, at = _directory(data, order, at)
-        except struct.error as e:
-            raise ValueError("a directory lies past the end") from e
-        yield _page(data, order, tags)
+            yield _page(data, order, tags)
+    except BROKEN as e:
+        raise ValueError(f"the file is broken: {type(e).__name__} {e}") from e
 
 
-def write(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, rows_per_strip: int = 256, tile: int = 0, descriptions: list[str] | None = None, order: str = "<") -> bytes:
-    """A file with one page for each image (height, width, samples) of unsigned samples; tile: side, or 0 for strips."""
+def write(images: list[np.ndarray], layouts: Layout | list[Layout] = Layout(), descriptions: list[str] | None = None, order: str = "<") -> bytes:
+    """A file with one page for each image (height, width, samples) of unsigned samples."""
     out = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 0))
     link = 4
     for k, image in enumerate(images):
         image = np.atleast_3d(image)
+        layout = layouts if isinstance(layouts, Layout) else layouts[k]
+        compression, predictor, rows_per_strip, tile = layout.compression, layout.predictor, layout.rows_per_strip, layout.tile
         h, w, s = image.shape
         bits = image.dtype.itemsize * 8
         blocks = []
@@ -332,28 +354,48 @@ def read_pages(spark: SparkSession, media: DataFrame) -> DataFrame:
 
 
 ROW_BYTES = 192
+#: Rows of a text's page at most (96 KiB), rows from which a page is tiled, and rows of a strip.
+PAGE_ROWS_OF_TEXT, TILE, STRIP_ROWS = 512, 64, 16
+#: Bytes up to which a page is coded by LZW, and the share of bytes like the one before from which it is by PackBits.
+LZW_BYTES, REPEATS = 768, 0.4
 COLUMNS = "k long, m boolean, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def layout_of(page: np.ndarray) -> Layout:
+    """The codec and layout for a page (rows, 64, 3) of a text."""
+    flat = page.reshape(-1)
+    tile = TILE if len(page) >= TILE else 0
+    if np.count_nonzero(flat[1:] == flat[:-1]) >= REPEATS * len(flat):
+        return Layout(PACKBITS, 1, STRIP_ROWS, tile)
+    if len(flat) <= LZW_BYTES:
+        return Layout(LZW, 1, STRIP_ROWS, tile)
+    sample = flat[:4096].tobytes()
+    return Layout(DEFLATE if len(zlib.compress(sample, 1)) < len(sample) else NONE, 2, STRIP_ROWS * 4, tile)
+
+
 def text_image(text: bytes) -> bytes:
-    """A text as a picture: 64 pixels of 3 samples a row, filled up with spaces; its length is the description."""
+    """A text as pictures: 64 pixels of 3 samples a row, filled up with spaces; its length is the first description."""
     padded = text + b" " * (-len(text) % ROW_BYTES or (0 if text else ROW_BYTES))
-    return write([np.frombuffer(padded, np.uint8).reshape(-1, ROW_BYTES // 3, 3)], descriptions=[f"bytes={len(text)}"])
+    rows = np.frombuffer(padded, np.uint8).reshape(-1, ROW_BYTES // 3, 3)
+    images = [rows[at : at + PAGE_ROWS_OF_TEXT] for at in range(0, len(rows), PAGE_ROWS_OF_TEXT)]
+    return write(images, [layout_of(x) for x in images], [f"bytes={len(text)}" if k == 0 else f"page {k}" for k in range(len(images))])
 
 
-def feature(page: Page) -> str:
-    """Size, mean and deviation of the samples, shares of 8 brightness bins, and a coarse picture of 16 row bands."""
-    flat = page.pixels.reshape(-1)
+def feature(pixels: np.ndarray, n_pages: int) -> str:
+    """Of all pages (height, width, samples): size, mean and deviation of the samples, shares of 8 brightness bins, a
+    coarse picture of 16 row bands, and the number of pages."""
+    height, width, samples = pixels.shape
+    flat = pixels.reshape(-1)
     counts = np.bincount(flat, minlength=256)
     levels = np.arange(256)
     mean = float((counts * levels).sum()) / len(flat)
     deviation = max(0.0, float((counts * levels * levels).sum()) / len(flat) - mean * mean) ** 0.5
     bins = counts.reshape(8, 32).sum(axis=1)
-    rows = page.pixels.reshape(page.height, -1).sum(axis=1, dtype=np.int64)
-    edges = np.linspace(0, page.height, 17).astype(int)
-    bands = [int(rows[a:b].sum() > mean * (b - a) * ROW_BYTES) for a, b in zip(edges, edges[1:], strict=False)]
+    rows = pixels.reshape(height, -1).sum(axis=1, dtype=np.int64)
+    edges = np.linspace(0, height, 17).astype(int)
+    bands = [int(rows[a:b].sum() > mean * (b - a) * width * samples) for a, b in zip(edges, edges[1:], strict=False)]
     code = int("".join(map(str, bands)), 2)
-    return f"{page.width}x{page.height}x{page.samples};{mean:.4f};{deviation:.4f};{'/'.join(f'{b / len(flat):.4f}' for b in bins)};{code:04x}"
+    return f"{width}x{height}x{samples};{mean:.4f};{deviation:.4f};{'/'.join(f'{b / len(flat):.4f}' for b in bins)};{code:04x};{n_pages}"
 
 
 def _store(batches):
@@ -367,9 +409,10 @@ def _digest(batches):
     for batch in batches:
         rows = []
         for k, m, media in zip(batch["k"], batch["m"], batch["media"], strict=True):
-            page = next(pages(media))
-            payload = page.pixels.tobytes()
-            rows.append((k, m, int(page.description.removeprefix("bytes=")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(page)))
+            found = list(pages(media))
+            pixels = np.concatenate([p.pixels for p in found])
+            payload = pixels.tobytes()
+            rows.append((k, m, int(found[0].description.removeprefix("bytes=")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels, len(found))))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in COLUMNS.split(", ")])
 
 
