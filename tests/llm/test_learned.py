@@ -148,3 +148,42 @@ def test_language_of_empty_tables(spark, no_docs):
     one = spark.createDataFrame([(1, "http://a/", "<p>x</p>")], "page_id long, url string, html string")
     row = language.identify(spark, no_docs, one).first()
     assert row.page_id == 1 and row.lang is None
+
+
+def test_fusion_against_brute_force(spark, tmp_path):
+    """The posterior of every row, worked out one row at a time."""
+    rng = np.random.default_rng(2)
+    languages = ["de", "en", "fr"]
+    rows = []
+    for k in range(120):
+        host = rng.choice(["a", "a", "a", "b", "c"])  # a hot host
+        rows.append((k, str(rng.choice(["-", "de", "xx"])), {"a": "de", "b": "org", "c": "org"}[host], str(host), rng.normal(0, 3, 3).tolist()))
+    rows[5] = (5, "-", "org", "b", [0.0, 0.0, 0.0])
+    found = spark.createDataFrame(rows, "k long, declared string, suffix string, host string, ll array<double>").repartition(3)
+    got = {r.k: r.posterior for r in language.fuse(found, languages, f"file://{tmp_path}").collect()}
+    p = {k: np.exp(np.array(ll) - max(ll)) / np.exp(np.array(ll) - max(ll)).sum() for k, *_, ll in rows}
+    total = sum(p.values())
+    for k, declared, suffix, host, ll in rows:
+        hosts = sum(p[r[0]] for r in rows if (r[3], r[2]) == (host, suffix))
+        suffixes = sum(p[r[0]] for r in rows if r[2] == suffix)
+        said = sum(p[r[0]] for r in rows if r[1] == declared)
+        overall = (total + 1) / (total.sum() + 3)
+        suffix_prior = (suffixes + language.SUFFIX_SMOOTHING * overall) / (suffixes.sum() + language.SUFFIX_SMOOTHING)
+        others = np.maximum(hosts - p[k], 0)
+        host_prior = (others + language.HOST_SMOOTHING * suffix_prior) / (others.sum() + language.HOST_SMOOTHING)
+        declares = (said + language.DECLARED_SMOOTHING * said.sum() / total.sum()) / (total + language.DECLARED_SMOOTHING)
+        want = np.exp(ll) * host_prior * declares
+        assert np.allclose(got[k], want / want.sum(), atol=1e-5)
+
+
+def test_likelihood_against_brute_force():
+    """Mean log-likelihood of a text's trigrams, counted one by one, times the evidence of its length."""
+    counts = np.zeros((2, language.BUCKETS))
+    for k, text in enumerate(("the cat sat on the mat", "der hund lag auf der matte")):
+        for t in language.trigrams(text):
+            counts[k, t] += 1
+    model = language.TextModel(["en", "de"], counts)
+    for text in ("the hat", "der hut", "a", "", "the cat " * 40):
+        t = language.trigrams(text)
+        want = [np.mean([np.log((counts[k, x] + 0.1) / (counts[k].sum() + 0.1 * language.BUCKETS)) for x in t]) * min(len(t), language.EVIDENCE_CHARS) if text else 0.0 for k in range(2)]
+        assert np.allclose(model.likelihood(text), want, atol=1e-3)
