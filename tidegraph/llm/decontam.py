@@ -68,6 +68,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+work.CACHES["words"] = _hashes.clear
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -238,7 +239,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, folder:
     seeds = work.written(items.select("u", "text").mapInPandas(work.tidy(_item_seeds), "u long, size int, place int, seed long"), f"{folder}/seeds")
     words, bits = _filter(seeds.select("seed").distinct())
     shared = spark.sparkContext.broadcast(words)
-    hits = work.written(docs.mapInPandas(work.tidy(_looker(shared, bits)), "file long, row long, seed long, at int, first boolean"), f"{folder}/hits")
+    hits = work.written(docs.mapInPandas(work.tidy(_looker(shared, bits), "words"), "file long, row long, seed long, at int, first boolean"), f"{folder}/hits")
     common = hits.groupBy("seed").agg(F.sum(F.col("first").cast("long")).alias("held"))
     rare = F.col("held") <= F.greatest(F.lit(float(LEAST_RARE)), F.lit(RARE_SHARE) * F.lit(docs.count()))
     near = Window.partitionBy("u", F.floor(F.col("place") / SPREAD))  # of SPREAD rows
@@ -255,7 +256,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, folder:
     window = F.struct("u", F.greatest(F.lit(0), F.col("low") - slack).cast("int").alias("start"), (F.col("high") + F.col("size") + slack).cast("int").alias("end"), F.col("hits").cast("int").alias("hits"))
     wanted = work.written(told.groupBy("file", "row").agg(F.collect_list(window).alias("windows")), f"{folder}/windows")
     n = wanted.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0]
-    cut = docs.join(F.broadcast(wanted) if n <= FEW_WINDOWS else wanted, ["file", "row"]).select("file", "row", "text", "windows").mapInPandas(work.tidy(_cut), "file long, row long, u long, start int, hits int, words binary")
+    cut = docs.join(F.broadcast(wanted) if n <= FEW_WINDOWS else wanted, ["file", "row"]).select("file", "row", "text", "windows").mapInPandas(work.tidy(_cut, "words"), "file long, row long, u long, start int, hits int, words binary")
     item_words = work.written(items.join(seeds.select("u").distinct(), "u").select("u", "text").mapInPandas(work.tidy(_item_words), "u long, item binary"), f"{folder}/item_words")
     aligned = cut.join(item_words, "u").select("file", "row", "u", "start", "hits", "words", "item").mapInPandas(work.tidy(_align), "file long, row long, u long, hits int, score double, end long")
     best = aligned.where(F.col("score") >= score).groupBy("file", "row", "u").agg(F.max(F.struct("score", "hits", "end")).alias("best"))

@@ -90,6 +90,9 @@ class Parsed:
 _kinds: dict[tuple[str, str], tuple[str, bool, float]] = {}
 
 
+work.CACHES["tags"] = _kinds.clear
+
+
 def _kind(tag: str, raw: str) -> tuple[str, bool, float]:
     """(step of the path, boilerplate, hint) of a tag with its attributes; kept, as sites repeat them."""
     if (found := _kinds.get((tag, raw))) is not None:
@@ -300,7 +303,7 @@ def _extract(batches):
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path): each host's winning container path. Ties go to the longer, then the greater path."""
     html = F.coalesce("html", F.lit(""))
-    ballots = pages.select(_host().alias("host"), html.alias("html")).mapInPandas(work.tidy(_vote), "host string, path string, share double")
+    ballots = pages.select(_host().alias("host"), html.alias("html")).mapInPandas(work.tidy(_vote, "tags"), "host string, path string, share double")
     tally = ballots.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
     return tally.groupBy("host").agg(F.max(F.struct("votes", F.length("path").alias("n"), "path")).alias("best")).select("host", F.col("best.path").alias("path"))
 
@@ -313,5 +316,5 @@ def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     rows = pages.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
     # The winners have one row a host; Spark knows the written table's size, so it broadcasts a small one and sorts and
     # splits skewed hosts otherwise.
-    out = rows.join(winners, "host", "left").select("k", "m", "url", "html", "path").mapInPandas(work.tidy(_extract), "k long, m boolean, url string, text string, n_chars long, path string")
+    out = rows.join(winners, "host", "left").select("k", "m", "url", "html", "path").mapInPandas(work.tidy(_extract, "tags"), "k long, m boolean, url string, text string, n_chars long, path string")
     return out.select(F.when(~F.col("m"), F.col("k")).alias("page_id"), "url", "text", "n_chars", "path")

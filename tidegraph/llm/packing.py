@@ -67,7 +67,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
             yield out.astype({"doc_id": "Int64"})
 
     key = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(work.tidy(make), PIECES)
+    return docs.select(F.coalesce(key, F.lit(0)).alias("k"), key.isNull().alias("m"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(work.tidy(make, "tokens"), PIECES)
 
 
 def _local_sweep(batches):

@@ -96,7 +96,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str | None = Non
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     ordered = ordered.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("m"), "text")
-    return ordered.mapInPandas(work.tidy(write), MANIFEST)
+    return ordered.mapInPandas(work.tidy(write, "tokens"), MANIFEST)
 
 
 def read_token_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:

@@ -16,6 +16,8 @@ import re
 import sys
 import unicodedata
 
+from . import work
+
 #: Kept pieces before the table starts anew, and characters of a piece that is kept: with some 200 bytes a piece, 60 MB.
 KEPT, KEPT_CHARS = 300_000, 64
 #: Code points whose classes are the same in all Unicode versions in use (Latin, common punctuation).
@@ -103,6 +105,9 @@ def encoder(path: str, kept: int = KEPT) -> PieceEncoder:
     return PieceEncoder(path, kept)
 
 
+work.CACHES["tokens"] = encoder.cache_clear
+
+
 def default_tokenizer() -> str:
     """The production tokenizer's file."""
     import public_tokenizers

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +32,24 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
-def tidy(f):
-    """f for mapInPandas; when a task is done, memory that its worker has freed goes back to the system.
+#: What a worker keeps between tasks: the name of each (bounded) cache, and how to empty it.
+CACHES: dict[str, Callable[[], None]] = {}
 
-    Workers are reused by later stages, and several of them share an executor's memory.
+
+def tidy(f, cache: str | None = None):
+    """f for mapInPandas, as a good neighbour: workers are reused by later stages, and several share an executor's memory.
+
+    Before a task, caches of other operators are emptied (cache: the one that f uses); when it is done, memory that the
+    worker has freed goes back to the system.
     """
 
     @functools.wraps(f)
     def run(batches):
+        from tidegraph.llm.work import CACHES as kept  # the worker's own, not a copy from the driver
+
+        for name, empty in kept.items():
+            if name != cache:
+                empty()
         yield from f(batches)
         import ctypes
         import gc
