@@ -103,10 +103,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInPandas(work.tidy(_judge), "a long, b long")
 
 
-def _met(groups: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): a is the hub of groups (key, n, component) that b is in without being connected to it."""
+def _met(groups: DataFrame, turn: int, folder: str) -> DataFrame:
+    """Pairs (a, b): a is the hub of groups (key, n, component) that b is in without being connected to it.
+
+    The hubs are written first, as all that has a row a group is here: Spark then knows its size, and broadcasts a small
+    one without moving the members, or sorts and splits the members of a hot group.
+    """
     order = F.col("n") if not turn else F.xxhash64("n", F.lit(turn))
     hubs = groups.groupBy("key").agg(F.min(F.struct(order.alias("order"), "n", "component")).alias("hub"))
+    hubs = work.written(hubs, f"{folder}/hubs{turn}")
     apart = groups.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
     shared = apart.groupBy("n", F.col("hub.n").alias("a")).agg(F.count("*").alias("shared"))
     best = shared.groupBy("n").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
@@ -151,11 +156,11 @@ def _compared(band: int, two_blocks: bool, members: list) -> list[tuple[int, int
     return found
 
 
-def _rest(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(groups: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Links among the members of groups (key, band, n, component) that aren't connected yet."""
     rows = groups.join(sets, "n")
     bytes_ = F.sum(F.length("shingles").cast("long"))
-    sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, bytes_ / BLOCK_BYTES)).cast("int").alias("parts"))
+    sizes = work.written(rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, bytes_ / BLOCK_BYTES)).cast("int").alias("parts")), f"{folder}/sizes")
     dealt = groups.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "band", "n", "component", "part").join(sets, "n")
@@ -168,6 +173,7 @@ def _labelled(groups: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     named = groups.select("key", "band", "n").join(known, "n", "left").withColumn("component", F.coalesce("component", "n"))
     named = work.written(named.select("key", "band", "n", "component"), f"{folder}/labelled")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    mixed = work.written(mixed, f"{folder}/keys")
     return work.written(named.join(mixed, "key"), f"{folder}/mixed")
 
 
@@ -180,6 +186,7 @@ def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, folder:
     prints = work.written(near.unionByName(equal), f"{folder}/prints")
     groups = work.written(nodes.select("n", "sig").mapInPandas(work.tidy(_bands), "n long, band int, key long"), f"{folder}/bands")
     several = groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    several = work.written(several, f"{folder}/several")
     groups = work.written(groups.join(several, "key"), f"{folder}/groups")
     wanted = groups.select("n").union(prints.select("a")).union(prints.select("b")).distinct().join(nodes, "n")
     wanted = work.written(wanted.select("n", "sig", F.col("first.file").alias("file"), F.col("first.row").alias("row")), f"{folder}/wanted")
@@ -188,13 +195,13 @@ def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, folder:
     groups = groups.withColumn("component", F.col("n"))
     paths = []
     for turn in range(ROUNDS):
-        met = _met(groups, turn)
+        met = _met(groups, turn, folder)
         pairs = work.written(met.unionByName(prints).distinct() if not turn else met, f"{folder}/pairs{turn}")
         paths.append(f"{folder}/links{turn}")
         work.written(_linked(pairs, sets), paths[-1])
         links = spark.read.schema("a long, b long").parquet(*paths)
         groups = _labelled(groups, links, f"{folder}/turn{turn}")
-    work.written(_rest(groups, sets), f"{folder}/rest")
+    work.written(_rest(groups, sets, folder), f"{folder}/rest")
     return spark.read.schema("a long, b long").parquet(*paths, f"{folder}/rest")
 
 
