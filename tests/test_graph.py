@@ -56,6 +56,24 @@ def test_bfs(graph, edges, strategy):
     assert got == want
 
 
+def test_relaxed_bfs(graph, edges):
+    root = min(a for a, _ in edges)
+    got = {r.id: (r.parent, r.level) for r in algorithms.bfs_relaxed(graph, root).collect()}
+    want = {r.id: (r.parent, r.level) for r in algorithms.bfs(graph, root).state.collect() if r.level is not None}
+    assert got == want and algorithms.bfs_relaxed(graph, -5).count() == 0
+
+
+@pytest.mark.parametrize("n,m", [(15, 30), (31, 64), (32, 128), (63, 128)])
+@pytest.mark.parametrize("strategy", ["push", "pull"])
+def test_engine_sizes(spark, n, m, strategy):
+    """Generated graphs of the usual test sizes, searched and labelled."""
+    g = generate.random_connected(spark, n, m)
+    e = {(r.src, r.dst) for r in g.edges.collect()}
+    level = _levels(e, 1)
+    assert {r.id: r.level for r in algorithms.bfs(g, 1, strategy).state.collect()} == level and len(level) == n
+    assert {r.color for r in algorithms.connected_components(g, "labels", strategy).collect()} == {1}
+
+
 def test_components(spark, graph, edges):
     got = {r.id: r.color for r in algorithms.connected_components(graph).collect()}
     labels = {r.id: r.color for r in algorithms.connected_components(graph, "labels").collect()}
@@ -63,6 +81,12 @@ def test_components(spark, graph, edges):
     assert got == labels == want
 
 
+def test_stars_that_do_not_settle_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        star_components(path, work_folder(spark, "stars"), max_rounds=1)
+
+
 def test_stars_on_paths_stars_and_loops(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 200), (300, 301), (301, 300), (5, None)]
     frame = spark.createDataFrame(pairs, "a long, b long")
@@ -101,6 +125,10 @@ def test_sssp(spark, graph, edges):
     state = algorithms.sssp(weighted, root).state
     assert {r.id: r.dist for r in state.collect() if r.dist is not None} == dist
     assert tuple(validate.distances_valid(state, weighted.edges).first()) == (0, 0)
+    short = algorithms.sssp(weighted, root, most=9).state
+    assert {r.id: r.dist for r in short.collect() if r.dist is not None} == {v: d for v, d in dist.items() if d < 9}
+    directed = {(r.src, r.dst): r.dist for r in generate.edge_weights(graph.edges, most=10, symmetric=False).collect()}
+    assert set(directed) == edges and {1, 10} <= set(directed.values()) <= set(range(1, 11)) and any(directed[a, b] != directed[b, a] for a, b in edges)
     wrong = state.withColumn("dist", F.when(F.col("dist") > 3, F.col("dist") + 1).otherwise(F.col("dist")))
     assert validate.distances_valid(wrong, weighted.edges).first()["improvable_edges"] > 0
 
@@ -115,6 +143,7 @@ def test_triangles(spark):
             want[min(tri, key=lambda v: (-degree[v], v))] += 1
     assert {r.id: r.num_triangles for r in algorithms.triangle_counts(graph).collect()} == want
     assert {r.id: r.num_triangles for r in algorithms.triangle_counts_by_tokens(graph).collect()} == want
+    assert {r.id: r.num_triangles for r in algorithms.triangle_counts_by_tokens(graph, budget=20).collect()} == want
     work = {r.id: (r.num_active, r.sum_active) for r in algorithms.triangle_work(graph.edges).collect()}
     down = {(a, b) for a, b in edges if degree[b] >= 2 and (-degree[a], a) < (-degree[b], b)}
     out = {v: sum(a == v for a, _ in down) for v in degree}
@@ -156,6 +185,13 @@ def test_partitioners(spark, graph, edges):
         load[p] += degree[v]
     assert {r.id: r.part for r in partition.greedy(graph.out_degrees(), 4).collect()} == want
     placed = partition.label_propagation(graph.vertices, graph.edges, 4)
+    local = {}
+    for r in partition.ranked_in_parts(placed, work_folder(spark, "parts")).collect():
+        local.setdefault(r.part, []).append((r.id, r.local))
+    assert all([k for _, k in sorted(x)] == list(range(len(x))) for x in local.values())
+    where = {v: p for v, (p, _) in robin.items()}
+    placed_robin = partition.robin(graph.vertices, 4, work_folder(spark, "robin"))
+    assert {r.id for r in partition.crossing_senders(placed_robin, graph.edges).collect()} == {a for a, b in edges if where[a] != where[b]}
     assert placed.count() == len(ids) and placed.where(~F.col("part").between(0, 3)).isEmpty()
     addresses = {r.address for r in partition.relabel(partition.robin(graph.vertices, 4, work_folder(spark, "robin")), 10).collect()}
     assert len(addresses) == len(ids) and 0 not in addresses

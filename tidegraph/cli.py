@@ -38,28 +38,15 @@ def place(graph: Graph, config: Config) -> DataFrame:
         return partition.greedy(graph.out_degrees(), config.num_pe)
     if config.partition == "cyclic":
         return graph.vertices.select("id", F.pmod(F.col("id") + 1, F.lit(config.num_pe)).cast("int").alias("part"), F.floor((F.col("id") + 1) / config.num_pe).cast("long").alias("local"))
-    parts = partition.label_propagation(graph.vertices, graph.edges, config.num_pe)
-    from pyspark.sql import Window
-
-    return parts.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy("id")).cast("long") - 1)
+    return partition.ranked_in_parts(partition.label_propagation(graph.vertices, graph.edges, config.num_pe), work_folder(spark, "parts"))
 
 
 def run(graph: Graph, config: Config) -> DataFrame:
-    """The configured algorithm's result."""
+    """The configured algorithm's result: the registry knows it by its name."""
+    if config.algo not in algorithms.RUNNERS:
+        raise ValueError(f"unknown algorithm {config.algo!r}; known are {', '.join(sorted(algorithms.RUNNERS))}")
     root = config.root if config.root is not None else graph.vertices.agg(F.min("id")).first()[0]
-    algo = config.algo.removeprefix("v") if config.algo in ("vbfs", "vsssp") else config.algo
-    if algo == "bfs":
-        return algorithms.bfs(graph, root, config.architecture).state
-    if algo == "cc":
-        return algorithms.connected_components(graph)
-    if algo == "pr":
-        return algorithms.pagerank(graph, config.rounds, config.init_sum, config.architecture).state.select("id", "rank")
-    if algo == "sssp":
-        weighted = graph if "dist" in graph.edges.columns else graph.with_edges(generate.edge_weights(graph.edges, config.seed))
-        return algorithms.sssp(weighted, root, strategy=config.architecture).state
-    if algo == "tri":
-        return algorithms.triangle_counts(graph)
-    raise ValueError(f"unknown algorithm {config.algo!r}")
+    return algorithms.RUNNERS[config.algo](graph, root, config)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:

@@ -6,12 +6,14 @@ vertex that qualifies, so results don't depend on arrival order; distances are 6
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.superstep import Program, Relay, Run, register, relay, run
-from ..storage import checkpointed, work_folder
+from ..storage import checkpointed, work_folder, written
 from .preprocess import degrees
 from .stars import star_components
 
@@ -43,11 +45,15 @@ def cc_program() -> Program:
 
 
 @register("sssp")
-def sssp_program(root: int) -> Program:
-    """State dist and parent, over edges with a non-negative integer column dist."""
+def sssp_program(root: int, most: int | None = None) -> Program:
+    """State dist and parent, over edges with a non-negative integer column edge_dist.
+
+    most: distances saturate there, as in a register of few bits; what would be that far counts as not reached.
+    """
     is_root = F.col("id") == F.lit(root)
     offer = F.col("offer")
     better = offer["dist"].isNotNull() & (F.col("dist").isNull() | (offer["dist"] < F.col("dist")))
+    reach = F.col("dist") + F.col("edge_dist")
     return Program(
         "sssp",
         init={"dist": F.when(is_root, F.lit(0)).cast("long"), "parent": F.when(is_root, F.col("id"))},
@@ -56,6 +62,7 @@ def sssp_program(root: int) -> Program:
         gather={"offer": F.min(F.struct(F.col("msg_dist").alias("dist"), F.col("msg_sender").alias("sender")))},
         apply={"dist": F.when(better, offer["dist"]).otherwise(F.col("dist")), "parent": F.when(better, offer["sender"]).otherwise(F.col("parent"))},
         activate=better,
+        send_if=None if most is None else reach < most,
     )
 
 
@@ -83,18 +90,34 @@ def bfs(graph: Graph, root: int, strategy: str = "push", telemetry: bool = False
     return run(graph, bfs_program(root), strategy=strategy, telemetry=telemetry)
 
 
+def bfs_relaxed(graph: Graph, root: int) -> DataFrame:
+    """(id, parent, level) of the vertices that a root reaches, by a relaxed program: a vertex takes the first message
+    that finds it without a parent and passes it on at once. Only what is new is written in a step, and no state is
+    looked at that no message meets. Of messages that arrive together the least sender's is the first."""
+    start = graph.vertices.where(F.col("id") == F.lit(root)).select(F.col("id").alias("root"))
+    return bfs_many(graph, start).select("id", "parent", "level")
+
+
 def bfs_many(graph: Graph, roots: DataFrame) -> DataFrame:
-    """(root, id, parent, level) for every root (root): all searches advance together, one superstep a level."""
+    """(root, id, parent, level) for every root (root): all searches advance together, one superstep a level.
+
+    Levels are written as tables of their own, so a step costs its frontier's messages and the keys seen before.
+    """
+    spark = graph.edges.sparkSession
+    folder, schema = work_folder(spark, "bfs"), "root long, id long, parent long, level int"
     by_src = graph.co_located("src")
-    seen = checkpointed(roots.select("root", F.col("root").alias("id"), F.col("root").alias("parent"), F.lit(0).alias("level")))
-    frontier, level = seen, 0
-    while not frontier.isEmpty():
-        level += 1
-        reached = frontier.select("root", F.col("id").alias("src")).join(by_src.edges, "src").groupBy("root", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        frontier = checkpointed(reached.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", "parent", F.lit(level).alias("level")))
-        seen = checkpointed(seen.unionByName(frontier))
-    by_src.release()
-    return seen
+    frontier = written(roots.select("root", F.col("root").alias("id"), F.col("root").alias("parent"), F.lit(0).alias("level")), f"{folder}/0")
+    paths = [f"{folder}/0"]
+    try:
+        while not frontier.isEmpty():
+            seen = spark.read.schema(schema).parquet(*paths).select("root", "id")
+            reached = frontier.select("root", F.col("id").alias("src")).join(by_src.edges.select("src", "dst"), "src").groupBy("root", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+            new = reached.join(seen, ["root", "id"], "left_anti").select("root", "id", "parent", F.lit(len(paths)).alias("level"))
+            paths.append(f"{folder}/{len(paths)}")
+            frontier = written(new, paths[-1])
+    finally:
+        by_src.release()
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def connected_components(graph: Graph, method: str = "stars", strategy: str = "push") -> DataFrame:
@@ -130,11 +153,11 @@ def pagerank(graph: Graph, rounds: int = ROUNDS, init_sum: str = "spec", strateg
     return out
 
 
-def sssp(graph: Graph, root: int, weight: str = "dist", strategy: str = "push") -> Run:
+def sssp(graph: Graph, root: int, weight: str = "dist", strategy: str = "push", most: int | None = None) -> Run:
     """(id, dist, parent): shortest distances over a column of non-negative integer weights; the parent is the least
-    vertex among those that offered the distance first."""
+    vertex among those that offered the distance first. most: see sssp_program; 255 for distances of 8 bits."""
     edges = graph.edges.select("src", "dst", F.col(weight).alias("edge_dist"))
-    return run(graph.with_edges(edges), sssp_program(root), strategy=strategy)
+    return run(graph.with_edges(edges), sssp_program(root, most), strategy=strategy)
 
 
 def tight_parents(state: DataFrame, edges: DataFrame, weight: str = "dist") -> DataFrame:
@@ -191,8 +214,6 @@ def activation_batches(work: DataFrame, folder: str, budget: int = 1024) -> Data
     """
     from pyspark.sql import Window
 
-    from ..storage import written
-
     placed = written(work.repartitionByRange("id").withColumn("part", F.spark_partition_id()), f"{folder}/work")
     within = F.sum("work").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     totals = placed.groupBy("part").agg(F.sum("work").alias("total"))
@@ -201,10 +222,12 @@ def activation_batches(work: DataFrame, folder: str, budget: int = 1024) -> Data
     return summed.select("id", F.floor((F.col("offset") + F.col("sum") - F.col("work")) / F.lit(budget)).cast("long").alias("batch"))
 
 
-def triangle_counts_by_tokens(graph: Graph) -> DataFrame:
+def triangle_counts_by_tokens(graph: Graph, budget: int | None = None) -> DataFrame:
     """triangle_counts by three-hop tokens: a token goes two hops down the order and has to come back to its origin.
 
     Every message acts alone, as in message-driven frameworks; triangle_counts does the same work in fewer rows.
+    budget: start the vertices in batches whose two-hop work stays near it, one after the other, which bounds the
+    messages that are under way at a time.
     """
     d = degrees(graph.edges)
     s = d.select(F.col("id").alias("src"), F.col("degree").alias("src_degree"))
@@ -219,5 +242,64 @@ def triangle_counts_by_tokens(graph: Graph) -> DataFrame:
         keep=F.col("hops") < 2,
         max_steps=3,
     )
-    per = relay(graph.with_edges(edges), program).groupBy("id").agg(F.count("*").alias("num_triangles"))
+    start = None
+    if budget:
+        work = triangle_work(graph.edges).select("id", F.col("sum_active").alias("work"))
+        start = activation_batches(work, work_folder(graph.edges.sparkSession, "batches"), budget)
+    per = relay(graph.with_edges(edges), program, start).groupBy("id").agg(F.count("*").alias("num_triangles"))
     return graph.vertices.select("id").join(per, "id", "left").select("id", F.coalesce("num_triangles", F.lit(0)).alias("num_triangles"))
+
+
+#: Name to a function of (graph, root, config) that gives the algorithm's result; configurations name it.
+RUNNERS: dict[str, Callable] = {}
+
+
+def runner(*names: str):
+    """Add a way to run an algorithm under some names."""
+
+    def add(f: Callable) -> Callable:
+        RUNNERS.update(dict.fromkeys(names, f))
+        return f
+
+    return add
+
+
+def _weighted(graph: Graph, config, most: int) -> Graph:
+    from .generate import edge_weights
+
+    return graph if "dist" in graph.edges.columns else graph.with_edges(edge_weights(graph.edges, config.seed, most))
+
+
+@runner("bfs", "vbfs")
+def _run_bfs(graph: Graph, root: int, config) -> DataFrame:
+    return bfs(graph, root, config.architecture).state
+
+
+@runner("bfs_relaxed")
+def _run_bfs_relaxed(graph: Graph, root: int, config) -> DataFrame:
+    return bfs_relaxed(graph, root)
+
+
+@runner("cc")
+def _run_components(graph: Graph, root: int, config) -> DataFrame:
+    return connected_components(graph)
+
+
+@runner("pr")
+def _run_pagerank(graph: Graph, root: int, config) -> DataFrame:
+    return pagerank(graph, config.rounds, config.init_sum, config.architecture).state.select("id", "rank")
+
+
+@runner("sssp")
+def _run_sssp(graph: Graph, root: int, config) -> DataFrame:
+    return sssp(_weighted(graph, config, 14), root, strategy=config.architecture).state
+
+
+@runner("vsssp")
+def _run_sssp_8_bits(graph: Graph, root: int, config) -> DataFrame:
+    return sssp(_weighted(graph, config, 9), root, strategy=config.architecture, most=255).state
+
+
+@runner("tri")
+def _run_triangles(graph: Graph, root: int, config) -> DataFrame:
+    return triangle_counts(graph)

@@ -145,9 +145,10 @@ def shuffle_edges(edges: DataFrame, seed: int = 42) -> DataFrame:
     return edges.orderBy(draw(seed, F.col("src"), F.col("dst") % 2147483647), "src", "dst")
 
 
-def edge_weights(edges: DataFrame, seed: int = 42, most: int = 14) -> DataFrame:
-    """edges with dist in 1..most, the same both ways."""
-    w = draw(seed, F.least("src", "dst"), F.greatest("src", "dst") % 2147483647)
+def edge_weights(edges: DataFrame, seed: int = 42, most: int = 14, symmetric: bool = True) -> DataFrame:
+    """edges with dist in 1..most, the same both ways or each direction with its own."""
+    ends = (F.least("src", "dst"), F.greatest("src", "dst")) if symmetric else (F.col("src"), F.col("dst"))
+    w = draw(seed, ends[0], ends[1] % 2147483647)
     return edges.withColumn("dist", F.lit(1) + (w % most))
 
 

@@ -7,6 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .preprocess import degrees, dense_rank_ids
 
 
@@ -19,18 +20,25 @@ def robin(vertices: DataFrame, parts: int, folder: str) -> DataFrame:
 def greedy(degree: DataFrame, parts: int) -> DataFrame:
     """(id, part, local): each vertex in id order goes to the part with the least summed degree, the lowest on ties.
 
-    Every step depends on all before it, so this runs on the driver over (id, degree) in order: O(V) rows stream
-    through it and only the parts' loads are held. Use robin or cyclic for graphs beyond one machine.
+    Every step depends on all before it, so all rows (id, degree) stream through one task in their order, sorted on its
+    disk; it holds the parts' loads and one batch, and the driver nothing. Use robin or cyclic for very large graphs.
     """
-    heap = [(0, p) for p in range(parts)]
-    count = [0] * parts
-    out = []
-    for r in degree.orderBy("id").toLocalIterator(prefetchPartitions=True):
-        load, p = heapq.heappop(heap)
-        out.append((r["id"], p, count[p]))
-        count[p] += 1
-        heapq.heappush(heap, (load + r["degree"], p))
-    return degree.sparkSession.createDataFrame(out, "id long, part int, local long")
+
+    def assign(batches):
+        import pandas as pd
+
+        heap, count = [(0, p) for p in range(parts)], [0] * parts
+        for batch in batches:
+            rows = []
+            for key, d in zip(batch["id"].tolist(), batch["degree"].tolist(), strict=True):
+                load, p = heapq.heappop(heap)
+                rows.append((key, p, count[p]))
+                count[p] += 1
+                heapq.heappush(heap, (load + d, p))
+            yield pd.DataFrame(rows, columns=["id", "part", "local"])
+
+    ship(degree.sparkSession)
+    return degree.select("id", "degree").repartition(1).sortWithinPartitions("id").mapInPandas(assign, "id long, part int, local long")
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, parts: int, rounds: int = 5, slack: float = 1.1) -> DataFrame:
@@ -118,3 +126,17 @@ def recipients(placed: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, parts): in how many parts a vertex has neighbours: who must get its updates in pull mode."""
     b = placed.select(F.col("id").alias("dst"), "part")
     return edges.join(b, "dst").groupBy(F.col("src").alias("id")).agg(F.count_distinct("part").alias("parts"))
+
+
+def crossing_senders(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id): vertices with a neighbour in another part; only their updates have to leave theirs."""
+    a, b = (placed.select(F.col("id").alias(i), F.col("part").alias(p)) for i, p in (("src", "p"), ("dst", "q")))
+    away = edges.select("src", "dst").join(a, "src").join(b, "dst").where("p <> q")
+    return placed.select("id").join(away.select(F.col("src").alias("id")), "id", "left_semi")
+
+
+def ranked_in_parts(parts: DataFrame, folder: str) -> DataFrame:
+    """(id, part, local): places of vertices (id, part) in their parts, in id order, without one task for each part."""
+    ranked = dense_rank_ids(parts.select("part", "id"), ["part", "id"], folder)
+    first = ranked.groupBy("part").agg(F.min("rank").alias("first"))
+    return ranked.join(F.broadcast(first), "part").select("id", "part", (F.col("rank") - F.col("first")).alias("local"))

@@ -30,7 +30,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def star_components(edges: DataFrame, folder: str, max_rounds: int = 100) -> DataFrame:
     """(id, component): the least id of its component for every id of edges (a, b); the least ids themselves included.
 
-    Self-loops and repeated edges are allowed; rows with a null end are dropped. folder: a shared working folder.
+    Self-loops and repeated edges are allowed; rows with a null end are dropped. folder: a shared working folder. Labels
+    that still move after max_rounds rounds are an error.
     """
     ids = edges.where("a is not null and b is not null")
     state = written(ids.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{folder}/stars0")
@@ -44,6 +45,8 @@ def star_components(edges: DataFrame, folder: str, max_rounds: int = 100) -> Dat
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     members = state.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = state.select(F.col("b").alias("id"), F.col("b").alias("component")).unionByName(loops.select("id", F.col("id").alias("component"))).distinct()
     alone = roots.join(members.select("id"), "id", "left_anti")

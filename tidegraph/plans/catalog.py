@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -12,21 +14,25 @@ from ..graph import Graph
 from ..operators import algorithms, generate, partition, preprocess, stats, validate
 from ..sources import edges as sources
 from ..sources import sinks
-from ..storage import work_folder, written
-from .superstep import run
+from ..storage import checkpointed, work_folder, written
+from .superstep import REGISTRY, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-G, G45, G48, G50 = "true", "l_quantity >= 45", "l_quantity >= 48", "l_quantity = 50"
 PARTS = 8
 
+#: Pairs (s, t) of the three graphs over whole tables: parts on consecutive lines of an order (one component), places
+#: (a tree for each region) and orders (a star for each customer).
+PART_PAIRS = "SELECT a.l_partkey s, b.l_partkey t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
+PLACE_PAIRS = """SELECT 4 * CAST(n_regionkey AS BIGINT) s, 4 * CAST(n_nationkey AS BIGINT) + 1 t FROM nation
+  UNION ALL SELECT 4 * CAST(c_nationkey AS BIGINT) + 1, 4 * c_custkey + 2 FROM customer UNION ALL SELECT 4 * CAST(s_nationkey AS BIGINT) + 1, 4 * s_suppkey + 3 FROM supplier"""
+ORDER_PAIRS = "SELECT 2 * o_custkey s, 2 * o_orderkey + 1 t FROM orders"
 
-def _graph_sql(condition: str = G, recursive: bool = False) -> str:
+
+def _graph_sql(pairs: str = PART_PAIRS, recursive: bool = False) -> str:
     """Common table expressions raw (s, t), d (directed), e (src, dst), v (id), deg (id, degree)."""
-    return f"""WITH {"RECURSIVE " if recursive else ""}raw AS MATERIALIZED (
-  SELECT a.l_partkey s, b.l_partkey t FROM (SELECT * FROM lineitem WHERE {condition}) a
-  JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+    return f"""WITH {"RECURSIVE " if recursive else ""}raw AS MATERIALIZED ({pairs}),
 d AS MATERIALIZED (SELECT DISTINCT s, t FROM raw WHERE s <> t),
 e AS MATERIALIZED (SELECT s src, t dst FROM d UNION SELECT t, s FROM d),
 v AS MATERIALIZED (SELECT DISTINCT src id FROM e),
@@ -66,9 +72,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _g(spark: SparkSession, sf_dir: str, condition: str = G) -> Graph:
-    """The part graph, its edges written once: algorithms read them in every superstep."""
-    g = sources.part_graph(spark, sf_dir, condition)
+def _g(spark: SparkSession, sf_dir: str, of: Callable[[SparkSession, str], Graph] = sources.part_graph) -> Graph:
+    """A graph over whole tables, its edges written once: algorithms read them in every superstep."""
+    g = of(spark, sf_dir)
     e = written(g.edges, work_folder(spark, "graph") + "/edges")
     return Graph(e.select(F.col("src").alias("id")).distinct(), e, g.name)
 
@@ -119,9 +125,9 @@ def adjacency_list_size(spark, sf_dir):
     return a.select("id", F.size("neighbors").alias("n"), F.element_at("neighbors", 1).alias("first_neighbor"), F.element_at("neighbors", -1).alias("last_neighbor"), total.alias("neighbor_sum"))
 
 
-@query(_graph_sql(G45) + " SELECT v.id, n.dst AS neighbor FROM v LEFT JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) r FROM e) n ON n.src = v.id AND n.r = 3")
+@query(_graph_sql() + " SELECT v.id, n.dst AS neighbor FROM v LEFT JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) r FROM e) n ON n.src = v.id AND n.r = 3")
 def neighbor_by_index(spark, sf_dir):
-    return preprocess.neighbor_at(sources.part_graph(spark, sf_dir, G45).edges, 2)
+    return preprocess.neighbor_at(sources.part_graph(spark, sf_dir).edges, 2)
 
 
 @query(_graph_sql() + " SELECT e.src, e.dst, deg.degree FROM e JOIN deg ON deg.id = e.dst")
@@ -129,9 +135,9 @@ def edge_dest_degree(spark, sf_dir):
     return preprocess.with_endpoint_degree(sources.part_graph(spark, sf_dir).edges.select("src", "dst"))
 
 
-@query(_graph_sql(G50) + " SELECT max(id) + 1 AS vertices, max(id) + 1 - count(*) AS without_edges FROM v")
+@query(_graph_sql() + " SELECT max(id) + 1 AS vertices, max(id) + 1 - count(*) AS without_edges FROM v")
 def max_id_sizing(spark, sf_dir):
-    e = sources.part_graph(spark, sf_dir, G50).edges
+    e = sources.part_graph(spark, sf_dir).edges
     alone = preprocess.unreachable(preprocess.max_id_vertices(e), e.select(F.col("src").alias("id"))).agg(F.count("*").alias("without_edges"))
     return preprocess.max_id_vertices(e).agg(F.count("*").alias("vertices")).crossJoin(alone)
 
@@ -148,11 +154,10 @@ def encode_labels(spark, sf_dir):
 
 @query(_graph_sql() + " SELECT src AS id, count(*) AS common FROM (SELECT e.src, f.dst FROM e JOIN e f ON f.src = e.dst JOIN e h ON h.src = e.src AND h.dst = f.dst) GROUP BY src")
 def common_neighbors(spark, sf_dir):
-    e = preprocess.adjacency(sources.part_graph(spark, sf_dir).edges)
-    pairs = sources.part_graph(spark, sf_dir).edges.select(F.col("src").alias("id"), "dst")
-    both = pairs.join(e, "id").join(e.select(F.col("id").alias("dst"), F.col("neighbors").alias("others")), "dst")
-    met = both.groupBy("id").agg(F.sum(F.size(F.array_intersect("neighbors", "others"))).alias("common"))
-    return met.where("common > 0")
+    """Of each vertex, how often two of its neighbours are neighbours of each other: twice for each of its triangles."""
+    found = algorithms.triangles(_g(spark, sf_dir).edges)
+    corners = found.select(F.explode(F.array("first", "second", "third")).alias("id"))
+    return corners.groupBy("id").agg((2 * F.count("*")).alias("common"))
 
 
 @query(_graph_sql() + ", x AS (SELECT src, dst FROM e EXCEPT SELECT s, t FROM d) SELECT src, dst FROM x")
@@ -170,9 +175,9 @@ def bfs_levels(spark, sf_dir):
     return algorithms.bfs(g, _root(g)).state.where("level is not null").select("id", "level")
 
 
-@query(_graph_sql(G45, True) + BFS + " SELECT CAST(lvl AS INTEGER) AS level, count(*) AS n FROM b GROUP BY lvl")
+@query(_graph_sql(recursive=True) + BFS + " SELECT CAST(lvl AS INTEGER) AS level, count(*) AS n FROM b GROUP BY lvl")
 def bfs_level_sizes(spark, sf_dir):
-    g = _g(spark, sf_dir, G45)
+    g = _g(spark, sf_dir)
     return algorithms.bfs(g, _root(g)).state.where("level is not null").groupBy("level").agg(F.count("*").alias("n"))
 
 
@@ -191,22 +196,29 @@ def bfs_pull(spark, sf_dir):
     return algorithms.bfs(g, _root(g), strategy="pull").state.where("parent is not null").select("id", "parent")
 
 
-@query(_graph_sql(G48, True) + BFS + " SELECT id FROM v WHERE id NOT IN (SELECT v FROM b)")
+@query(_graph_sql(PLACE_PAIRS, True) + BFS + " SELECT id FROM v WHERE id NOT IN (SELECT v FROM b)")
 def bfs_reachable_anti(spark, sf_dir):
-    g = _g(spark, sf_dir, G48)
+    g = _g(spark, sf_dir, sources.place_graph)
     return preprocess.unreachable(g.vertices, algorithms.bfs(g, _root(g)).state.where("parent is not null"))
 
 
-ROOTS = f", roots AS MATERIALIZED (SELECT id AS root FROM v ORDER BY {scalars.draw_sql(42, 'id')}, id LIMIT 8)"
+ROOTS = f", roots AS MATERIALIZED (SELECT id AS root FROM v ORDER BY {scalars.draw_sql(42, 'id')}, id LIMIT 64)"
 
 
-@query(_graph_sql(G45) + f" SELECT id AS root FROM v ORDER BY {scalars.draw_sql(42, 'id')}, id LIMIT 64")
+@query(_graph_sql() + f" SELECT id AS root FROM v ORDER BY {scalars.draw_sql(42, 'id')}, id LIMIT 64")
 def sample_roots(spark, sf_dir):
-    return generate.sample_roots(sources.part_graph(spark, sf_dir, G45).edges)
+    return generate.sample_roots(sources.part_graph(spark, sf_dir).edges)
+
+
+def _searches(g: Graph, roots: DataFrame) -> DataFrame:
+    """(root, reached, depth, traversed_edges) of a search from every root."""
+    d = preprocess.degrees(g.edges)
+    found = algorithms.bfs_many(g, roots).join(d, "id")
+    return found.groupBy("root").agg(F.count("*").alias("reached"), F.max("level").alias("depth"), F.floor(F.sum("degree") / 2).cast("long").alias("traversed_edges"))
 
 
 @query(
-    _graph_sql(G45, True) + ROOTS + """, m(root, v, lvl) USING KEY (root, v) AS (
+    _graph_sql(recursive=True) + ROOTS + """, m(root, v, lvl) USING KEY (root, v) AS (
   SELECT root, root, 0 FROM roots
   UNION
   SELECT m.root, e.dst, min(m.lvl) + 1 FROM m JOIN e ON e.src = m.v
@@ -214,51 +226,49 @@ def sample_roots(spark, sf_dir):
 SELECT root, count(*) AS reached, CAST(max(lvl) AS INTEGER) AS depth, CAST(sum(degree) // 2 AS BIGINT) AS traversed_edges FROM m JOIN deg ON deg.id = m.v GROUP BY root"""
 )
 def graph500_searches(spark, sf_dir):
-    g = _g(spark, sf_dir, G45)
-    found = algorithms.bfs_many(g, generate.sample_roots(g.edges, 8))
-    d = preprocess.degrees(g.edges)
-    return found.join(d, "id").groupBy("root").agg(F.count("*").alias("reached"), F.max("level").alias("depth"), F.floor(F.sum("degree") / 2).cast("long").alias("traversed_edges"))
+    g = _g(spark, sf_dir)
+    return _searches(g, generate.sample_roots(g.edges))
 
 
 # Components and connection
 
 
-@query(_graph_sql(G48, True) + CC + " SELECT v AS id, lbl AS color FROM c")
+@query(_graph_sql(ORDER_PAIRS, True) + CC + " SELECT v AS id, lbl AS color FROM c")
 def cc_labels(spark, sf_dir):
-    return algorithms.connected_components(_g(spark, sf_dir, G48))
+    return algorithms.connected_components(_g(spark, sf_dir, sources.order_graph))
 
 
-@query(_graph_sql(G48, True) + CC + " SELECT v AS id, lbl AS color FROM c")
+@query(_graph_sql(ORDER_PAIRS, True) + CC + " SELECT v AS id, lbl AS color FROM c")
 def cc_label_propagation(spark, sf_dir):
-    return algorithms.connected_components(_g(spark, sf_dir, G48), "labels")
+    return algorithms.connected_components(_g(spark, sf_dir, sources.order_graph), "labels")
 
 
-@query(_graph_sql(G48, True) + CC + " SELECT lbl AS color, count(*) AS n FROM c GROUP BY lbl")
+@query(_graph_sql(ORDER_PAIRS, True) + CC + " SELECT lbl AS color, count(*) AS n FROM c GROUP BY lbl")
 def cc_sizes(spark, sf_dir):
-    return algorithms.connected_components(_g(spark, sf_dir, G48)).groupBy("color").agg(F.count("*").alias("n"))
+    return algorithms.connected_components(_g(spark, sf_dir, sources.order_graph)).groupBy("color").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS split_edges, CAST(0 AS BIGINT) AS wrong_colors")
 def cc_validate(spark, sf_dir):
-    g = _g(spark, sf_dir, G50)
+    g = _g(spark, sf_dir, sources.place_graph)
     return validate.components_valid(algorithms.connected_components(g), g.edges)
 
 
-@query(_graph_sql(G50, True) + BFS + ", x AS (SELECT (SELECT min(src) FROM e) AS r, id FROM v WHERE id NOT IN (SELECT v FROM b)) SELECT r AS src, id AS dst FROM x UNION ALL SELECT id, r FROM x")
+@query(_graph_sql(PLACE_PAIRS, True) + BFS + ", x AS (SELECT (SELECT min(src) FROM e) AS r, id FROM v WHERE id NOT IN (SELECT v FROM b)) SELECT r AS src, id AS dst FROM x UNION ALL SELECT id, r FROM x")
 def connect_star(spark, sf_dir):
-    g = _g(spark, sf_dir, G50)
+    g = _g(spark, sf_dir, sources.place_graph)
     root = _root(g)
     return preprocess.star_connections(g.vertices, algorithms.bfs(g, root).state.where("parent is not null"), root)
 
 
-@query(_graph_sql(G50, True) + CC + ", r AS (SELECT DISTINCT lbl FROM c) SELECT a.lbl AS src, b.lbl AS dst FROM r a JOIN r b ON a.lbl <> b.lbl")
+@query(_graph_sql(PLACE_PAIRS, True) + CC + ", r AS (SELECT DISTINCT lbl FROM c) SELECT a.lbl AS src, b.lbl AS dst FROM r a JOIN r b ON a.lbl <> b.lbl")
 def connect_clique(spark, sf_dir):
-    return preprocess.clique_connections(algorithms.connected_components(_g(spark, sf_dir, G50)).withColumnRenamed("color", "component"))
+    return preprocess.clique_connections(algorithms.connected_components(_g(spark, sf_dir, sources.place_graph)).withColumnRenamed("color", "component"))
 
 
 @query("SELECT CAST(1 AS BIGINT) AS components")
 def force_connected(spark, sf_dir):
-    g = sources.connected(_g(spark, sf_dir, G50), "star")
+    g = sources.connected(_g(spark, sf_dir, sources.place_graph), "star")
     return algorithms.connected_components(g).agg(F.count_distinct("color").alias("components"))
 
 
@@ -304,21 +314,21 @@ def pagerank_checks(spark, sf_dir):
 # Shortest paths
 
 
-@query(_graph_sql(G45, True) + WEIGHTED + SSSP + " SELECT v AS id, dist FROM q")
+@query(_graph_sql(recursive=True) + WEIGHTED + SSSP + " SELECT v AS id, dist FROM q")
 def sssp_dist(spark, sf_dir):
-    g = _g(spark, sf_dir, G45)
+    g = _g(spark, sf_dir)
     return algorithms.sssp(g, _root(g)).state.where("dist is not null").select("id", "dist")
 
 
-@query(_graph_sql(G45, True) + WEIGHTED + SSSP + " SELECT w.dst AS id, min(w.src) AS parent FROM w JOIN q a ON a.v = w.src JOIN q b ON b.v = w.dst WHERE a.dist + w.dist = b.dist AND b.dist > 0 GROUP BY w.dst")
+@query(_graph_sql(recursive=True) + WEIGHTED + SSSP + " SELECT w.dst AS id, min(w.src) AS parent FROM w JOIN q a ON a.v = w.src JOIN q b ON b.v = w.dst WHERE a.dist + w.dist = b.dist AND b.dist > 0 GROUP BY w.dst")
 def sssp_parent(spark, sf_dir):
-    g = _g(spark, sf_dir, G45)
+    g = _g(spark, sf_dir)
     return algorithms.tight_parents(algorithms.sssp(g, _root(g)).state, g.edges)
 
 
 @query("SELECT CAST(0 AS BIGINT) AS improvable_edges, CAST(0 AS BIGINT) AS loose_parents")
 def sssp_validate(spark, sf_dir):
-    g = _g(spark, sf_dir, G45)
+    g = _g(spark, sf_dir)
     return validate.distances_valid(algorithms.sssp(g, _root(g)).state, g.edges)
 
 
@@ -337,9 +347,9 @@ def triangles_per_vertex(spark, sf_dir):
     return algorithms.triangle_counts(_g(spark, sf_dir))
 
 
-@query(_graph_sql(G45) + TRIANGLES + " SELECT v.id, coalesce(n, 0) AS num_triangles FROM v LEFT JOIN (SELECT i, count(*) AS n FROM t GROUP BY i) x ON x.i = v.id")
+@query(_graph_sql() + TRIANGLES + " SELECT v.id, coalesce(n, 0) AS num_triangles FROM v LEFT JOIN (SELECT i, count(*) AS n FROM t GROUP BY i) x ON x.i = v.id")
 def triangles_by_tokens(spark, sf_dir):
-    return algorithms.triangle_counts_by_tokens(_g(spark, sf_dir, G45))
+    return algorithms.triangle_counts_by_tokens(_g(spark, sf_dir))
 
 
 @query(_graph_sql() + DOWN + " SELECT i AS src, j AS dst FROM o")
@@ -413,7 +423,14 @@ def partition_cyclic_roundtrip(spark, sf_dir):
     return at.select("id", "address", partition.part_of(a, 20).alias("part"), partition.local_of(a, 20).alias("local"), partition.node_of(a, 20, 4).alias("node"), partition.cyclic_origin(a, PARTS, 20).alias("origin"))
 
 
-@query()
+@query(
+    _graph_sql(recursive=True) + f""", r AS MATERIALIZED (SELECT id, CAST(degree AS BIGINT) AS degree, row_number() OVER (ORDER BY id) AS k FROM deg),
+g AS (SELECT CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS id, CAST(-1 AS BIGINT) AS part, list_transform(range({PARTS}), lambda x: CAST(0 AS BIGINT)) AS loads
+  UNION ALL
+  SELECT r.k, r.id, list_position(g.loads, list_min(g.loads)) - 1, list_transform(g.loads, lambda x, i: x + CASE WHEN i = list_position(g.loads, list_min(g.loads)) THEN r.degree ELSE 0 END)
+  FROM g JOIN r ON r.k = g.k + 1)
+SELECT id, CAST(part AS INTEGER) AS part, row_number() OVER (PARTITION BY part ORDER BY k) - 1 AS local FROM g WHERE k > 0"""
+)
 def partition_greedy(spark, sf_dir):
     return partition.greedy(preprocess.degrees(_g(spark, sf_dir).edges), PARTS)
 
@@ -454,27 +471,27 @@ def degree_quartiles(spark, sf_dir):
 
 
 @query(
-    _graph_sql(G45, True) + BFS + ROBIN + f""", f AS (SELECT b.lvl, p.part, count(*) AS u, sum(degree) AS m FROM b JOIN deg ON deg.id = b.v JOIN p ON p.id = b.v GROUP BY 1, 2)
+    _graph_sql(recursive=True) + BFS + ROBIN + f""", f AS (SELECT b.lvl, p.part, count(*) AS u, sum(degree) AS m FROM b JOIN deg ON deg.id = b.v JOIN p ON p.id = b.v GROUP BY 1, 2)
 SELECT CAST(lvl AS INTEGER) AS superstep, CAST(sum(u) AS BIGINT) AS updates, CAST(sum(m) AS BIGINT) AS messages,
 CAST(floor(100 * (max(u) - CASE WHEN count(*) < {PARTS} THEN 0 ELSE min(u) END) / sum(u)) AS BIGINT) AS update_imbalance, CAST(floor(100 * (max(m) - CASE WHEN count(*) < {PARTS} THEN 0 ELSE min(m) END) / sum(m)) AS BIGINT) AS message_imbalance FROM f GROUP BY lvl"""
 )
 def superstep_messages(spark, sf_dir):
-    g = _g(spark, sf_dir, G45)
+    g = _g(spark, sf_dir)
     return stats.frontier_report(algorithms.bfs(g, _root(g)).state, _placed(spark, g), g.edges, PARTS)
 
 
 @query(
-    _graph_sql(G45, True) + BFS + ROBIN + """ SELECT (SELECT CAST(max(lvl) + 1 AS INTEGER) FROM b) AS supersteps, (SELECT count(*) FROM b) AS updates, count(*) AS messages, count(*) FILTER (x.part <> y.part) AS crossing,
+    _graph_sql(recursive=True) + BFS + ROBIN + """ SELECT (SELECT CAST(max(lvl) + 1 AS INTEGER) FROM b) AS supersteps, (SELECT count(*) FROM b) AS updates, count(*) AS messages, count(*) FILTER (x.part <> y.part) AS crossing,
 (SELECT max(u) FROM (SELECT count(*) AS u FROM b JOIN p ON p.id = b.v GROUP BY b.lvl, p.part)) AS most_updates FROM b JOIN e ON e.src = b.v JOIN p x ON x.id = e.src JOIN p y ON y.id = e.dst"""
 )
 def run_summary(spark, sf_dir):
-    g = _g(spark, sf_dir, G45)
+    g = _g(spark, sf_dir)
     return stats.run_summary(algorithms.bfs(g, _root(g)).state, _placed(spark, g), g.edges)
 
 
-@query(_graph_sql(G45, True) + BFS + " SELECT CAST(lvl AS BIGINT) AS superstep, count(*) AS updates, CAST(sum(degree) AS BIGINT) AS messages FROM b JOIN deg ON deg.id = b.v GROUP BY lvl")
+@query(_graph_sql(recursive=True) + BFS + " SELECT CAST(lvl AS BIGINT) AS superstep, count(*) AS updates, CAST(sum(degree) AS BIGINT) AS messages FROM b JOIN deg ON deg.id = b.v GROUP BY lvl")
 def engine_telemetry(spark, sf_dir):
-    g = _g(spark, sf_dir, G45)
+    g = _g(spark, sf_dir)
     log = run(g, algorithms.bfs_program(_root(g)), telemetry=True).telemetry
     return spark.createDataFrame([(x["superstep"], x["updates"], x["messages"]) for x in log], "superstep long, updates long, messages long")
 
@@ -484,28 +501,41 @@ def engine_telemetry(spark, sf_dir):
 _ZERO = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in validate.CODES)
 
 
-@query(_graph_sql(G45, True) + BFS + f" SELECT {_ZERO}, (SELECT count(*) FROM raw JOIN b x ON x.v = s JOIN b y ON y.v = t) AS traversed_edges")
+@query(_graph_sql(recursive=True) + BFS + f" SELECT {_ZERO}, (SELECT count(*) FROM raw JOIN b x ON x.v = s JOIN b y ON y.v = t) AS traversed_edges")
 def bfs_validate(spark, sf_dir):
-    g = _g(spark, sf_dir, G45)
+    g = _g(spark, sf_dir)
     root = _root(g)
-    raw = sources.part_pairs(spark, sf_dir, G45).select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
+    raw = sources.part_pairs(spark, sf_dir).select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
     raw = raw.join(g.vertices.select(F.col("id").alias("v0")), "v0").join(g.vertices.select(F.col("id").alias("v1")), "v1")
     return validate.validate_bfs(algorithms.bfs(g, root).state.select("id", "parent"), raw, root, g.vertices.agg(F.max("id")).first()[0])
 
 
-@query(
-    _graph_sql(G45, True) + BFS + """, far AS (SELECT max(v) AS x FROM b WHERE lvl = (SELECT max(lvl) FROM b))
-SELECT CAST(0 AS BIGINT) AS bad_root, CAST(1 AS BIGINT) AS second_root, true AS others_hold"""
-)
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, CAST({code} AS BIGINT) AS code, true AS found" for rule, code in validate.CODES.items()))
 def bfs_validate_broken(spark, sf_dir):
-    g = _g(spark, sf_dir, G45)
-    root = _root(g)
-    state = algorithms.bfs(g, root).state
-    far = state.agg(F.max(F.struct("level", "id")).alias("x")).first()["x"]["id"]
-    broken = state.select("id", F.when(F.col("id") == far, F.lit(far)).otherwise(F.col("parent")).alias("parent"))
+    """A search tree, or the edges it is held against, broken once for every rule; whether the rule finds it."""
+    g = _g(spark, sf_dir, sources.place_graph)
+    root, top = _root(g), g.vertices.agg(F.max("id")).first()[0]
+    tree = checkpointed(algorithms.bfs(g, root).state)
     raw = g.edges.select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
-    out = validate.validate_bfs(broken, raw, root, g.vertices.agg(F.max("id")).first()[0])
-    return out.select("bad_root", "second_root", ((F.col("left_not_in_tree") == 0) & (F.col("not_an_edge") == 0) & (F.col("left_out_of_range") == 0)).alias("others_hold"))
+    last, inner, lost = tree.agg(F.max(F.struct("level", "id"))["id"], F.max(F.when(F.col("level") == 1, F.col("id"))), F.max(F.when(F.col("level").isNull(), F.col("id")))).first()
+    twin = tree.where((F.col("level") == 2) & (F.col("id") != last)).agg(F.max("id")).first()[0]
+    moved = lambda *changes: tree.select("id", F.coalesce(*[F.when(F.col("id") == v, F.lit(p)) for v, p in changes], F.col("parent")).alias("parent"))
+    lone = tree.select("id", F.when(F.col("id") != last, F.col("parent")).alias("parent"))
+    more = lambda a, b: raw.unionByName(spark.createDataFrame([(a, b)], "v0 long, v1 long"))
+    whole = tree.select("id", "parent")
+    cases = {
+        "bad_root": (moved((root, inner)), raw),
+        "no_level": (moved((last, twin), (twin, last)), raw),
+        "left_out_of_range": (whole, more(top + 1, root)),
+        "right_out_of_range": (whole, more(root, top + 1)),
+        "right_not_in_tree": (whole, more(root, lost)),
+        "left_not_in_tree": (lone, raw.where(F.col("v0") == last)),
+        "levels_too_far": (whole, more(root, last)),
+        "not_an_edge": (moved((last, root)), raw),
+        "second_root": (moved((last, last)), raw),
+    }
+    rows = [validate.validate_bfs(t, r, root, top).select(F.lit(rule).alias("rule"), F.lit(validate.CODES[rule]).cast("long").alias("code"), (F.col(rule) > 0).alias("found")) for rule, (t, r) in cases.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 # Generators
@@ -561,10 +591,10 @@ def label_permutation(spark, sf_dir):
 # Sources and sinks
 
 
-@query(_graph_sql(G45) + " SELECT src, dst FROM e")
+@query(_graph_sql() + " SELECT src, dst FROM e")
 def text_roundtrip(spark, sf_dir):
     folder = work_folder(spark, "text")
-    g = sources.part_graph(spark, sf_dir, G45)
+    g = sources.part_graph(spark, sf_dir)
     sinks.write_text(sinks.text_lines(g.edges.where("src < dst")), f"{folder}/out")
     back = sources.read_text_edges(spark, f"{folder}/out")
     label = back.vertices.select("id", F.col("origin").cast("long").alias("origin"))
@@ -572,31 +602,221 @@ def text_roundtrip(spark, sf_dir):
     return back.edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"))
 
 
-@query(_graph_sql(G45) + " SELECT src, dst FROM e")
+@query(_graph_sql() + " SELECT src, dst FROM e")
 def binary_roundtrip(spark, sf_dir):
     folder = work_folder(spark, "binary") + "/out"
-    sinks.write_binary_edges(sources.part_graph(spark, sf_dir, G45).edges, folder)
-    return sources.read_binary_edges(spark, folder).select(F.col("v0").alias("src"), F.col("v1").alias("dst"))
+    files = sinks.write_binary_edges(sources.part_graph(spark, sf_dir).edges, folder)
+    return sources.read_binary_edges(spark, files).select(F.col("v0").alias("src"), F.col("v1").alias("dst"))
 
 
-@query(_graph_sql(G45) + ", l AS (SELECT src || ' -- ' || dst AS line FROM e WHERE src < dst) SELECT line FROM l UNION ALL SELECT 'graph last_graph {' UNION ALL SELECT '}'")
+@query(_graph_sql() + ", l AS (SELECT src || ' -- ' || dst AS line FROM e WHERE src < dst) SELECT line FROM l UNION ALL SELECT 'graph last_graph {' UNION ALL SELECT '}'")
 def dot_lines(spark, sf_dir):
-    return sinks.dot_lines(sources.part_graph(spark, sf_dir, G45)).select("line")
+    return sinks.dot_lines(sources.part_graph(spark, sf_dir)).select("line")
 
 
-@query(_graph_sql(G50) + " SELECT '    node [' || chr(10) || '        id ' || id || chr(10) || '        label \"' || id || '\"' || chr(10) || '    ]' AS line FROM v UNION ALL SELECT '    edge [' || chr(10) || '        source ' || src || chr(10) || '        target ' || dst || chr(10) || '    ]' FROM e WHERE src <= dst UNION ALL SELECT 'graph [' UNION ALL SELECT ']'")
+@query(_graph_sql() + " SELECT '    node [' || chr(10) || '        id ' || id || chr(10) || '        label \"' || id || '\"' || chr(10) || '    ]' AS line FROM v UNION ALL SELECT '    edge [' || chr(10) || '        source ' || src || chr(10) || '        target ' || dst || chr(10) || '    ]' FROM e WHERE src <= dst UNION ALL SELECT 'graph [' UNION ALL SELECT ']'")
 def gml_lines(spark, sf_dir):
-    return sinks.gml_lines(sources.part_graph(spark, sf_dir, G50)).select("line")
+    return sinks.gml_lines(sources.part_graph(spark, sf_dir)).select("line")
 
 
-@query(_graph_sql(G45) + " SELECT (s + 1) || ' ' || (t + 1) AS line FROM d")
+@query(_graph_sql() + " SELECT (s + 1) || ' ' || (t + 1) AS line FROM d")
 def one_based_text(spark, sf_dir):
-    return sinks.one_based_lines(preprocess.dedup(sources.part_pairs(spark, sf_dir, G45)))
+    return sinks.one_based_lines(preprocess.dedup(sources.part_pairs(spark, sf_dir)))
 
 
-@query(_graph_sql(G45) + " SELECT (SELECT count(DISTINCT x) FROM (SELECT s AS x FROM raw UNION ALL SELECT t FROM raw)) AS nodes, 2 * count(*) FILTER (s <> t) AS edges FROM raw")
+@query(_graph_sql() + " SELECT (SELECT count(DISTINCT x) FROM (SELECT s AS x FROM raw UNION ALL SELECT t FROM raw)) AS nodes, 2 * count(*) FILTER (s <> t) AS edges FROM raw")
 def quick_counts(spark, sf_dir):
-    return sources.count_nodes_and_edges(sinks.text_lines(sources.part_pairs(spark, sf_dir, G45)))
+    return sources.count_nodes_and_edges(sinks.text_lines(sources.part_pairs(spark, sf_dir)))
+
+
+# Programs by other ways to run them
+
+
+@query(_graph_sql(recursive=True) + BFS + PARENTS.replace("AS parent FROM b x", "AS parent, CAST(x.lvl AS INTEGER) AS level FROM b x"))
+def bfs_relaxed(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return algorithms.bfs_relaxed(g, _root(g)).select("id", "parent", "level")
+
+
+def _configured(spark, sf_dir, algo: str) -> DataFrame:
+    from .. import cli
+    from ..sources.config import Config
+
+    return cli.run(_g(spark, sf_dir), Config(algo=algo))
+
+
+@query(_graph_sql(recursive=True) + BFS + PARENTS)
+def vbfs_configured(spark, sf_dir):
+    return _configured(spark, sf_dir, "vbfs").where("parent is not null").select("id", "parent")
+
+
+BYTES = f", w AS MATERIALIZED (SELECT src, dst, 1 + {scalars.draw_sql(42, 'least(src, dst)', 'greatest(src, dst)')} % 9 AS dist FROM e)"
+
+
+@query(_graph_sql(recursive=True) + BYTES + SSSP + " SELECT v AS id, dist FROM q WHERE dist < 255")
+def vsssp_configured(spark, sf_dir):
+    g = sources.part_graph(spark, sf_dir)
+    e = written(g.edges.select("src", "dst"), work_folder(spark, "graph") + "/edges")
+    from .. import cli
+    from ..sources.config import Config
+
+    return cli.run(Graph(e.select(F.col("src").alias("id")).distinct(), e), Config(algo="vsssp")).where("dist is not null").select("id", "dist")
+
+
+@query(_graph_sql(ORDER_PAIRS, True) + CC + " SELECT v AS id, lbl AS color FROM c")
+def registered_program(spark, sf_dir):
+    return run(_g(spark, sf_dir, sources.order_graph), REGISTRY["cc"]()).state
+
+
+@query(_graph_sql() + f" SELECT src, dst, 1 + {scalars.draw_sql(42, 'src', 'dst')} % 10 AS dist FROM e")
+def edge_weights_directed(spark, sf_dir):
+    return generate.edge_weights(sources.part_graph(spark, sf_dir).edges.select("src", "dst"), most=10, symmetric=False)
+
+
+@query(_graph_sql() + TRIANGLES + " SELECT v.id, coalesce(n, 0) AS num_triangles FROM v LEFT JOIN (SELECT i, count(*) AS n FROM t GROUP BY i) x ON x.i = v.id")
+def triangles_throttled(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    work = algorithms.triangle_work(g.edges).agg(F.sum("sum_active")).first()[0]
+    return algorithms.triangle_counts_by_tokens(g, budget=max(1, work // 3))
+
+
+@query(_graph_sql(recursive=True) + BFS + " SELECT (SELECT count(*) FROM b) AS updates, CAST(sum(degree) AS BIGINT) AS neighbors_issued, CAST(max(lvl) + 1 AS BIGINT) AS supersteps, CAST(0 AS BIGINT) AS kernel_errors FROM b JOIN deg ON deg.id = b.v")
+def run_counters(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    out = run(g, algorithms.bfs_program(_root(g)), telemetry=True)
+    errors = validate.dangling_edges(g.vertices, g.edges).count()
+    row = (sum(x["updates"] for x in out.telemetry), sum(x["messages"] for x in out.telemetry), out.steps, errors)
+    return spark.createDataFrame([row], "updates long, neighbors_issued long, supersteps long, kernel_errors long")
+
+
+@query(_graph_sql() + ROBIN + " SELECT DISTINCT e.src AS id FROM e JOIN p a ON a.id = e.src JOIN p b ON b.id = e.dst WHERE a.part <> b.part")
+def update_senders(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return partition.crossing_senders(_placed(spark, g), g.edges)
+
+
+_SEARCHES = """, m(root, v, lvl) USING KEY (root, v) AS (
+  SELECT root, root, 0 FROM roots
+  UNION
+  SELECT m.root, e.dst, min(m.lvl) + 1 FROM m JOIN e ON e.src = m.v
+  LEFT JOIN recurring.m r ON r.root = m.root AND r.v = e.dst WHERE r.v IS NULL GROUP BY m.root, e.dst)"""
+
+
+@query(
+    _graph_sql(ORDER_PAIRS, recursive=True) + ROOTS + _SEARCHES + """, x AS (SELECT CAST(sum(degree) // 2 AS DOUBLE) AS x, row_number() OVER (ORDER BY sum(degree) // 2) AS r FROM m JOIN deg ON deg.id = m.v GROUP BY root),
+n AS (SELECT count(*) AS n FROM x), q AS (SELECT k, (k * (n + 1)) // 4 AS w, (k * (n + 1)) % 4 / 4.0 AS f FROM n, range(1, 4) t(k)),
+z AS (SELECT k, sum(CASE WHEN x.r = w THEN x.x * (1 - f) ELSE x.x * f END) AS v FROM q JOIN x ON x.r IN (w, w + 1) GROUP BY k)
+SELECT count(*) AS n, min(x) AS min, round((SELECT v FROM z WHERE k = 1), 6) AS q1, round((SELECT v FROM z WHERE k = 2), 6) AS median, round((SELECT v FROM z WHERE k = 3), 6) AS q3,
+max(x) AS max, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS stdev, round(1 / avg(1 / x), 6) AS harmonic_mean, round(stddev_samp(1 / x) / sqrt(count(*) - 1) / (avg(1 / x) * avg(1 / x)), 6) AS harmonic_stdev FROM x"""
+)
+def graph500_edge_statistics(spark, sf_dir):
+    """Statistics of the traversed edges of 64 searches."""
+    g = _g(spark, sf_dir, sources.order_graph)
+    searches = _searches(g, generate.sample_roots(g.edges))
+    out = stats.quartiles(searches, "traversed_edges", work_folder(spark, "nedge"))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("n", "min", "max")})
+
+
+@query()
+def graph500_teps(spark, sf_dir):
+    """Statistics of traversed edges per second of 64 searches, which run together and share their time by their edges."""
+    g = _g(spark, sf_dir)
+    began = time.time()
+    found = written(_searches(g, generate.sample_roots(g.edges)), work_folder(spark, "searches") + "/found")
+    seconds = time.time() - began
+    total = found.agg(F.sum("traversed_edges")).first()[0]
+    runs = found.select(F.col("traversed_edges").alias("edges"), (F.lit(seconds) / F.count("*").over(Window.partitionBy(F.lit(0)))).alias("seconds"))  # 64 rows
+    return stats.teps(runs, work_folder(spark, "teps")).withColumn("searches_per_second", F.lit(64 / seconds)).withColumn("edges", F.lit(total))
+
+
+# Sources, generators and sinks of the older forms
+
+
+@query(_graph_sql() + " SELECT src, dst FROM e")
+def legacy_text_roundtrip(spark, sf_dir):
+    folder = work_folder(spark, "legacy")
+    sinks.write_text(sinks.text_lines(sources.part_graph(spark, sf_dir).edges.where("src < dst")), f"{folder}/out")
+    back = sources.read_text_edges(spark, f"{folder}/out", legacy=True)
+    label = back.vertices.select("id", F.col("origin").cast("long").alias("origin"))
+    a, b = (label.select(F.col("id").alias(i), F.col("origin").alias(o)) for i, o in (("src", "s"), ("dst", "t")))
+    return back.edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"))
+
+
+@query(
+    _graph_sql() + f""", l AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS k FROM e WHERE src < dst),
+f AS (SELECT origin, min(pos) AS pos FROM (SELECT src AS origin, 2 * k AS pos FROM l UNION ALL SELECT dst, 2 * k + 1 FROM l) GROUP BY origin),
+r AS (SELECT origin, row_number() OVER (ORDER BY pos) AS k FROM f) SELECT CAST(origin AS VARCHAR) AS origin, CAST(k % {PARTS} AS INTEGER) AS part, k // {PARTS} AS local FROM r"""
+)
+def balanced_scan(spark, sf_dir):
+    folder = work_folder(spark, "balanced")
+    e = sources.part_graph(spark, sf_dir).edges.where("src < dst")
+    lines = e.select(F.concat_ws(" ", "src", "dst").alias("line"), "src", "dst")
+    sinks.write_text(lines, f"{folder}/out", ["src", "dst"])
+    graph, placed = sources.read_balanced(spark, f"{folder}/out", PARTS, 1 << 40)
+    return placed.join(graph.vertices, "id").select("origin", "part", "local")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS root FROM nation UNION ALL SELECT CAST(n_regionkey AS BIGINT) FROM nation")
+def binary_roots(spark, sf_dir):
+    pairs = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("long").alias("dst"))
+    return sources.read_binary_roots(spark, sinks.write_binary_edges(pairs, work_folder(spark, "roots") + "/out"))
+
+
+@query(_graph_sql(recursive=True) + BFS + " SELECT CAST(v.id AS VARCHAR) AS origin, CAST(b.lvl AS INTEGER) AS level FROM v LEFT JOIN b ON b.v = v.id")
+def final_state(spark, sf_dir):
+    g, path = _g(spark, sf_dir), work_folder(spark, "state") + "/out"
+    sinks.write_state(algorithms.bfs(g, _root(g)).state, g.vertices, path)
+    return spark.read.parquet(path).select("origin", "level")
+
+
+@query("SELECT CAST(nodes AS BIGINT) AS nodes, CAST(edges AS BIGINT) AS edges, directed, edges >= nodes - 1 AND edges <= nodes * (nodes - 1) // (CASE WHEN directed THEN 1 ELSE 2 END) AS possible FROM range(1, 9) a(nodes), range(0, 60) b(edges), (VALUES (true), (false)) c(directed)")
+def possible_graphs(spark, sf_dir):
+    def possible(nodes: int, edges: int, directed: bool) -> bool:
+        try:
+            generate.check_num_edges(nodes, edges, directed)
+        except ValueError:
+            return False
+        return True
+
+    rows = [(n, m, d, possible(n, m, d)) for n in range(1, 9) for m in range(60) for d in (True, False)]
+    return spark.createDataFrame(rows, "nodes long, edges long, directed boolean, possible boolean")
+
+
+@query(
+    _graph_sql() + """ SELECT 'simple' AS kind, src, dst, count(*) AS n FROM e WHERE src < dst GROUP BY src, dst
+UNION ALL SELECT 'directed', s, t, 1 FROM d UNION ALL SELECT 'multi', least(s, t), greatest(s, t), count(*) FROM raw WHERE s <> t GROUP BY 2, 3 UNION ALL SELECT 'loops', s, t, count(*) FROM raw GROUP BY s, t"""
+)
+def edge_sets(spark, sf_dir):
+    """The edges that four kinds of graph allow, and how often."""
+    raw = written(sources.part_pairs(spark, sf_dir), work_folder(spark, "raw") + "/pairs")
+    kinds = {"simple": {}, "directed": {"digraph": True}, "multi": {"multigraph": True}, "loops": {"loops": True, "multigraph": True, "digraph": True}}
+    counted = [generate.edge_set(raw, **how).groupBy("src", "dst").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "src", "dst", "n") for kind, how in kinds.items()]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
+@query("SELECT CAST(600 AS BIGINT) AS edges, CAST(100 AS BIGINT) AS vertices, CAST(1 AS BIGINT) AS components, CAST(0 AS BIGINT) AS loops")
+def random_naive(spark, sf_dir):
+    g = generate.random_connected(spark, 100, 600, "naive")
+    c = algorithms.connected_components(g)
+    half = g.edges.where("src <= dst").agg(F.count("*").alias("edges"), F.sum((F.col("src") == F.col("dst")).cast("long")).alias("loops"))
+    return half.crossJoin(c.agg(F.count("*").alias("vertices"), F.count_distinct("color").alias("components"))).select("edges", "vertices", "components", "loops")  # single rows
+
+
+@query(_graph_sql() + ROBIN + " SELECT part, count(*) AS vertices, CAST(sum(degree) AS BIGINT) AS edges, max(loc) AS max_local FROM p JOIN deg USING (id) GROUP BY part")
+def command_line_balance(spark, sf_dir):
+    """The command line, with a configuration file, over a file of edges."""
+    from .. import cli
+
+    folder = work_folder(spark, "cli")
+    e = sources.part_graph(spark, sf_dir).edges.where("src < dst")
+    sinks.write_text(e.select(F.concat_ws(" ", "src", "dst").alias("line"), "src", "dst"), f"{folder}/edges", ["src", "dst"])
+    from ..sources.config import from_ini
+
+    config = from_ini(f"[arch]\nnum_pe = {PARTS}\n[graph]\ngraphfile = {folder}/edges\npartition = robin\n[app]\nalgo = bfs\n")
+    g = cli.load(spark, config)
+    ranked = g.vertices.select("id", F.col("origin").cast("long").alias("origin"))
+    by_label = Graph(ranked.select(F.col("origin").alias("id")), e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return partition.balance(cli.place(by_label, config), by_label.edges)
 
 
 # Scalar functions
@@ -635,7 +855,11 @@ def fn_tokens(spark, sf_dir):
     return t.select("k", "p.first", "p.second")
 
 
-@query()
+@query(
+    """WITH x AS (SELECT p_partkey AS k, CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE) AS x FROM part), y AS (SELECT k, x, abs(x) AS a, CAST(floor(log2(abs(x))) AS INTEGER) AS e FROM x WHERE x <> 0),
+z AS (SELECT k, x, a, CASE WHEN pow(2, e) > a THEN e - 1 WHEN pow(2, e + 1) <= a THEN e + 1 ELSE e END AS e FROM y)
+SELECT k, CASE WHEN x < 0 THEN 2147483648 ELSE 0 END + CAST(e + 127 AS BIGINT) * 8388608 + CAST((a / pow(2, e) - 1) * 8388608 AS BIGINT) AS bits FROM z UNION ALL SELECT k, 0 FROM x WHERE x = 0"""
+)
 def fn_float_bits(spark, sf_dir):
     from ..session import ship
 
@@ -651,12 +875,12 @@ def seeded_draws(spark, sf_dir):
 # Streaming
 
 
-@query(_graph_sql(G48, True) + CC + " SELECT v AS id, lbl AS color FROM c")
+@query(_graph_sql(ORDER_PAIRS, True) + CC + " SELECT v AS id, lbl AS color FROM c")
 def streaming_components(spark, sf_dir):
     from ..streaming.components import StreamingComponents
 
     folder = work_folder(spark, "edges")
-    g = sources.part_graph(spark, sf_dir, G48)
+    g = sources.order_graph(spark, sf_dir)
     g.edges.select("src", "dst").repartition(3, "src").write.parquet(f"{folder}/in")
     kept = StreamingComponents(spark, f"{folder}/state")
     stream = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..storage import checkpointed
+from ..storage import checkpointed, work_folder, written
 
 #: Updates that may be broadcast: some 16 bytes each, so a few tens of megabytes at the very most.
 PULL_ROWS = 500_000
@@ -139,20 +139,31 @@ class Relay:
     max_steps: int
 
 
-def relay(graph: Graph, program: Relay) -> DataFrame:
-    """Run a relay; returns the messages (id, fields) that ended at a vertex instead of being forwarded."""
+def relay(graph: Graph, program: Relay, batches: DataFrame | None = None) -> DataFrame:
+    """Run a relay; returns the messages (id, fields) that ended at a vertex instead of being forwarded.
+
+    batches: (id, batch); the vertices of a batch start when those of the batch before have ended. Without it all start
+    at once.
+    """
     by_src = graph.co_located("src")
-    updates = graph.vertices.select(F.col("id").alias("src"), *[c.alias(k) for k, c in program.start.items()])
-    ended: DataFrame | None = None
+    spark = graph.edges.sparkSession
+    folder = work_folder(spark, "relay")
+    turns = [None] if batches is None else [r[0] for r in batches.select("batch").distinct().orderBy("batch").toLocalIterator()]
+    paths, schema = [], None
     try:
-        for _ in range(program.max_steps):
-            sent = updates.join(by_src.edges, "src").withColumn("sender", F.col("src")).where(program.send_if).select(F.col("dst").alias("id"), *program.start)
-            sent = checkpointed(sent)
-            final = sent.where(~program.keep)
-            ended = final if ended is None else ended.unionByName(final)
-            updates = sent.where(program.keep).select(F.col("id").alias("src"), *[c.alias(k) for k, c in program.forward.items()])
-            if updates.isEmpty():
-                break
+        for turn in turns:
+            first = graph.vertices if turn is None else graph.vertices.join(batches.where(F.col("batch") == F.lit(turn)).select("id"), "id")
+            updates = first.select(F.col("id").alias("src"), *[c.alias(k) for k, c in program.start.items()])
+            for _ in range(program.max_steps):
+                sent = updates.join(by_src.edges, "src").withColumn("sender", F.col("src")).where(program.send_if).select(F.col("dst").alias("id"), *program.start, program.keep.alias("__keep"))
+                paths.append(f"{folder}/{len(paths)}")
+                sent = written(sent, paths[-1])
+                schema = sent.schema
+                updates = sent.where("__keep").select(F.col("id").alias("src"), *[c.alias(k) for k, c in program.forward.items()])
+                if updates.isEmpty():
+                    break
     finally:
         by_src.release()
-    return ended if ended is not None else updates.select(F.col("src").alias("id"), *program.start)
+    if not paths:
+        return graph.vertices.where("false").select("id", *[c.alias(k) for k, c in program.start.items()])
+    return spark.read.schema(schema).parquet(*paths).where("not __keep").drop("__keep")

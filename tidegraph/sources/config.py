@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import configparser
+import warnings
 from dataclasses import dataclass, fields
 
-PARTITIONS = ("robin", "random", "greedy", "metis", "label_propagation", "cyclic")
+PARTITIONS = ("robin", "random", "greedy", "label_propagation", "cyclic")
 APPROACHES = ("random_walk", "naive", "partition")
 
 
@@ -36,6 +37,9 @@ class Config:
 
     def __post_init__(self) -> None:
         self.architecture = {"S": "push", "M": "pull"}.get(self.architecture, self.architecture)
+        if self.partition == "metis":
+            warnings.warn("there is no external partitioner here; label_propagation stands in", stacklevel=2)
+            self.partition = "label_propagation"
         for name, known in (("architecture", ("push", "pull")), ("partition", PARTITIONS), ("approach", APPROACHES), ("connect", ("none", "star", "clique")), ("init_sum", ("spec", "py", "cpp"))):
             if getattr(self, name) not in known:
                 raise ValueError(f"unknown {name}: {getattr(self, name)!r}")

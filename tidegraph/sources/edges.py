@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tokens
@@ -15,9 +15,16 @@ from ..storage import work_folder, written
 
 
 def _numbered(spark: SparkSession, path: str, folder: str) -> DataFrame:
-    """(line_no, line): lines in the order of the files; numbers rise but have gaps between partitions."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-    return written(lines, folder)
+    """(line_no, line): lines in the order of the files' names, then of their places; numbers rise with gaps.
+
+    Spark reads the pieces of files in an order of its own, so a line's number is its piece's rank (one short row a
+    piece is ranked) and its place in the piece.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), at.alias("at"), F.col("value").alias("line"))
+    lines = written(lines, f"{folder}/raw")
+    pieces = written(lines.select("file", "start").distinct().withColumn("rank", F.row_number().over(Window.orderBy("file", "start")) - 1), f"{folder}/pieces")
+    return written(lines.join(pieces, ["file", "start"]).select((F.shiftleft(F.col("rank").cast("long"), 33) + F.col("at")).alias("line_no"), "line"), f"{folder}/numbered")
 
 
 def read_text_edges(spark: SparkSession, path: str, digraph: bool = False, connect: str = "none", legacy: bool = False) -> Graph:
@@ -80,18 +87,25 @@ def read_balanced(spark: SparkSession, path: str, parts: int, places: int, digra
     return graph, placed
 
 
-def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(v0, v1) of raw little-endian 64-bit pairs, loops and repeats and all. Files are split by Spark's record reader,
-    so a file of any size is read in parallel."""
-    raw = spark.sparkContext.binaryRecords(path, 16)
-    rows = spark.createDataFrame(raw.map(lambda b: (bytearray(b),)), "b binary")
-    return rows.select(_little_long("b", 1).alias("v0"), _little_long("b", 9).alias("v1"))
+def _records(spark: SparkSession, path: str | list[str], size: int) -> DataFrame:
+    """(b) of the records of so many bytes of files or folders. Spark's record reader splits files of any size, and the
+    records stay in the JVM."""
+    paths = path if isinstance(path, str) else ",".join(path)
+    if not paths:
+        return spark.createDataFrame([], "b binary")
+    raw = spark.sparkContext._jsc.binaryRecords(paths, size)
+    frame = spark._jsparkSession.createDataset(raw.rdd(), spark._jvm.org.apache.spark.sql.Encoders.BINARY())
+    return DataFrame(frame.toDF(), spark).withColumnRenamed("value", "b")
+
+
+def read_binary_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(v0, v1) of raw little-endian 64-bit pairs of a file, a folder or a list of files, loops and repeats and all."""
+    return _records(spark, path, 16).select(_little_long("b", 1).alias("v0"), _little_long("b", 9).alias("v1"))
 
 
 def read_binary_roots(spark: SparkSession, path: str, most: int = 64) -> DataFrame:
     """(root) of raw little-endian 64-bit numbers, the first ones of the file."""
-    rows = spark.createDataFrame(spark.sparkContext.binaryRecords(path, 8).map(lambda b: (bytearray(b),)), "b binary")
-    return rows.limit(most).select(_little_long("b", 1).alias("root"))
+    return _records(spark, path, 8).limit(most).select(_little_long("b", 1).alias("root"))
 
 
 def _little_long(column: str, at: int):
@@ -118,3 +132,18 @@ def part_graph(spark: SparkSession, sf_dir: str, condition: str = "true", name:
     weight = F.lit(1) + (31 * F.least("src", "dst") + 17 * F.greatest("src", "dst")) % 14
     edges = edges.withColumn("dist", weight)
     return Graph(edges.select(F.col("src").alias("id")).distinct(), edges, name)
+
+
+def place_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Regions, their nations, and the nations' customers and suppliers: one tree for each region. Ids are 4 * key + kind
+    (0 region, 1 nation, 2 customer, 3 supplier)."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    pair = lambda t, a, x, b, y: read(t).select((4 * F.col(a).cast("long") + x).alias("src"), (4 * F.col(b).cast("long") + y).alias("dst"))
+    up = pair("nation", "n_regionkey", 0, "n_nationkey", 1).unionByName(pair("customer", "c_nationkey", 1, "c_custkey", 2)).unionByName(pair("supplier", "s_nationkey", 1, "s_suppkey", 3))
+    return Graph.of(up, "places")
+
+
+def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers and their orders: one star for each customer. Ids are 2 * key, and 2 * key + 1 for orders."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return Graph.of(o.select((2 * F.col("o_custkey").cast("long")).alias("src"), (2 * F.col("o_orderkey").cast("long") + 1).alias("dst")), "orders")

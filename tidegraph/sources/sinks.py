@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..storage import open_new
+from ..storage import drop_others, open_new
 
 
 def text_lines(edges: DataFrame) -> DataFrame:
@@ -51,7 +51,11 @@ def write_text(lines: DataFrame, path: str, ordered_by: list[str] | None = None)
 
 
 def write_binary_edges(edges: DataFrame, folder: str) -> list[str]:
-    """Raw little-endian 64-bit pairs, one file a partition; returns the files that the finished job stands by."""
+    """Raw little-endian 64-bit pairs, one file a partition; returns the files that the finished job stands by.
+
+    A task that is run again writes a file of its own, and only one of them is named here: read these, not the folder.
+    Files that the job doesn't stand by are removed.
+    """
     run = uuid.uuid4().hex[:8]
 
     def write(batches):
@@ -68,8 +72,9 @@ def write_binary_edges(edges: DataFrame, folder: str) -> list[str]:
             out.close()
             yield pd.DataFrame({"path": [name], "n": [n]})
 
-    done = edges.select("src", "dst").mapInPandas(write, "path string, n long").collect()
-    return sorted(r["path"] for r in done)
+    done = sorted(r["path"] for r in edges.select("src", "dst").mapInPandas(write, "path string, n long").collect())
+    drop_others(edges.sparkSession, folder, f"{run}-", done)
+    return done
 
 
 def write_state(state: DataFrame, vertices: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,13 @@ from .session import ship
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it is unset (tests, one machine) a local one is chosen."""
+    """The cluster's shared folder. Where it is unset, a local one is chosen if all runs in one process; a cluster's
+    machines don't see each other's folders, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return root.rstrip("/")
 
@@ -38,6 +43,15 @@ def drop_path(spark: SparkSession, uri: str) -> None:
         pass
 
 
+def drop_others(spark: SparkSession, folder: str, prefix: str, keep: list[str]) -> None:
+    """Remove the files of a folder that start with a prefix, but for some."""
+    fs, path = _hadoop(spark, f"{folder}/{prefix}*")
+    names = {os.path.basename(x) for x in keep}
+    for x in fs.globStatus(path) or []:
+        if x.getPath().getName() not in names:
+            fs.delete(x.getPath(), False)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, removed when the driver ends."""
     ship(spark)
@@ -75,6 +89,13 @@ def open_read(uri: str):
     return fs.open_input_stream(path)
 
 
+def finished_versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the subfolders of a folder that hold a completely written table "labels", rising."""
+    fs, path = _hadoop(spark, f"{folder}/*/labels/_SUCCESS")
+    found = [str(x.getPath().getParent().getParent().getName()) for x in fs.globStatus(path) or []]
+    return sorted(int(x) for x in found if x.isdigit())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the shared folder; keeps its partitioning."""
     sc = df.sparkSession.sparkContext
