@@ -44,6 +44,28 @@ def test_pem_blocks():
     assert "pem" in kinds(f"x\n-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\n")
 
 
+def test_pem_blocks_with_headers_and_escaped_breaks():
+    lines = re.findall(".{1,64}", b64(PKCS8))
+    block = "-----BEGIN RSA PRIVATE KEY-----{0}{1}-----END RSA PRIVATE KEY-----"
+    assert "pem" in kinds(block.format("\\n", "\\n".join(lines) + "\\n"))
+    assert "pem" in kinds(block.format("\nComment: mine\n\n", "\n".join(lines) + "\n"))
+    coded = "\n".join(re.findall(".{1,64}", b64(bytes(range(256)))))
+    assert kinds(block.format("\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n", coded + "\n")) == ["pem"]
+    assert kinds(block.format("\nComment: mine\n\n", coded + "\n")) == []
+
+
+@pytest.mark.parametrize("cut", ["\n", "\r\n", "\n    ", "\\n"])
+@pytest.mark.parametrize("key", [PKCS1, PKCS8])
+def test_wrapped_keys(key, cut):
+    """What is wrapped over lines is one span, which ends where the key does."""
+    for text, wide in ((b64(key), 64), (b64(key), 76), (key.hex(), 64)):
+        wrapped = cut.join(re.findall(f".{{1,{wide}}}", text))
+        spans = secrets.structural_spans(f"the key\n{wrapped}\nand words follow")
+        assert spans == [("der", 8, 8 + len(wrapped))]
+        broken = wrapped.replace(wrapped[len(wrapped) // 2 : len(wrapped) // 2 + 9], "", 1)
+        assert secrets.structural_spans(f"the key\n{broken}") == []
+
+
 def _brute(text):
     out = []
     for kind, pattern, keep in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16)):

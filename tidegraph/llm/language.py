@@ -64,7 +64,7 @@ class TextModel:
 
 def fit(docs: DataFrame) -> TextModel:
     """The text model from docs (text, lang): counts of a bounded sample, summed in Spark."""
-    sample = work.bounded_sample(docs.where("lang is not null and text is not null"), SAMPLE, "doc_id").select("lang", "text")
+    sample = work.bounded_sample(docs.where("lang is not null and text is not null"), SAMPLE, "doc_id", "text").select("lang", "text")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

@@ -2,9 +2,11 @@
 
 Base kinds are patterns (assign, access, hex). The structural kinds report a candidate only if it decodes and parses:
 
-- pem: a private-key block whose body is base64 of a key encoding;
+- pem: a private-key block whose body is base64 of a key encoding, or of whole cipher blocks if its header lines say
+  that it is encrypted; line breaks may be written as backslash-n;
 - jwt: a signed token: two base64url JSON objects, the first with an ``alg``, and a signature;
-- der: base64 or hex that decodes to one DER sequence of a private key whose nested lengths all add up;
+- der: base64 or hex, on one line or wrapped over several, that decodes to one DER sequence of a private key whose
+  nested lengths all add up; of wrapped lines as much is taken as the sequence's own length says;
 - ssh: base64 of an OpenSSH private key whose length-prefixed fields all fit.
 
 Spans are kind:start:end in code points, end exclusive, ordered by start and then kind in the order of KINDS. A match
@@ -35,7 +37,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the same as runs of any length with the short ones dropped
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 # Candidates for structure.
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:\s|\\[rnt])*(?:[A-Za-z-]+:[^\n\\]*(?:\s|\\[rnt])+){0,8})([A-Za-z0-9+/=\s\\]*)-----END \1-----")
+BREAK = re.compile(r"\\[rnt]|\s")
+WRAPPED_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}(?:(?:(?:\\r)?\\n|\r?\n[\x20\t]*)[A-Za-z0-9+/]+)+={0,2}")
+WRAPPED_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,}(?:(?:(?:\\r)?\\n|\r?\n[\x20\t]*)[0-9A-Fa-f]+)+")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?![A-Za-z0-9_.-])")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
@@ -131,6 +136,39 @@ def is_signed_token(text: str) -> bool:
     return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict) and bool(from_base64(signature))
 
 
+def pem_holds_key(headers: str, body: str) -> bool:
+    """Whether a private-key block's body is a key encoding, or encrypted as its header lines say."""
+    data = from_base64(BREAK.sub("", body))
+    if "ENCRYPTED" in headers and "DEK-Info:" in headers:
+        return bool(data) and len(data) >= 32 and len(data) % 8 == 0
+    return key_kind(data) is not None
+
+
+def wrapped_spans(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64 or hex that is wrapped over lines; what follows the key's own length is not part of it."""
+    out = []
+    for pattern, bits, decode in ((WRAPPED_BASE64, 6, from_base64), (WRAPPED_HEX, 4, bytes.fromhex)):
+        for m in pattern.finditer(text):
+            digits = BREAK.sub("", m[0]).rstrip("=")
+            head = decode(digits[:16])
+            outer = tlv(head, 0, 1 << 40) if head and head[0] == 0x30 else None
+            if not outer:
+                continue
+            need = -(-outer[2] * 8 // bits)
+            if need <= len(digits) and (data := decode(digits[:need])) and is_private_key(data):
+                at, left = m.start(), need
+                for piece in re.finditer(r"\\[rnt]|\s|[A-Za-z0-9+/]+", m[0]):
+                    if piece[0][0] != "\\" and not piece[0].isspace():
+                        if len(piece[0]) >= left:
+                            at = m.start() + piece.start() + left
+                            break
+                        left -= len(piece[0])
+                while at < m.end() and text[at] == "=":
+                    at += 1
+                out.append(("der", m.start(), at))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "=" in text or ":" in text:
@@ -144,7 +182,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "-----BEGIN " in text:
-        out += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if key_kind(from_base64("".join(m[2].split())))]
+        out += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if pem_holds_key(m[2], m[3])]
     if "eyJ" in text:
         out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     if max(map(len, text.split()), default=0) >= LEAST_CANDIDATE:
@@ -154,6 +192,7 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
         for m in LONG_HEX.finditer(text):
             if kind := key_kind(bytes.fromhex(m[0])):
                 out.append((kind, m.start(), m.end()))
+        out += wrapped_spans(text)
     return out
 
 
