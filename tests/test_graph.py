@@ -263,3 +263,19 @@ def test_engine_guards_and_registry(spark, graph):
     assert limited.steps == 1 and limited.telemetry[0]["updates"] == graph.vertices.count()
     none = Graph(spark.range(0), spark.createDataFrame([], "src long, dst long"))
     assert algorithms.connected_components(none).count() == 0 and algorithms.bfs(none, 1).state.count() == 0
+
+
+def test_old_checkpoints_go(spark, graph, edges):
+    """A run leaves the files of its last two states at most; messages are counted by the run itself."""
+    import glob
+    import os
+
+    root = min(a for a, _ in edges)
+    algorithms.bfs(graph, root)
+    top = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(glob.glob(os.path.join(top, "rdd-*")))
+    out = algorithms.bfs(graph, root, telemetry=True)
+    left = set(glob.glob(os.path.join(top, "rdd-*"))) - before
+    assert out.steps > 2 and 1 <= len(left) <= 2
+    level = _levels(edges, root)
+    assert [x["messages"] for x in out.telemetry] == [sum(level.get(a) == k for a, _ in edges) for k in range(out.steps)]

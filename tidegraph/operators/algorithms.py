@@ -81,7 +81,7 @@ def pagerank_program(n: int, rounds: int = ROUNDS, init_sum: str = "spec") -> Pr
         activate=F.lit(True),
         max_steps=rounds - 1,
         halts=False,
-        cut_every=3,
+        cut_every=5,
     )
 
 

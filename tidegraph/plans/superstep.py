@@ -15,11 +15,11 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..storage import checkpointed, work_folder, written
+from ..storage import checkpoint_folder, checkpointed, drop_path, work_folder, written
 
 #: Updates that may be broadcast: some 16 bytes each, so a few tens of megabytes at the very most.
 PULL_ROWS = 500_000
@@ -90,12 +90,16 @@ def run(graph: Graph, program: Program, max_steps: int | None = None, strategy:
     state = checkpointed(state.withColumn("active", program.active))
     by_src = graph.co_located("src")
     by_dst = graph.co_located("dst") if strategy == "pull" else None
+    # Who has edges at all, dealt as the state is: pull mode broadcasts the updates of no others.
+    senders = by_src.edges.select(F.col("src").alias("id")).distinct().persist() if strategy == "pull" else None
     log: list[dict] = []
+    folders = [checkpoint_folder(state)]
     step = 0
     try:
         while limit is None or step < limit:
             began = time.time()
-            updates = state.where("active").select(F.col("id").alias("src"), *state_columns)
+            sending = state.where("active")
+            updates = (sending if senders is None else sending.join(senders, "id", "left_semi")).select(F.col("id").alias("src"), *state_columns)
             if program.halts or telemetry or strategy == "pull":
                 active = updates.count()
                 if not active and program.halts:
@@ -106,19 +110,25 @@ def run(graph: Graph, program: Program, max_steps: int | None = None, strategy:
             else:
                 sent = messages(updates, by_src.edges, program)
             if telemetry:
-                log.append({"superstep": step, "updates": active, "messages": sent.count(), "strategy": "pull" if pull else "push"})
+                counts = Observation()
+                sent = sent.observe(counts, F.count("*").alias("messages"))
             gathered = sent.groupBy(F.col("dst").alias("id")).agg(*[c.alias(k) for k, c in program.gather.items()])
             joined = state.join(gathered, "id", "left").withColumn("step", F.lit(step))
             state = joined.select("id", *[c.alias(k) for k, c in program.apply.items()], F.coalesce(program.activate, F.lit(False)).alias("active"))
             step += 1
-            if step % program.cut_every == 0:
+            if step % program.cut_every == 0 or telemetry:
                 state = checkpointed(state)
+                folders.append(checkpoint_folder(state))
+                for old in filter(None, folders[:-2]):  # the state is read from the last one only
+                    drop_path(state.sparkSession, old)
+                folders = folders[-2:]
             if telemetry:
-                log[-1]["seconds"] = time.time() - began
+                log.append({"superstep": step - 1, "updates": active, "messages": counts.get["messages"], "strategy": "pull" if pull else "push", "seconds": time.time() - began})
     finally:
         by_src.release()
         if by_dst is not None:
             by_dst.release()
+            senders.unpersist()
     return Run(state.select("id", *state_columns), step, log)
 
 

@@ -96,6 +96,15 @@ def finished_versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(x) for x in found if x.isdigit())
 
 
+def checkpoint_folder(df: DataFrame) -> str | None:
+    """Where the checkpoint lies that df is read from; None if it isn't."""
+    try:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        return file.get() if file.isDefined() else None
+    except Exception:  # not a checkpoint
+        return None
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the shared folder; keeps its partitioning."""
     sc = df.sparkSession.sparkContext
