@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from tidegraph.llm import language, toxicity, trees
+from tidegraph.llm import language, toxicity, trees, work
 
 
 def test_trees_and_calibration():
@@ -150,7 +150,7 @@ def test_language_of_empty_tables(spark, no_docs):
     assert row.page_id == 1 and row.lang is None
 
 
-def test_fusion_against_brute_force(spark, tmp_path):
+def test_fusion_against_brute_force(spark, tmp_path, monkeypatch):
     """The posterior of every row, worked out one row at a time."""
     rng = np.random.default_rng(2)
     languages = ["de", "en", "fr"]
@@ -159,9 +159,11 @@ def test_fusion_against_brute_force(spark, tmp_path):
         host = rng.choice(["a", "a", "a", "b", "c"])  # a hot host
         rows.append((k, str(rng.choice(["-", "de", "xx"])), {"a": "de", "b": "org", "c": "org"}[host], str(host), rng.normal(0, 3, 3).tolist()))
     rows[5] = (5, "-", "org", "b", [0.0, 0.0, 0.0])
-    found = spark.createDataFrame(rows, "k long, declared string, suffix string, host string, ll array<double>").repartition(3)
-    got = {r.k: r.posterior for r in language.fuse(found, languages, f"file://{tmp_path}").collect()}
     p = {k: np.exp(np.array(ll) - max(ll)) / np.exp(np.array(ll) - max(ll)).sum() for k, *_, ll in rows}
+    found = spark.createDataFrame([(k, False, False, *r, p[k].tolist()) for k, *r in rows], language.FOUND).repartition(3)
+    got = {r.k: r.posterior for r in language.fuse(found, languages, f"file://{tmp_path}/a").collect()}
+    monkeypatch.setattr(work, "SMALL", 0)  # joined by sorting
+    assert got == {r.k: r.posterior for r in language.fuse(found, languages, f"file://{tmp_path}/b").collect()}
     total = sum(p.values())
     for k, declared, suffix, host, ll in rows:
         hosts = sum(p[r[0]] for r in rows if (r[3], r[2]) == (host, suffix))

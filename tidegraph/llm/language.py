@@ -92,53 +92,61 @@ def declared_language(html):
     return F.when(tag != "", tag).when(meta != "", meta).otherwise(UNKNOWN)
 
 
+def softmax(logs: np.ndarray) -> np.ndarray:
+    """Probabilities from logs, row by row."""
+    powers = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return powers / powers.sum(axis=1, keepdims=True)
+
+
+FOUND = "k long, m boolean, is_page boolean, declared string, suffix string, host string, ll array<double>, p array<double>"
+FUSED = "k long, m boolean, is_page boolean, declared string, ll array<double>, posterior array<double>"
+
+
 def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
-    """rows (id columns, declared, suffix, host, text, is_page) with ll: log-likelihoods in the order of the languages."""
+    """rows (id columns, declared, suffix, host, text, is_page) with ll, log-likelihoods in the order of the languages,
+    and p, the probabilities they stand for."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, page in zip(batch["text"], batch["is_page"], strict=True):
-                out.append(model.likelihood(extract(text, None)[0] if page else text).tolist())
-            yield batch[["k", "m", "is_page", "declared", "suffix", "host"]].assign(ll=out)
+            if len(batch):
+                ll = np.array([model.likelihood(extract(text, None)[0] if page else text) for text, page in zip(batch["text"], batch["is_page"], strict=True)])
+                yield batch[["k", "m", "is_page", "declared", "suffix", "host"]].assign(ll=list(ll), p=list(softmax(ll)))
 
-    return rows.mapInPandas(work.tidy(run), "k long, m boolean, is_page boolean, declared string, suffix string, host string, ll array<double>")
-
-
-def _softmax(logs):
-    """Array column of probabilities from an array column of logs."""
-    powers = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    return rows.mapInPandas(work.tidy(run), FOUND)
 
 
 def fuse(found: DataFrame, languages: list[str], folder: str) -> DataFrame:
-    """found (declared, suffix, host, ll, ...) with posterior: probabilities in the order of the languages.
+    """The rows of found (FOUND) with posterior: probabilities in the order of the languages (FUSED).
 
-    The sums by host are written first: Spark then knows their size and broadcasts a small table without moving the
-    texts' rows; for a large one it sorts both sides and splits the rows of a hot host.
+    The sums by host are written first, so that their number is known: a bounded number of hosts is broadcast without
+    moving the texts' rows; more are joined by sorting, where Spark splits the rows of a hot host.
     """
     n = len(languages)
-    p = found.withColumn("p", _softmax(F.col("ll")))
     sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)]
     array = lambda name: F.array(*[F.round(F.col(f"s{i}"), 6) for i in range(n)]).alias(name)
-    hosts = work.written(p.groupBy("host", "suffix").agg(*sums), f"{folder}/hosts")
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]).select("suffix", array("suffix_sum"))
-    declared = p.groupBy("declared").agg(*sums).select("declared", array("declared_sum"))
-    whole = [float(x) for x in (declared.select(*[F.sum(F.col("declared_sum")[i]) for i in range(n)]).first() or [0.0] * n)]
-    total = max(sum(whole), 1e-9)
-    overall = F.array(*[F.lit((x + 1) / (total + n)) for x in whole])
-    out = p.join(hosts.select("host", "suffix", array("host_sum")), ["host", "suffix"]).join(suffixes, "suffix").join(declared, "declared")
-    size = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, b: a + b)
-    suffix_prior = F.zip_with("suffix_sum", overall, lambda s, o: (s + SUFFIX_SMOOTHING * o) / (size("suffix_sum") + SUFFIX_SMOOTHING))
-    others = F.zip_with("host_sum", "p", lambda h, own: F.greatest(h - own, F.lit(0.0)))
-    out = out.withColumn("suffix_prior", suffix_prior).withColumn("others", others)
-    host_prior = F.zip_with("others", "suffix_prior", lambda h, s: (h + HOST_SMOOTHING * s) / (size("others") + HOST_SMOOTHING))
-    # P(declared | language): the language's texts that declare this, smoothed towards what all declare
-    share = size("declared_sum") / F.lit(total)
-    language_sum = F.array(*[F.lit(x) for x in whole])
-    said = F.zip_with("declared_sum", language_sum, lambda d, w: (d + DECLARED_SMOOTHING * share) / (w + DECLARED_SMOOTHING))
-    logs = F.zip_with(F.zip_with("ll", host_prior, lambda a, b: a + F.log(b)), said, lambda a, b: a + F.log(b))
-    return out.withColumn("posterior", _softmax(logs))
+    hosts = work.written(found.groupBy("host", "suffix").agg(*sums), f"{folder}/hosts")
+    suffixes = work.written(hosts.groupBy("suffix").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]).select("suffix", array("suffix_sum")), f"{folder}/suffixes")
+    declared = work.written(found.groupBy("declared").agg(*sums).select("declared", array("declared_sum")), f"{folder}/declared")
+    whole = np.array([float(x or 0) for x in declared.select(*[F.sum(F.col("declared_sum")[i]) for i in range(n)]).first()])
+    out = found.join(work.small(hosts.select("host", "suffix", array("host_sum"))), ["host", "suffix"]).join(work.small(suffixes), "suffix").join(work.small(declared), "declared")
+
+    def weigh(batches):
+        total = max(whole.sum(), 1e-9)
+        overall = (whole + 1) / (total + n)
+        for batch in batches:
+            if not len(batch):
+                continue
+            ll, own, host, suffix, said = (np.stack(batch[c].to_numpy()) for c in ("ll", "p", "host_sum", "suffix_sum", "declared_sum"))
+            size = lambda x: x.sum(axis=1, keepdims=True)
+            suffix_prior = (suffix + SUFFIX_SMOOTHING * overall) / (size(suffix) + SUFFIX_SMOOTHING)
+            others = np.maximum(host - own, 0)  # a text doesn't vouch for itself
+            host_prior = (others + HOST_SMOOTHING * suffix_prior) / (size(others) + HOST_SMOOTHING)
+            # P(declared | language): the language's texts that declare this, smoothed towards what all declare
+            declares = (said + DECLARED_SMOOTHING * size(said) / total) / (whole + DECLARED_SMOOTHING)
+            posterior = softmax(ll + np.log(host_prior) + np.log(declares))
+            yield batch[["k", "m", "is_page", "declared", "ll"]].assign(posterior=list(posterior))
+
+    return out.select("k", "m", "is_page", "declared", "ll", "p", "host_sum", "suffix_sum", "declared_sum").mapInPandas(work.tidy(weigh), FUSED)
 
 
 def identify(spark: SparkSession, docs: DataFrame, pages: DataFrame) -> DataFrame:
