@@ -116,6 +116,8 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT) -> Dat
     key = F.col("page_id").cast("long")
     rows = pages.select(key.alias("id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     shared = rows.where(F.octet_length("html") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # Digests of several pages only, and written first: a bounded number is broadcast, and no payload is moved for it.
+    shared = work.small(work.written(shared, f"{folder}-shared"))
     rows = rows.join(shared, "digest", "left")
     rows = rows.select(F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("m"), "url", "html", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
     rows = rows.select("k", "m", "url", "html", "digest", F.coalesce("refers", F.lit(0)).alias("r"), F.col("refers").isNotNull().alias("again"))
