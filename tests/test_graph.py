@@ -237,7 +237,7 @@ def test_statistics(spark, graph):
     q = stats.quartiles(rows, "x", f"{folder}/a").first()
     assert (q.min, q.q1, q.median, q.q3, q["max"]) == (1.0, 1.75, 6.0, 20.0, 32.0)
     assert abs(q.harmonic_mean - 6 / (1 + 0.5 + 0.25 + 0.125 + 1 / 16 + 1 / 32)) < 1e-12
-    ref = stats.quartiles(rows, "x", f"{folder}/b", "reference").first()
+    ref = stats.quartiles(rows, "x", f"{folder}/b", "shifted").first()
     assert (ref.q1, ref.median, ref.q3) == (3.5, 12.0, 32.0)
     h = {r.bin: r.n for r in stats.histogram(spark.range(13), "id").collect()}
     assert sum(h.values()) == 13 and len(h) == 6 and h[5] == 3

@@ -39,7 +39,8 @@ def float_bits():
     def bits(x):
         return pd.Series(x.to_numpy(dtype="float32").view(np.uint32).astype("int64"))
 
-    return F.pandas_udf(bits, "long", F.PandasUDFType.SCALAR)
+    bits.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(bits, "long")
 
 
 def ones(n) -> Column:

@@ -44,7 +44,7 @@ def histogram(rows: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 def quartiles(rows: DataFrame, column: str, folder: str, mode: str = "textbook") -> DataFrame:
     """One row of a sample: min, q1, median, q3, max, mean, stdev (sample), and harmonic mean and its standard error.
 
-    Quartiles stand at (n + 1) p in the sorted sample, between two values weighted. mode "reference" takes the value one
+    Quartiles stand at (n + 1) p in the sorted sample, between two values weighted. mode "shifted" takes the value one
     place later, as implementations do that index from 0 with a rank from 1. Only the few values at those places are
     looked at, whatever the sample's size. Reciprocals of zero count as zero.
     """
@@ -53,7 +53,7 @@ def quartiles(rows: DataFrame, column: str, folder: str, mode: str = "textbook")
     inverse = F.when(F.col("x") != 0, 1 / F.col("x")).otherwise(0.0)
     row = x.agg(F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stdev"), F.avg(inverse).alias("i"), F.stddev_samp(inverse).alias("si"))
     n = row.first()["n"]
-    shift = 1 if mode == "reference" else 0
+    shift = 1 if mode == "shifted" else 0
     places: dict[int, list[tuple[str, float]]] = {}
     for name, quarter in (("q1", 1), ("median", 2), ("q3", 3)):
         whole, part = divmod(quarter * (n + 1), 4)

@@ -541,21 +541,20 @@ def bfs_validate_broken(spark, sf_dir):
 # Generators
 
 
-def _kronecker_sql(scale: int, factor: int) -> str:
-    u = f"{scalars.draw_sql(42, 'i', 'b')} / {float(scalars.PRIME)}"
-    half = max(1, scale // 2)
+def _scrambled_sql(c: str, scale: int) -> str:
+    for k in range(3):
+        factor = (2 * (42 * 7919 + k * 104729) + 1) % (1 << min(scale, 30)) | 1
+        c = f"list_transform([({c} * {factor} + {42 * 31 + k}) & {(1 << scale) - 1}], lambda z: xor(z, z >> {max(1, scale // 2)}))[1]"
+    return c
 
-    def scrambled(c: str) -> str:
-        for k in range(3):
-            factor_ = (2 * (42 * 7919 + k * 104729) + 1) % (1 << min(scale, 30)) | 1
-            c = f"list_transform([({c} * {factor_} + {42 * 31 + k}) & {(1 << scale) - 1}], lambda z: xor(z, z >> {half}))[1]"
-        return c
 
+def _kronecker_sql(scale: int, factor: int) -> str:
+    u = f"{scalars.draw_sql(42, 'i', 'b')} / {float(scalars.PRIME)}"
     a, b, c = generate.A, generate.A + generate.B, generate.A + generate.B + generate.C
     return f"""WITH u AS (SELECT i, b, {u} AS u FROM range({factor << scale}) t(i), range({scale}) s(b)),
 r AS (SELECT i, CAST(sum(CASE WHEN u >= {b} THEN 1 << CAST({scale - 1} - b AS INTEGER) ELSE 0 END) AS BIGINT) AS x, CAST(sum(CASE WHEN u >= {a} AND u < {b} OR u >= {c} THEN 1 << CAST({scale - 1} - b AS INTEGER) ELSE 0 END) AS BIGINT) AS y FROM u GROUP BY i),
 m AS (SELECT least(x, y) AS x, greatest(x, y) AS y FROM r)
-SELECT {scrambled("x")} AS src, {scrambled("y")} AS dst FROM m"""
+SELECT {_scrambled_sql("x", scale)} AS src, {_scrambled_sql("y", scale)} AS dst FROM m"""
 
 
 @query(_kronecker_sql(8, 8))
@@ -563,10 +562,20 @@ def kronecker_edges(spark, sf_dir):
     return generate.kronecker(spark, 8, 8)
 
 
-@query("SELECT CAST(2048 AS BIGINT) AS n, true AS in_range")
+def _rmat_sql(scale: int, factor: int, noise: float = 0.05) -> str:
+    u = lambda seed, number: f"{scalars.draw_sql(seed, 'i', number)} / {float(scalars.PRIME)}"
+    shares = (generate.A, generate.B, generate.C, 1 - generate.A - generate.B - generate.C)
+    shaken = ", ".join(f"{p!r}::DOUBLE * ({1 - noise!r}::DOUBLE + {2 * noise!r}::DOUBLE * ({u(43, f'b * 4 + {k}')})) AS {name}" for k, (p, name) in enumerate(zip(shares, ("pa", "pb", "pc", "pd"), strict=True)))
+    bit = f"1 << CAST({scale - 1} - b AS INTEGER)"
+    return f"""WITH u AS (SELECT i, b, {u(42, "b")} AS u, {shaken} FROM range({factor << scale}) t(i), range({scale}) s(b)),
+q AS (SELECT i, b, u * (pa + pb + pc + pd) AS u, pa, pa + pb AS pab, pa + pb + pc AS pabc FROM u),
+r AS (SELECT i, CAST(sum(CASE WHEN u >= pab THEN {bit} ELSE 0 END) AS BIGINT) AS x, CAST(sum(CASE WHEN u >= pa AND u < pab OR u >= pabc THEN {bit} ELSE 0 END) AS BIGINT) AS y FROM q GROUP BY i)
+SELECT {_scrambled_sql("x", scale)} AS src, {_scrambled_sql("y", scale)} AS dst FROM r"""
+
+
+@query(_rmat_sql(8, 8))
 def rmat_edges(spark, sf_dir):
-    e = generate.rmat(spark, 8, 8)
-    return e.agg(F.count("*").alias("n"), F.bool_and(F.col("src").between(0, 255) & F.col("dst").between(0, 255)).alias("in_range"))
+    return generate.rmat(spark, 8, 8)
 
 
 @query("SELECT CAST(1200 AS BIGINT) AS edges, CAST(500 AS BIGINT) AS vertices, CAST(1 AS BIGINT) AS components")
