@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pytest
 
-from tidegraph.llm import near_copies
+from pyspark.sql import functions as F
+
+from tidegraph.llm import near_copies, work
 from tidegraph.llm.simhash import fingerprint, shingle_hashes
 
 
@@ -122,3 +124,22 @@ def test_a_large_group_with_members_of_all_distances(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 32)
     monkeypatch.setattr(near_copies, "ROUNDS", 1)
     assert _kept(spark, texts) == want
+
+
+def test_rows_are_told_apart_whatever_the_plan(spark, tmp_path):
+    """Tables, filtered tables, unions, joins, repeated rows and frames without files: each row has a place of its own."""
+    spark.createDataFrame([(k, f"text {k} a b c d e") for k in range(30)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    plans = {
+        "table": (table, 30, True),
+        "filtered": (table.where("doc_id > 9").withColumn("more", F.lit(1)), 20, True),
+        "union": (table.unionByName(table), 60, False),
+        "exploded": (table.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), 60, False),
+        "joined": (table.join(table.select("doc_id"), "doc_id"), 30, False),
+        "memory": (spark.createDataFrame([(1, "x")] * 5, "doc_id long, text string"), 5, False),
+    }
+    for name, (frame, n, by_file) in plans.items():
+        rows, place = work.placed(frame, f"file://{tmp_path}/{name}")
+        assert rows.select(*place).distinct().count() == rows.count() == n, name
+        assert (rows.where(F.col(place[0]) != 0).count() > 0) == by_file, name
+        assert near_copies.without_near_copies(spark, frame).columns == frame.columns

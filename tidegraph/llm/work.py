@@ -83,9 +83,14 @@ def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
 
 
 def placed(docs: DataFrame, folder: str) -> tuple[DataFrame, list[str]]:
-    """docs and two columns that tell its rows apart: file and row of a table on disk, else of a written copy."""
+    """docs and two columns that tell its rows apart: file and row of a table on disk, else of a written copy.
+
+    A row's place in its file names it only where every row of the file is read once: through columns and filters.
+    """
     plan = docs._jdf.queryExecution().analyzed()
-    if not plan.metadataOutput().isEmpty() and "_metadata" not in docs.columns:
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    if plan.nodeName().startswith("LogicalRelation") and not docs._jdf.queryExecution().analyzed().metadataOutput().isEmpty() and "_metadata" not in docs.columns:
         return docs.select("*", F.xxhash64("_metadata.file_path").alias("__tg_file"), F.col("_metadata.row_index").alias("__tg_row")), ["__tg_file", "__tg_row"]
     numbered = docs.select("*", F.lit(0).cast("long").alias("__tg_file"), F.monotonically_increasing_id().alias("__tg_row"))
     return written(numbered, f"{folder}/numbered"), ["__tg_file", "__tg_row"]
