@@ -76,3 +76,10 @@ def test_empty_table_and_broken_shard(spark, no_docs):
     whole = token_output.MAGIC + token_output.frame([1], [3], np.arange(3, dtype=np.uint64))
     with pytest.raises(ValueError):
         list(token_output.frames(io.BytesIO(whole[:-4])))
+
+
+def test_equal_rows_are_spread(spark, tmp_path):
+    """Rows that are all the same don't end in one shard."""
+    docs = spark.createDataFrame([(7, "the same text")] * 4000, "doc_id long, text string").repartition(4)
+    manifest = token_output.write_token_shards(docs, f"file://{tmp_path}/shards").collect()
+    assert len(manifest) > 1 and sum(r.n_docs for r in manifest) == 4000 and max(r.n_docs for r in manifest) < 3000

@@ -93,8 +93,9 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str | None = Non
             yield pd.DataFrame({"shard": [shard], "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    # the place only splits rows that are equal otherwise, however many there are
+    ordered = ordered.repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place")
     ordered = ordered.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("m"), "text")
     return ordered.mapInPandas(work.tidy(write, "tokens"), MANIFEST)
 
