@@ -80,6 +80,13 @@ def messages(updates: DataFrame, edges: DataFrame, program: Program) -> DataFram
     return sent.select("dst", *[c.alias(f"msg_{k}") for k, c in program.send.items()])
 
 
+def _cut(state: DataFrame) -> tuple[DataFrame, int]:
+    """The state at a checkpoint, and how many vertices are active: counted by the job that writes it."""
+    counted = Observation()
+    out = checkpointed(state.observe(counted, F.count(F.when(F.col("active"), 1)).alias("active")))
+    return out, counted.get["active"]
+
+
 def run(graph: Graph, program: Program, max_steps: int | None = None, strategy: str = "push", telemetry: bool = False) -> Run:
     """Run a program until no vertex is active, or for max_steps supersteps."""
     if strategy not in ("push", "pull"):
@@ -87,7 +94,7 @@ def run(graph: Graph, program: Program, max_steps: int | None = None, strategy:
     limit = max_steps if max_steps is not None else program.max_steps
     state_columns = list(program.init)
     state = graph.vertices.select("id", *[c.alias(k) for k, c in program.init.items()])
-    state = checkpointed(state.withColumn("active", program.active))
+    state, active = _cut(state.withColumn("active", program.active))
     by_src = graph.co_located("src")
     by_dst = graph.co_located("dst") if strategy == "pull" else None
     # Who has edges at all, dealt as the state is: pull mode broadcasts the updates of no others.
@@ -98,12 +105,10 @@ def run(graph: Graph, program: Program, max_steps: int | None = None, strategy:
     try:
         while limit is None or step < limit:
             began = time.time()
+            if program.halts and not active:
+                break
             sending = state.where("active")
             updates = (sending if senders is None else sending.join(senders, "id", "left_semi")).select(F.col("id").alias("src"), *state_columns)
-            if program.halts or telemetry or strategy == "pull":
-                active = updates.count()
-                if not active and program.halts:
-                    break
             pull = strategy == "pull" and active <= PULL_ROWS
             if pull:
                 sent = messages(F.broadcast(updates), by_dst.edges, program)
@@ -116,14 +121,16 @@ def run(graph: Graph, program: Program, max_steps: int | None = None, strategy:
             joined = state.join(gathered, "id", "left").withColumn("step", F.lit(step))
             state = joined.select("id", *[c.alias(k) for k, c in program.apply.items()], F.coalesce(program.activate, F.lit(False)).alias("active"))
             step += 1
-            if step % program.cut_every == 0 or telemetry:
-                state = checkpointed(state)
+            if step % program.cut_every == 0 or program.halts or telemetry or strategy == "pull":
+                if telemetry:
+                    before = active
+                state, active = _cut(state)
                 folders.append(checkpoint_folder(state))
                 for old in filter(None, folders[:-2]):  # the state is read from the last one only
                     drop_path(state.sparkSession, old)
                 folders = folders[-2:]
             if telemetry:
-                log.append({"superstep": step - 1, "updates": active, "messages": counts.get["messages"], "strategy": "pull" if pull else "push", "seconds": time.time() - began})
+                log.append({"superstep": step - 1, "updates": before, "messages": counts.get["messages"], "strategy": "pull" if pull else "push", "seconds": time.time() - began})
     finally:
         by_src.release()
         if by_dst is not None:
