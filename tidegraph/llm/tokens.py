@@ -18,8 +18,8 @@ import unicodedata
 
 from . import work
 
-#: Kept pieces before the table starts anew, and characters of a piece that is kept: with some 200 bytes a piece, 60 MB.
-KEPT, KEPT_CHARS = 300_000, 64
+#: Kept pieces before the table starts anew, and characters of a piece that is kept: with some 200 bytes a piece, 90 MB.
+KEPT, KEPT_CHARS = 450_000, 64
 #: Code points whose classes are the same in all Unicode versions in use (Latin, common punctuation).
 PLAIN = [(0x0000, 0x001B), (0x0020, 0x024F), (0x2010, 0x2027), (0x2030, 0x205E)]
 #: White space among them.
