@@ -63,8 +63,7 @@ def test_relaxed_bfs(graph, edges):
     assert got == want and algorithms.bfs_relaxed(graph, -5).count() == 0
 
 
-@pytest.mark.parametrize("n,m", [(15, 30), (31, 64), (32, 128), (63, 128)])
-@pytest.mark.parametrize("strategy", ["push", "pull"])
+@pytest.mark.parametrize("n,m,strategy", [(15, 30, "push"), (31, 64, "pull"), (32, 128, "push"), (63, 128, "push")])
 def test_engine_sizes(spark, n, m, strategy):
     """Generated graphs of the usual test sizes, searched and labelled."""
     g = generate.random_connected(spark, n, m)
