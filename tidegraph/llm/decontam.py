@@ -48,7 +48,7 @@ FEW_WINDOWS = 250_000
 #: Words of a window and its lane, times lanes that are aligned side by side.
 CELLS = 1 << 20
 #: Characters of a text that are split into words at a time, and words whose hashes a worker keeps.
-CHUNK, KEPT = 1 << 20, 200_000
+CHUNK, KEPT = 1 << 20, 100_000
 
 
 def words_of(text: str | None) -> list[str]:

@@ -47,14 +47,14 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, length) for at in range(first, n, length))]
 
 
-def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, length: int = LENGTH, kept: int | None = None) -> DataFrame:
     """One row for each piece; u numbers the pieces of the whole table without coordination."""
     path = tokenizer or default_tokenizer()
 
     def make(batches):
         import pandas as pd
 
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, kept), np.array([end_id], "<u4").tobytes()
         u = TaskContext.get().partitionId() << 36
         for batch in batches:
             rows = []
@@ -173,10 +173,10 @@ def place(items: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
     return out
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Pieces of docs (doc_id, text) with their sequence and their offset in it."""
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, kept: int | None = None) -> DataFrame:
+    """Pieces of docs (doc_id, text) with their sequence and their offset in it. kept: see tokens.encoder."""
     folder = work.work_folder(spark, "packing")
-    pieces = work.written(pieces_of(docs, tokenizer, end_id, length), f"{folder}/pieces")
+    pieces = work.written(pieces_of(docs, tokenizer, end_id, length, kept), f"{folder}/pieces")
     items = pieces.where(F.col("length") < length).select(F.col("u").alias("id"), F.col("length").alias("size"))
     seqs = place(items, folder, length).select(F.col("id").alias("u"), F.col("seq").alias("sequence_id"))
     full = pieces.where(F.col("length") == length).withColumn("sequence_id", F.col("u"))

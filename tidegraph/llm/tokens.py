@@ -18,8 +18,8 @@ import unicodedata
 
 from . import work
 
-#: Kept pieces before the table starts anew, and characters of a piece that is kept: with some 200 bytes a piece, 90 MB.
-KEPT, KEPT_CHARS = 450_000, 64
+#: Kept pieces before the table starts anew, and characters of a piece that is kept: with some 200 bytes a piece, 120 MB.
+KEPT, KEPT_CHARS = 600_000, 64
 #: Code points whose classes are the same in all Unicode versions in use (Latin, common punctuation).
 PLAIN = [(0x0000, 0x001B), (0x0020, 0x024F), (0x2010, 0x2027), (0x2030, 0x205E)]
 #: White space among them.
@@ -75,7 +75,7 @@ class _Pieces(dict):
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str, kept: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -100,9 +100,9 @@ class PieceEncoder:
 
 
 @functools.cache
-def encoder(path: str, kept: int = KEPT) -> PieceEncoder:
-    """One encoder for each worker process."""
-    return PieceEncoder(path, kept)
+def encoder(path: str, kept: int | None = None) -> PieceEncoder:
+    """One encoder for each worker process. kept: pieces it keeps, where executors have less memory to spare."""
+    return PieceEncoder(path, kept or KEPT)
 
 
 work.CACHES["tokens"] = encoder.cache_clear

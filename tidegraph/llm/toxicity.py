@@ -39,7 +39,7 @@ SAMPLE = 20_000
 LEXICON = 400
 THRESHOLD = 0.3
 #: Words whose weight a worker keeps: bounds its memory.
-KEPT = 200_000
+KEPT = 100_000
 #: Entries counted in a worker before their counts go out: bounds its memory beside one text.
 COUNTED = 100_000
 FOLDS, HELD_OUT = 4, 2
