@@ -32,8 +32,8 @@ def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of all documents, packed into sequences."""
-    return packing.pack(spark, docs)
+    """Tokens of all documents, packed into sequences; workers keep few word pieces, as other stages have used them too."""
+    return packing.pack(spark, docs, kept=100_000)
 
 
 STAGES = [
