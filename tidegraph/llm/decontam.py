@@ -257,6 +257,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, folder:
     wanted = work.written(told.groupBy("file", "row").agg(F.collect_list(window).alias("windows")), f"{folder}/windows")
     n = wanted.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0]
     cut = docs.join(F.broadcast(wanted) if n <= FEW_WINDOWS else wanted, ["file", "row"]).select("file", "row", "text", "windows").mapInPandas(work.tidy(_cut, "words"), "file long, row long, u long, start int, hits int, words binary")
+    cut = work.written(cut, f"{folder}/cut")  # so that no task has two Python workers
     item_words = work.written(items.join(seeds.select("u").distinct(), "u").select("u", "text").mapInPandas(work.tidy(_item_words), "u long, item binary"), f"{folder}/item_words")
     aligned = cut.join(item_words, "u").select("file", "row", "u", "start", "hits", "words", "item").mapInPandas(work.tidy(_align), "file long, row long, u long, hits int, score double, end long")
     best = aligned.where(F.col("score") >= score).groupBy("file", "row", "u").agg(F.max(F.struct("score", "hits", "end")).alias("best"))

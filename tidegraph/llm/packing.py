@@ -27,6 +27,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,7 +132,9 @@ def _sweep(items: DataFrame, gaps: DataFrame, folder: str, largest: int, most_sl
     counts = {r["part"]: (r["gaps"], r["pieces"]) for r in swept.where("kind < 2").groupBy("part").agg(F.sum(F.expr("int(kind = 0)")).alias("gaps"), F.sum(F.expr("int(kind = 1)")).alias("pieces")).collect()}
     runs = [(p, at, at + n, gp, top + at) for p, found in carry(counts).items() for at, n, gp, top in found]
     # a run ends a partition's pieces or a partition's gaps, so there are two a range partition at most
-    taken = F.broadcast(spark.createDataFrame(runs, "part int, low long, high long, gp int, turn long"))
+    columns = zip(*runs, strict=True) if runs else [()] * 5
+    kinds = {"part": pa.int32(), "low": pa.int64(), "high": pa.int64(), "gp": pa.int32(), "turn": pa.int64()}
+    taken = F.broadcast(spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))))
     looking = swept.where("kind = 1").select("id", "size", "part", "rank").alias("p")
     looking = looking.join(taken.alias("t"), F.expr("p.part = t.part and p.rank >= t.low and p.rank < t.high"), "left").select("id", "size", "gp", (F.col("turn") - F.col("rank")).alias("gr"))
     free = swept.where("kind = 0").select(F.col("part").alias("gp"), F.col("rank").alias("gr"), F.col("seq").alias("given"))
