@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidegraph.llm import near_copies, simhash
+from tidegraph.llm import near_copies, simhash, work
+from tidegraph.operators import stars
 
 
 def _fingerprint(text, k=3):
@@ -96,3 +97,24 @@ def test_near_copies_of_odd_rows(spark, odd_docs, odd_rows, tmp_path):
         texts = [r.text or "" for r in out.collect()]
         assert len(texts) == len(set(texts))
         assert {" ".join(t.split()) for t in texts} >= {" ".join((t or "").split()) for _, t in odd_rows} - {""}
+
+
+def test_tables_that_grow_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Written files look small to Spark; with more rows than FEW no table of the search or of the stars is broadcast."""
+    plans, write = [], stars.written
+
+    def noted(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, path)
+
+    monkeypatch.setattr(work, "written", noted)
+    monkeypatch.setattr(stars, "written", noted)
+    monkeypatch.setattr("tidegraph.storage.FEW", 100)
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(1 << 62), 1 << 62, 300)
+    members = spark.createDataFrame([(4 * i + k, int(x) ^ k) for i, x in enumerate(base) for k in range(4)], "doc_id long, fp long")
+    members = write(members, f"{tmp_path}/members")
+    for bucket in (simhash.BUCKET, 1):
+        noted(simhash.components(members, f"{tmp_path}/{bucket}", bucket), f"{tmp_path}/{bucket}/out")
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]

@@ -88,48 +88,51 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _by_shared_keys(fps: DataFrame, tasks: int) -> DataFrame:
+def _by_shared_keys(fps: DataFrame, count: int, tasks: int) -> DataFrame:
     """Links (a, b) that span the same components as all links within 3 bits of fps, without making pairs."""
     single = [0] + [_signed(1 << i) for i in range(64)]
     double = [_signed((1 << i) | (1 << j)) for half in (0, 32) for i in range(half, half + 32) for j in range(i + 1, half + 32)]
-    spread = fps.repartition(tasks, "fp")
-    near = spread.select("fp", F.explode(_flips(single)).alias("key"), F.lit(True).alias("near"))
-    far = spread.where(F.bit_count("fp") % 2 == 0).select("fp", F.explode(_flips(double)).alias("key"), F.lit(False).alias("near"))
+    dealt = fps.repartition(tasks, "fp")
+    near = dealt.select("fp", F.explode(_flips(single)).alias("key"), F.lit(True).alias("near"))
+    far = dealt.where(F.bit_count("fp") % 2 == 0).select("fp", F.explode(_flips(double)).alias("key"), F.lit(False).alias("near"))
     keys = near.unionByName(far)
     hubs = keys.groupBy("key").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("hub"), F.count("*").alias("n")).where("hub is not null and n > 1")
-    return keys.join(hubs.select("key", "hub"), "key").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    return keys.join(work.spread(hubs.select("key", "hub"), count * (len(single) + len(double))), "key").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def hamming_links(fps: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp within 3 bits: all, or for large buckets as many as connect them."""
     spark = fps.sparkSession
+    most = fps.count() * 2 * (1 + 32)  # probes
     table = _segments(fps)
     odd = (F.bit_count("key") % 2) == 1
     ball = F.when(odd, F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("key").bitwiseXOR(F.expr("1L").cast("long") * F.pow(F.lit(2), i).cast("long")))).otherwise(F.array().cast("array<long>"))
     own = table.select("side", "key", "fp", F.lit(True).alias("own"))
     others = table.select("side", F.explode(ball).alias("key"), "fp", F.lit(False).alias("own"))
     sizes = table.groupBy("side", "key").agg(F.count("*").alias("n"))
-    hits = own.unionByName(others).join(sizes, ["side", "key"]).where(~F.col("own") | (F.col("n") > 1))
+    hits = own.unionByName(others).join(work.spread(sizes, most), ["side", "key"]).where(~F.col("own") | (F.col("n") > 1))
     hits = work.written(hits, f"{folder}/hits")
     mine = table.withColumnRenamed("fp", "other")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS
-    pairs = hits.where(F.col("n") <= bucket).join(mine, ["side", "key"]).where(near & (~F.col("own") | (F.col("fp") < F.col("other"))) & (F.col("fp") != F.col("other")))
+    pairs = hits.where(F.col("n") <= bucket).join(work.spread(mine, most), ["side", "key"]).where(near & (~F.col("own") | (F.col("fp") < F.col("other"))) & (F.col("fp") != F.col("other")))
     links = pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
     large = hits.where(F.col("n") > bucket).select("fp").distinct()
-    if large.isEmpty():
+    count = large.count()
+    if not count:
         return links
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    return links.unionByName(_by_shared_keys(large, tasks))
+    return links.unionByName(_by_shared_keys(large, count, tasks))
 
 
 def components(members: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
     """(fp, component_id) of the distinct fingerprints of members (doc_id, fp)."""
     nodes = work.written(members.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{folder}/nodes")
+    count = nodes.count()
     links = hamming_links(nodes.select("fp"), folder, bucket)
     stars = star_components(links, folder).withColumnRenamed("id", "fp")
-    labelled = work.written(nodes.join(stars, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), f"{folder}/labelled")
+    labelled = work.written(nodes.join(work.spread(stars, count), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), f"{folder}/labelled")
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    return labelled.join(ids, "component").select("fp", "component_id")
+    return labelled.join(work.spread(ids, count), "component").select("fp", "component_id")
 
 
 def simhash_groups(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
@@ -137,4 +140,4 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, bucke
     folder = work.work_folder(spark, "simhash")
     members = work.written(fingerprints(docs, k), f"{folder}/members")
     found = components(members, folder, bucket)
-    return members.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return members.join(work.spread(found, members.count()), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

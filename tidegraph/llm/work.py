@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..storage import drop_path, open_new, open_read, written
+from ..storage import drop_path, open_new, open_read, spread, written
 from ..storage import work_folder as _work_folder
 
-__all__ = ["bounded_sample", "drop_path", "open_new", "open_read", "placed", "prepare", "small", "tidy", "work_folder", "written"]
+__all__ = ["bounded_sample", "drop_path", "open_new", "open_read", "placed", "prepare", "small", "spread", "tidy", "work_folder", "written"]
 
 #: Spark's defaults and what they become here: rows, and bytes, that an Arrow batch to a Python worker may hold.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .session import ship
 
+#: Rows of a few numbers up to which a join may broadcast a table: a few megabytes.
+FEW = 100_000
+
 
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder. Where it is unset, a local one is chosen if all runs in one process; a cluster's
@@ -68,6 +71,15 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, kept from being broadcast by joins if it has more than FEW rows (rows: a bound of their number, else counted).
+
+    Spark takes the size of files on disk, compressed, and of what a checkpoint was made from, for that in memory, and
+    leaves out that an explode makes more rows. The driver builds whatever is broadcast.
+    """
+    return df.hint("merge") if (df.count() if rows is None else rows) > FEW else df
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI, on the driver or on an executor."""
     from pyarrow import fs
