@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tidegraph.graph import Graph
 from tidegraph.operators import algorithms, generate, partition, preprocess, stats, validate
 from tidegraph.operators.stars import star_components
+from tidegraph.plans import catalog
 from tidegraph.plans.superstep import REGISTRY, run
-from tidegraph.storage import work_folder
+from tidegraph.storage import work_folder, written
 
 
 def _random(n, m, seed):
@@ -172,6 +173,28 @@ def test_validation_accepts_and_rejects(spark, graph, edges):
     assert lost is None or lost not in level
 
 
+def test_validation_stops_at_cycles(spark, monkeypatch):
+    """Vertices that a round doesn't bring nearer are on cycles, or hang from one: no further round is made."""
+    rounds, cut = [], validate.checkpointed
+    monkeypatch.setattr(validate, "checkpointed", lambda df: rounds.append(1) or cut(df))
+    path, cycle = [(v, max(0, v - 1)) for v in range(12)], [(20, 21), (21, 20), (22, 20), (30, 31), (40, None), (50, 50)]
+    levels = validate.tree_levels(spark.createDataFrame(path + cycle, "id long, parent long"), 0, 1 << 40)
+    assert {r.id: r.level for r in levels.collect()} == {v: v for v, _ in path} | dict.fromkeys([20, 21, 22, 30, 50])
+    assert len(rounds) <= 6  # four for the path, one that brings nobody home, and the first state
+
+
+def test_whole_trees_are_not_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidegraph.storage.FEW", 10)
+    pairs = written(spark.range(1, 100).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst")), f"{tmp_path}/pairs")
+    tree = written(spark.range(100).select("id", F.greatest(F.lit(0), F.col("id") - 1).cast("long").alias("parent")), f"{tmp_path}/tree")
+    report = validate.validate_bfs(tree, pairs.select(F.col("src").alias("v0"), F.col("dst").alias("v1")), 0, 99)
+    assert "BroadcastHashJoin" not in report._jdf.queryExecution().executedPlan().toString()
+    assert validate.verdict(report) == 99
+    broken = catalog.bfs_validate_broken(spark, "/root/testdata/sf0.001")
+    assert "Join" not in broken._jdf.queryExecution().executedPlan().toString()  # the reports are made one by one
+    assert [tuple(r) for r in broken.collect()] == [(rule, code, True) for rule, code in validate.CODES.items()]
+
+
 def test_partitioners(spark, graph, edges):
     ids = sorted({a for a, _ in edges})
     robin = {r.id: (r.part, r.local) for r in partition.robin(graph.vertices, 4, work_folder(spark, "robin")).collect()}

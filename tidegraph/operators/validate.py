@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import checkpointed
+from ..storage import checkpointed, spread
 
 #: Check to the code that the public benchmark's validator reports, in the order in which it is given.
 CODES = {"bad_root": -999, "no_level": -1, "left_out_of_range": -10, "right_out_of_range": -11, "right_not_in_tree": -12, "left_not_in_tree": -13, "levels_too_far": -14, "not_an_edge": -15, "second_root": -16}
@@ -18,15 +18,19 @@ CODES = {"bad_root": -999, "no_level": -1, "left_out_of_range": -10, "right_out_
 def tree_levels(tree: DataFrame, root: int, vertices: int) -> DataFrame:
     """(id, level) by pointer doubling; null where the parents don't lead to the root (a cycle, or off the tree).
 
-    Needs as many rounds as the number of vertices has binary digits, and stops once nothing moves.
+    Needs as many rounds as the longest path has binary digits: a round that brings no vertex home is the last, as the
+    rest is on cycles.
     """
     state = tree.where("parent is not null").select("id", F.when(F.col("id") == root, F.col("id")).otherwise(F.col("parent")).alias("up"), F.when(F.col("id") == root, 0).otherwise(1).cast("long").alias("far"))
     state = checkpointed(state)
+    rows, before = state.count(), None
     for _ in range(max(1, vertices).bit_length() + 1):
-        if state.where(F.col("up") != root).isEmpty():
+        away = state.where(F.col("up") != root).count()
+        if away in (0, before):
             break
+        before = away
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
-        state = checkpointed(state.join(above, "up", "left").select("id", F.coalesce("up2", F.lit(None)).alias("up"), (F.col("far") + F.col("far2")).alias("far")))
+        state = checkpointed(state.join(spread(above, rows), "up", "left").select("id", F.coalesce("up2", F.lit(None)).alias("up"), (F.col("far") + F.col("far2")).alias("far")))
     return state.select("id", F.when((F.col("up") == root) & (F.col("far") < max(1, vertices)), F.col("far")).alias("level"))
 
 
@@ -34,13 +38,14 @@ def validate_bfs(tree: DataFrame, raw: DataFrame, root: int, max_id: int) -> Dat
     """One row: violations of every check and traversed_edges. tree: (id, parent); raw: (v0, v1), loops and all."""
     n = max_id + 1
     inside = tree.where(F.col("id").between(0, max_id)).select("id", "parent")
-    level = checkpointed(inside.join(tree_levels(inside, root, n), "id", "left").select("id", "parent", "level"))
+    rows = tree.count()
+    level = checkpointed(inside.join(spread(tree_levels(inside, root, n), rows), "id", "left").select("id", "parent", "level"))
     edges = raw.where("v0 >= 0 and v1 >= 0")
     left_out, right_out = F.col("v0") > max_id, F.col("v1") > max_id
     ends = edges.where(~left_out & ~right_out)
     a = level.select(F.col("id").alias("v0"), F.col("parent").alias("p0"), F.col("level").alias("l0"))
     b = level.select(F.col("id").alias("v1"), F.col("parent").alias("p1"), F.col("level").alias("l1"))
-    met = ends.join(a, "v0", "left").join(b, "v1", "left")
+    met = ends.join(spread(a, rows), "v0", "left").join(spread(b, rows), "v1", "left")
     has0, has1 = F.col("p0").isNotNull(), F.col("p1").isNotNull()
     one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     both = has0 & has1
@@ -48,7 +53,7 @@ def validate_bfs(tree: DataFrame, raw: DataFrame, root: int, max_id: int) -> Dat
     ranges = edges.agg(one(left_out & ~right_out).alias("left_out_of_range"), one(right_out & ~left_out).alias("right_out_of_range"))
     either = edges.select(F.col("v0").alias("id"), F.col("v1").alias("parent")).unionByName(edges.select(F.col("v1").alias("id"), F.col("v0").alias("parent"))).where("id <> parent")
     hanging = level.where(F.col("parent").isNotNull() & (F.col("id") != root) & (F.col("parent") != F.col("id")))
-    missing = hanging.join(either, ["id", "parent"], "left_anti").agg(F.count("*").alias("not_an_edge"))
+    missing = hanging.join(spread(either), ["id", "parent"], "left_anti").agg(F.count("*").alias("not_an_edge"))
     tree_row = level.agg(
         F.when(one((F.col("id") == root) & F.coalesce(F.col("parent") == root, F.lit(False))) == 1, 0).otherwise(1).cast("long").alias("bad_root"),
         one(F.col("parent").isNotNull() & F.col("level").isNull() & (F.col("parent") != F.col("id"))).alias("no_level"),

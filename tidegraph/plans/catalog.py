@@ -512,7 +512,8 @@ def bfs_validate(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, CAST({code} AS BIGINT) AS code, true AS found" for rule, code in validate.CODES.items()))
 def bfs_validate_broken(spark, sf_dir):
-    """A search tree, or the edges it is held against, broken once for every rule; whether the rule finds it."""
+    """A search tree, or the edges it is held against, broken once for every rule; whether the rule finds it. One report is
+    made after the other, as each joins whole tables."""
     g = _g(spark, sf_dir, sources.place_graph)
     root, top = _root(g), g.vertices.agg(F.max("id")).first()[0]
     tree = checkpointed(algorithms.bfs(g, root).state)
@@ -534,8 +535,8 @@ def bfs_validate_broken(spark, sf_dir):
         "not_an_edge": (moved((last, root)), raw),
         "second_root": (moved((last, last)), raw),
     }
-    rows = [validate.validate_bfs(t, r, root, top).select(F.lit(rule).alias("rule"), F.lit(validate.CODES[rule]).cast("long").alias("code"), (F.col(rule) > 0).alias("found")) for rule, (t, r) in cases.items()]
-    return functools.reduce(DataFrame.unionByName, rows)
+    rows = [(rule, validate.CODES[rule], validate.validate_bfs(t, r, root, top).first()[rule] > 0) for rule, (t, r) in cases.items()]
+    return spark.createDataFrame(rows, "rule string, code long, found boolean")
 
 
 # Generators

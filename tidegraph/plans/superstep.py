@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..storage import checkpoint_folder, checkpointed, drop_path, work_folder, written
+from ..storage import checkpoint_folder, checkpointed, drop_path, spread, work_folder, written
 
 #: Updates that may be broadcast: some 16 bytes each, so a few tens of megabytes at the very most.
 PULL_ROWS = 500_000
@@ -113,7 +113,7 @@ def run(graph: Graph, program: Program, max_steps: int | None = None, strategy:
             if pull:
                 sent = messages(F.broadcast(updates), by_dst.edges, program)
             else:
-                sent = messages(updates, by_src.edges, program)
+                sent = messages(spread(updates, active), by_src.edges, program)
             if telemetry:
                 counts = Observation()
                 sent = sent.observe(counts, F.count("*").alias("messages"))
