@@ -143,3 +143,22 @@ def test_rows_are_told_apart_whatever_the_plan(spark, tmp_path):
         assert rows.select(*place).distinct().count() == rows.count() == n, name
         assert (rows.where(F.col(place[0]) != 0).count() > 0) == by_file, name
         assert near_copies.without_near_copies(spark, frame).columns == frame.columns
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """With more rows than FEW only tables of texts' sets, whose files aren't smaller than they are, may be broadcast."""
+    plans, write = {}, work.written
+
+    def noted(df, path):
+        plans.setdefault(os.path.basename(path), df._jdf.queryExecution().executedPlan().toString())
+        return write(df, path)
+
+    monkeypatch.setattr(work, "written", noted)
+    monkeypatch.setattr("tidegraph.storage.FEW", 5)
+    rng = random.Random(13)
+    bases = [_words(rng, 200) for _ in range(12)]
+    texts = [" ".join(b[:-k] + _words(rng, k)) for b in bases for k in range(1, 9)]
+    assert len(_kept(spark, texts)) == len(bases)
+    names = {"prints", "groups", "wanted", "hubs0", "pairs0", "labelled"}
+    assert names <= set(plans) and any("SortMergeJoin" in plans[k] for k in names)
+    assert not [k for k in names if "BroadcastHashJoin" in plans[k] or "BroadcastNestedLoopJoin" in plans[k]]

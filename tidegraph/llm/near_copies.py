@@ -98,9 +98,9 @@ def _judge(batches):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are near copies. sets: n, sig, shingles."""
+    """Those of the written pairs (a, b) whose texts are near copies. sets: n, sig, shingles."""
     of = lambda end: sets.select(F.col("n").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("shingles").alias(f"set_{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInPandas(work.tidy(_judge), "a long, b long")
+    return work.spread(pairs).join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInPandas(work.tidy(_judge), "a long, b long")
 
 
 def _met(groups: DataFrame, turn: int, folder: str) -> DataFrame:
@@ -112,7 +112,7 @@ def _met(groups: DataFrame, turn: int, folder: str) -> DataFrame:
     order = F.col("n") if not turn else F.xxhash64("n", F.lit(turn))
     hubs = groups.groupBy("key").agg(F.min(F.struct(order.alias("order"), "n", "component")).alias("hub"))
     hubs = work.written(hubs, f"{folder}/hubs{turn}")
-    apart = groups.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
+    apart = groups.join(work.spread(hubs), "key").where(F.col("component") != F.col("hub.component"))
     shared = apart.groupBy("n", F.col("hub.n").alias("a")).agg(F.count("*").alias("shared"))
     best = shared.groupBy("n").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best"))
     return best.select((-F.col("best.a")).alias("a"), F.col("n").alias("b"))
@@ -158,37 +158,39 @@ def _compared(band: int, two_blocks: bool, members: list) -> list[tuple[int, int
 
 def _rest(groups: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """Links among the members of groups (key, band, n, component) that aren't connected yet."""
-    rows = groups.join(sets, "n")
+    rows = work.spread(groups).join(sets, "n")
     bytes_ = F.sum(F.length("shingles").cast("long"))
     sizes = work.written(rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, bytes_ / BLOCK_BYTES)).cast("int").alias("parts")), f"{folder}/sizes")
-    dealt = groups.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int"))
+    dealt = groups.join(work.spread(sizes), "key").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "band", "n", "component", "part").join(sets, "n")
     return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n").mapInPandas(work.tidy(_blocks), "a long, b long")
 
 
-def _labelled(groups: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """groups (key, band, n, ...) with n's component by the links; only those of more than one component."""
+def _labelled(groups: DataFrame, links: DataFrame, count: int, folder: str) -> DataFrame:
+    """groups (key, band, n, ...) with n's component by the links; only those of more than one component. count: nodes."""
     known = star_components(links, folder).withColumnRenamed("id", "n")
-    named = groups.select("key", "band", "n").join(known, "n", "left").withColumn("component", F.coalesce("component", "n"))
+    named = groups.select("key", "band", "n").join(work.spread(known, count), "n", "left").withColumn("component", F.coalesce("component", "n"))
     named = work.written(named.select("key", "band", "n", "component"), f"{folder}/labelled")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     mixed = work.written(mixed, f"{folder}/keys")
-    return work.written(named.join(mixed, "key"), f"{folder}/mixed")
+    return work.written(named.join(work.spread(mixed), "key"), f"{folder}/mixed")
 
 
 def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """Links (a, b) that connect all near copies among nodes (n, first, fp, sig). texts: file, row, text."""
+    count = nodes.count()
     fps = work.written(nodes.groupBy("fp").agg(F.min("n").alias("n")), f"{folder}/fps")
-    of_fp = fps.select(F.col("fp").alias("a"), F.col("n").alias("na"))
+    of_fp = work.spread(fps.select(F.col("fp").alias("a"), F.col("n").alias("na")), count)
     near = hamming_links(fps.select("fp"), folder).join(of_fp, "a").join(of_fp.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    equal = nodes.select("fp", F.col("n").alias("b")).join(fps.select("fp", F.col("n").alias("a")), "fp").where("a <> b").select("a", "b")
+    equal = nodes.select("fp", F.col("n").alias("b")).join(work.spread(fps.select("fp", F.col("n").alias("a")), count), "fp").where("a <> b").select("a", "b")
     prints = work.written(near.unionByName(equal), f"{folder}/prints")
     groups = work.written(nodes.select("n", "sig").mapInPandas(work.tidy(_bands), "n long, band int, key long"), f"{folder}/bands")
     several = groups.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     several = work.written(several, f"{folder}/several")
-    groups = work.written(groups.join(several, "key"), f"{folder}/groups")
-    wanted = groups.select("n").union(prints.select("a")).union(prints.select("b")).distinct().join(nodes, "n")
+    groups = work.written(groups.join(work.spread(several), "key"), f"{folder}/groups")
+    wanted = groups.select("n").union(prints.select("a")).union(prints.select("b")).distinct()
+    wanted = work.spread(wanted, count).join(nodes, "n")
     wanted = work.written(wanted.select("n", "sig", F.col("first.file").alias("file"), F.col("first.row").alias("row")), f"{folder}/wanted")
     sets = texts.join(work.small(wanted.select("n", "file", "row")), ["file", "row"]).select("n", "text").join(wanted.select("n", "sig"), "n")
     sets = work.written(sets.select("n", "sig", "text").mapInPandas(work.tidy(_sets), "n long, sig binary, shingles binary"), f"{folder}/sets")
@@ -200,7 +202,7 @@ def near_links(spark: SparkSession, nodes: DataFrame, texts: DataFrame, folder:
         paths.append(f"{folder}/links{turn}")
         work.written(_linked(pairs, sets), paths[-1])
         links = spark.read.schema("a long, b long").parquet(*paths)
-        groups = _labelled(groups, links, f"{folder}/turn{turn}")
+        groups = _labelled(groups, links, count, f"{folder}/turn{turn}")
     work.written(_rest(groups, sets, folder), f"{folder}/rest")
     return spark.read.schema("a long, b long").parquet(*paths, f"{folder}/rest")
 
@@ -217,9 +219,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     nodes = sketches.groupBy("digest").agg(first, F.any_value("fp").alias("fp"), F.any_value("sig").alias("sig"))
     nodes = nodes.repartitionByRange("first").sortWithinPartitions("first").withColumn("n", F.monotonically_increasing_id())  # n follows first
     nodes = work.written(nodes.select("n", "first", "fp", "sig"), f"{folder}/nodes")
+    count = nodes.count()
     links = near_links(spark, nodes, texts.select("file", "row", "text"), folder)
     grouped = star_components(links, f"{folder}/all").withColumnRenamed("id", "n")
-    kept = nodes.select("n", "first").join(grouped, "n", "left").groupBy(F.coalesce("component", "n").alias("component")).agg(F.min("first").alias("first"))
+    kept = nodes.select("n", "first").join(work.spread(grouped, count), "n", "left").groupBy(F.coalesce("component", "n").alias("component")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.file").alias("file"), F.col("first.row").alias("row"))
-    gone = work.written(sketches.select("file", "row").join(kept, ["file", "row"], "left_anti").select(F.col("file").alias(place[0]), F.col("row").alias(place[1])), f"{folder}/gone")
+    gone = work.written(sketches.select("file", "row").join(work.spread(kept, count), ["file", "row"], "left_anti").select(F.col("file").alias(place[0]), F.col("row").alias(place[1])), f"{folder}/gone")
     return rows.join(work.small(gone), place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
