@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -162,3 +163,30 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
     names = {"prints", "groups", "wanted", "hubs0", "pairs0", "labelled"}
     assert names <= set(plans) and any("SortMergeJoin" in plans[k] for k in names)
     assert not [k for k in names if "BroadcastHashJoin" in plans[k] or "BroadcastNestedLoopJoin" in plans[k]]
+
+
+def test_signature_memory_is_bounded():
+    """A long text's signature takes little more than its hashes, and is what all of them at once give."""
+    hashes = np.random.default_rng(3).integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    tracemalloc.start()
+    got = near_copies.signature(hashes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    least = (((hashes[:, None] * near_copies._FACTORS + near_copies._SHIFTS) >> np.uint64(32)).min(axis=0)) & np.uint64(0xFFFF)
+    assert got == least.astype("<u2").tobytes()
+
+
+def test_short_read_batches(spark):
+    """Texts are read in short batches; a session's own bound stays."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        work.prepare(spark)
+        assert spark.conf.get(key) == "512"
+        spark.conf.set(key, "77")
+        work.prepare(spark)
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.set(key, before)

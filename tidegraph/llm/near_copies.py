@@ -46,6 +46,8 @@ BANDS = HASHES // WIDTH
 ROUNDS = 3
 #: Members, and bytes of their shingle sets, in a block; a single larger set is a block of its own.
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Hashes whose signature places are worked out at once: bounds a worker's memory beside its texts.
+MIXED = 256
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -55,8 +57,10 @@ def signature(hashes: np.ndarray) -> bytes:
     """Min-wise signature of a set of shingle hashes: the low 2 bytes of each place's least value."""
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     unique = np.unique(hashes)
-    for at in range(0, len(unique), 4096):
-        mixed = (unique[at : at + 4096, None] * _FACTORS + _SHIFTS) >> np.uint64(32)
+    for at in range(0, len(unique), MIXED):
+        mixed = unique[at : at + MIXED, None] * _FACTORS
+        mixed += _SHIFTS
+        mixed >>= np.uint64(32)
         np.minimum(out, mixed.min(axis=0).astype(np.uint32), out=out)
     return (out & np.uint32(0xFFFF)).astype("<u2").tobytes()
 

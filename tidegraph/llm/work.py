@@ -1,4 +1,4 @@
-"""Working folders of the operators here: the library's, with short Arrow batches, as rows are whole texts."""
+"""Working folders of the operators here: the library's, with short batches, as rows are whole texts."""
 
 from __future__ import annotations
 
@@ -15,19 +15,25 @@ from ..storage import work_folder as _work_folder
 
 __all__ = ["bounded_sample", "drop_path", "open_new", "open_read", "placed", "prepare", "small", "spread", "tidy", "work_folder", "written"]
 
-#: Spark's defaults and what they become here: rows, and bytes, that an Arrow batch to a Python worker may hold.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+#: Spark's defaults and what they become here: rows, and bytes, that an Arrow batch to a Python worker may hold, and rows
+#: that a reader of Parquet keeps decoded, all columns of each.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
 #: Rows up to which small() broadcasts a table; callers have a few numbers in each.
 SMALL = 250_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Short Arrow batches bound a worker's memory, by rows and by bytes; the package goes to the workers.
+    """Short Arrow batches bound a worker's memory, by rows and by bytes, short read batches an executor's heap; the package
+    goes to the workers.
 
     A session that sets its own bounds keeps them.
     """
     ship(spark)
-    for key, (default, ours) in ARROW.items():
+    for key, (default, ours) in BATCHES.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, ours)
 
